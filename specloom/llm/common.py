@@ -49,3 +49,18 @@ def order_key(column: str):
 def text_of(column: str = "text"):
     """Null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def slices(batch, column: str, most: int = 8 << 20):
+    """Cut an Arrow batch so that each slice holds at most `most` bytes of the column, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
