@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding, warc
+from . import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_warc, op4_byte_bpe, op5_sharding, op7_quality_rules, op8_best_fit_packing)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text", "lang", "source")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_warc, op4_byte_bpe, op5_sharding, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash)}
 
 SQL = {
     "op3_warc": r"""
