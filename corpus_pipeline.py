@@ -1,11 +1,60 @@
-"""The corpus pipeline: see STAGES."""
+"""The corpus pipeline: documents that the quality classifier accepts, one of each group of equal and
+of nearly equal ones, without personal data, packed into training sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each stage's table to the
+shared folder and reads it again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers as tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from specloom.llm import exact_dedup, packing, pii, quality_classifier, simhash
+from specloom.llm.common import cut
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the co-trained classifier keeps."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the smallest doc_id."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked SimHash fingerprints, the document with the smallest doc_id."""
+    return simhash.near_dedup(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked."""
+    return pii.PersonalData(docs).redact()
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and where each lies in its sequence."""
+    return packing.pack(packing.pieces(docs, tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", dedup_exact),
+    ("simhash near-dedup", dedup_near),
+    ("pii", redact),
+    ("best-fit packing", pack),
+]
+
+#: SQL cannot express co-training, SimHash components or tokenization; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, f"stage-{i}")
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding, simhash, warc
+from . import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_upper", "n_lines")
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_warc, op4_byte_bpe, op5_sharding, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash)}
 
 SQL = {
     "op3_warc": r"""
