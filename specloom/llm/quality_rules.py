@@ -140,7 +140,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cut_points: dict[str, np.nd
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray, precision: float = 0.97, least: int = 3, most_rules: int = 12, most_conditions: int = 4) -> list[Rule]:
     """Sequential covering: each rule is grown on the rows not held out and pruned and judged on those held out."""
     left, rules = np.ones(len(bad), bool), []
-    cut_points = {f: np.unique(np.quantile(v, np.linspace(0, 1, 41))) for f, v in x.items()} if len(bad) else {}
+    steps = {f: np.unique(np.quantile(v, np.linspace(0, 1, 41))) for f, v in x.items()} if len(bad) else {}
+    cut_points = {f: (q[1:] + q[:-1]) / 2 for f, q in steps.items()}  # between the values that occur, not at them
     while len(rules) < most_rules and (left & bad & ~held_out).any():
         part = lambda rows: {f: v[rows] for f, v in x.items()}
         grown = _grow(part(left & ~held_out), bad[left & ~held_out], cut_points, most_conditions)
