@@ -87,8 +87,10 @@ class Engine:
     def score(self, results: DataFrame, strategy: str = "deductions") -> DataFrame:
         return compliance.STRATEGIES[strategy](compliance.count_findings(results))
 
-    def compare(self, scored: DataFrame, by: str = "score") -> DataFrame:
-        return {"score": compliance.compare_by_score, "severity": compliance.compare_by_severity}[by](compliance.pairs_within(scored))
+    def compare(self, scored: DataFrame, wanted: DataFrame | None = None, by: str = "score") -> DataFrame:
+        """Head to head: the pairs that wanted names (id_a, id_b), or else each package with the next of its section."""
+        pairs = compliance.pairs_of(scored, compliance.next_pairs(scored) if wanted is None else wanted)
+        return {"score": compliance.compare_by_score, "severity": compliance.compare_by_severity}[by](pairs)
 
     def commit_selection(self, choices: DataFrame) -> None:
         chosen, sections = lifecycle.commit_selection(self.store.read("submittal_packages"), self.store.read("sections"), choices)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -55,6 +55,19 @@ def pairs_within(packages: DataFrame, key: str = "section_id", ident: str = "id"
     return a.join(b, key).where(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
 
 
+def pairs_of(packages: DataFrame, wanted: DataFrame, ident: str = "id") -> DataFrame:
+    """The pairs that wanted names (id_a, id_b), with both packages' columns: two joins by id, whatever the sections' sizes."""
+    side = lambda s: packages.select(*(F.col(c).alias(f"{c}_{s}") for c in packages.columns))
+    both = wanted.where(f"{ident}_a <> {ident}_b").select(f"{ident}_a", f"{ident}_b")
+    return both.join(side("a"), f"{ident}_a").join(side("b"), f"{ident}_b")
+
+
+def next_pairs(packages: DataFrame, key: str = "section_id", ident: str = "id") -> DataFrame:
+    """Each package with the next one of its section: (id_a, id_b)."""
+    following = F.lead(ident).over(Window.partitionBy(key).orderBy(ident))
+    return packages.select(F.col(ident).alias(f"{ident}_a"), following.alias(f"{ident}_b")).where(f"{ident}_b is not null")
+
+
 def compare_by_score(pairs: DataFrame) -> DataFrame:
     """overall_winner and score_delta: the higher score, a tie within the band."""
     a, b = F.col("compliance_score_a"), F.col("compliance_score_b")

@@ -574,6 +574,19 @@ def package_compare_b(spark, sf_dir):
     return compliance.compare_by_severity(compliance.pairs_within(counts)).select("section_id", "id_a", "id_b", "overall_winner")
 
 
+@query(GRADED + """
+, p AS (SELECT section_id * 1000 + id AS pid, section_id, compliance_score FROM g),
+  n AS (SELECT pid AS id_a, lead(pid) OVER (PARTITION BY section_id ORDER BY pid) AS id_b, compliance_score AS a, lead(compliance_score) OVER (PARTITION BY section_id ORDER BY pid) AS b FROM p)
+SELECT id_a, id_b, round(abs(a - b), 4) AS score_delta,
+       CASE WHEN abs(round((a - b) * 10000)) <= 500 THEN 'tie' WHEN a > b THEN 'A' ELSE 'B' END AS overall_winner
+FROM n WHERE id_b IS NOT NULL
+""")
+def package_compare_next(spark, sf_dir):
+    """Each package against the next of its section: as many pairs as packages at most."""
+    scored = compliance.score_by_deductions(_counts(spark, sf_dir)).select((F.col("section_id") * 1000 + F.col("id")).alias("id"), "section_id", "compliance_score")
+    return compliance.compare_by_score(compliance.pairs_of(scored, compliance.next_pairs(scored))).select("id_a", "id_b", "score_delta", "overall_winner")
+
+
 # ---- state changes ---------------------------------------------------------------------------
 
 
