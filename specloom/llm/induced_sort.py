@@ -98,7 +98,7 @@ def types(text: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     step[-1] = 1
-    where = np.where(step != 0, np.arange(n), n)
+    where = np.where(step != 0, np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64), n)
     return step[np.minimum.accumulate(where[::-1])[::-1]] > 0
 
 

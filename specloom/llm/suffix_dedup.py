@@ -6,11 +6,13 @@ equal strings have equal anchors at equal places. Strings that share an anchor a
 travel as one segment.
 
 1. The anchors of all texts are counted; those met twice are marked in a bitmap of fixed size.
-2. Texts are read again; only segments of marked anchors leave. Segments that are equal as a whole
-   fold before they shuffle: the earliest stays and the others are removed as they are.
-3. Segments are sharded by anchor. Each shard's distinct segments are suffix-sorted by external
-   induced sorting (`induced_sort`), which carries common-prefix lengths; neighbours in suffix order
-   that share `length` bytes or more are equal strings, and all but the earliest are removed.
+2. Texts are read again; the places of segments with marked anchors leave, without their bytes.
+   Segments that are equal as a whole fold, within a batch and then by anchor: the earliest stays
+   and the others are removed as they are. Anchors left with different segments are marked anew.
+3. Texts are read a third time; only those segments leave, with their bytes, sharded by anchor. Each
+   shard is suffix-sorted by external induced sorting (`induced_sort`), which carries common-prefix
+   lengths; neighbours in suffix order that share `length` bytes or more are equal strings, and all
+   but the earliest are removed.
 4. The removed runs of each document meet its text again and are cut out.
 
 A shard's memory is bounded: anchor groups are sorted in runs of about `shard_bytes`, and a single
@@ -38,9 +40,9 @@ from .common import cut, order_key, slices, text_of
 from .induced_sort import induced_sort
 
 LENGTH = 100
-CHUNK = 2 << 20  # bytes of text whose hashes are computed together
+CHUNK = 1 << 20  # bytes of text whose hashes are computed together
 MIN_FILTER_BITS, MAX_FILTER_BITS, BITMAP_BITS = 2**20, 2**28, 32768
-SHARD_BYTES, SORT_MEMORY = 24 << 20, 8 << 20
+SHARD_BYTES, SORT_MEMORY = 6 << 20, 4 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -132,41 +134,56 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def anchor_bitmap(repeated: DataFrame, rows: int, most: int = MAX_FILTER_BITS) -> np.ndarray:
-    """A bit for each marked slot of the hashes: at most `most` bits, whatever the corpus."""
+def bitmap(hashes: DataFrame, rows: int, most: int = MAX_FILTER_BITS) -> np.ndarray:
+    """A bit for each marked slot of the hashes (column h): at most `most` bits, whatever the corpus."""
     bits = max(MIN_FILTER_BITS, min(most, 1 << max(1, 32 * rows - 1).bit_length()))
     slot = F.expr(f"pmod(h, {bits}L)")
-    maps = repeated.select(slot.alias("slot")).groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("part")).agg(F.expr(f"bitmap_construct_agg(slot % {BITMAP_BITS})").alias("bits"))
+    maps = hashes.select(slot.alias("slot")).groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("part")).agg(F.expr(f"bitmap_construct_agg(slot % {BITMAP_BITS})").alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in maps.toLocalIterator():  # at most bits / BITMAP_BITS rows of 4 KB
         out[r["part"] * BITMAP_BITS // 8 : (r["part"] + 1) * BITMAP_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-FOUND = "kind int, h bigint, seg bigint, k bigint, v bigint, start bigint, n bigint, bytes binary"
-NAMES = ["kind", "h", "seg", "k", "v", "start", "n", "bytes"]
-SEGMENT, REMOVED = 0, 1
+def marked(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) have their bit set."""
+    slot = np.mod(h.view(np.int64), len(marks) * 8)
+    return np.flatnonzero(marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
-def _rows(kind, h, seg, k, v, start, n, data) -> pa.RecordBatch:
-    size = len(start)
-    longs = [pa.array(np.asarray(x, np.int64)) if x is not None else pa.nulls(size, pa.int64()) for x in (h, seg, k, v, start, n)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *longs, data if data is not None else pa.nulls(size, pa.binary())], names=NAMES)
+FOUND = "kind int, h bigint, seg bigint, k bigint, v bigint, start bigint, n bigint"
+NAMES = ["kind", "h", "seg", "k", "v", "start", "n"]
+SEGMENT, REMOVED, DISTINCT = 0, 1, 2
 
 
-def candidate_segments(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
-    """Segments (kind 0) of marked anchors, the earliest of equal ones within a batch, and the runs (kind 1: start, end in n) of the others."""
+def _rows(kind, h, seg, k, v, start, n) -> pa.RecordBatch:
+    longs = [pa.array(np.asarray(x, np.int64)) if x is not None else pa.nulls(len(start), pa.int64()) for x in (h, seg, k, v, start, n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int32)), *longs], names=NAMES)
+
+
+def _merged(k, v, start, end):
+    """Runs of the same text that touch become one."""
+    order = np.lexsort((end, start, v, k))
+    k, v, start, end = k[order], v[order], start[order], end[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (start[1:] > end[:-1])])
+    at = np.flatnonzero(new)
+    return k[at], v[at], start[at], np.maximum.reduceat(end, at)
+
+
+def marked_segments(docs: DataFrame, marks: np.ndarray, length: int, by_anchor: bool = True, with_bytes: bool = False) -> DataFrame:
+    """Segments (kind 0) whose anchor, or whose anchor and hash together, is marked: the earliest of equal ones within a chunk.
+
+    Without bytes, the runs of the later ones come too (kind 1: start, end in n)."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # of fixed size
 
     def run(batches):
-        bitmap = shared.value
+        marks = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 ks, vs = (np.asarray(batch.column(i), np.int64) for i in (1, 2))
                 for data, bounds, owner, place in chunks(batch.column(0).to_pylist(), length):
                     h, seg, start, n = segments(data, bounds, length)
-                    slot = np.mod(h.view(np.int64), len(bitmap) * 8)
-                    on = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    on = marked(h if by_anchor else both(h, seg), marks)
                     if not len(on):
                         continue
                     h, seg, start, n = h[on], seg[on], start[on], n[on]
@@ -175,18 +192,75 @@ def candidate_segments(docs: DataFrame, marks: np.ndarray, length: int) -> DataF
                     k, v = ks[owner[part]], vs[owner[part]]
                     order = np.lexsort((where, k, seg, h))
                     again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (seg[order][1:] == seg[order][:-1])])
+                    keep = order[~again]
+                    found = _rows(SEGMENT, h[keep].view(np.int64), seg[keep].view(np.int64), k[keep], v[keep], where[keep], n[keep])
+                    if with_bytes:
+                        size = n[keep] + length - 1
+                        at = np.concatenate([[0], np.cumsum(size)])
+                        pick = np.repeat(start[keep] - at[:-1], size) + np.arange(at[-1])
+                        raw = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[pick].tobytes())])
+                        yield pa.RecordBatch.from_arrays([*found.columns, raw], names=[*NAMES, "bytes"])
+                        continue
+                    yield found
                     first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-                    later = again & ((k[order] != k[first]) | (where[order] != where[first]))
-                    keep, gone = order[~again], order[later]
-                    size = n[keep] + length - 1
-                    at = np.concatenate([[0], np.cumsum(size)])
-                    pick = np.repeat(start[keep] - at[:-1], size) + np.arange(at[-1])
-                    raw = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[pick].tobytes())])
-                    yield _rows(SEGMENT, h[keep].view(np.int64), seg[keep].view(np.int64), k[keep], v[keep], where[keep], n[keep], raw)
+                    gone = order[again & ((k[order] != k[first]) | (where[order] != where[first]))]
                     if len(gone):
-                        yield _rows(REMOVED, None, None, k[gone], v[gone], where[gone], where[gone] + n[gone] + length - 1, None)
+                        yield _rows(REMOVED, None, None, *_merged(k[gone], v[gone], where[gone], where[gone] + n[gone] + length - 1))
 
-    return docs.select("text", "k", "v").mapInArrow(run, FOUND)
+    return docs.select("text", "k", "v").mapInArrow(run, FOUND + ", bytes binary" * with_bytes)
+
+
+def both(h: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """One hash of a segment and its anchor."""
+    return _mixed(h ^ (seg >> np.uint64(1)))
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    """both() of columns h and seg, as column h."""
+
+    def run(batches):
+        for batch in batches:
+            h, seg = (np.asarray(batch.column(i), np.int64).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(both(h, seg).view(np.int64))], names=["h"])
+
+    return pairs.mapInArrow(run, "h bigint")
+
+
+def by_anchor(found: DataFrame) -> DataFrame:
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(partitions, "h").sortWithinPartitions("h", "seg", "k", "start")
+
+
+def folded_segments(found: DataFrame, length: int) -> DataFrame:
+    """Of the segments, the runs (kind 1) of all but the earliest of equal ones; the earliest ones (kind 2) where an anchor has several different."""
+
+    def run(batches):
+        held = np.empty((6, 0), np.int64)  # of the anchor that may go on: its first segment and its latest
+        told = np.empty(0, bool)  # whether a held segment has been put out as one of several
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.array([np.asarray(batch.column(i), np.int64) for i in range(1, 7)])], axis=1)
+            old = np.zeros(rows.shape[1], bool)
+            old[: len(told)] = True
+            said = np.concatenate([told, np.zeros(batch.num_rows, bool)])
+            h, seg, k, v, start, n = rows
+            new_h = np.concatenate([[True], h[1:] != h[:-1]])
+            new = new_h | np.concatenate([[True], seg[1:] != seg[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            again = np.flatnonzero(~new & ~old & ((k != k[first]) | (start != start[first])))
+            group = np.cumsum(new_h) - 1
+            several = np.bincount(group[new])[group] > 1
+            out = np.flatnonzero(new & several & ~said)
+            if len(again):
+                yield _rows(REMOVED, None, None, *_merged(k[again], v[again], start[again], start[again] + n[again] + length - 1))
+            if len(out):
+                yield _rows(DISTINCT, *rows[:, out])
+            mine = np.flatnonzero(new & (group == group[-1]))
+            mine = np.unique(mine[[0, -1]])
+            held, told = rows[:, mine], several[mine]
+
+    return by_anchor(found.where(f"kind = {SEGMENT}")).select(*NAMES).mapInArrow(run, FOUND)
 
 
 class Shard:
@@ -248,51 +322,41 @@ class Shard:
 
 
 def sorted_shards(found: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
-    """Runs removed (kind 1) by comparing the segments of each anchor."""
-    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.where(f"kind = {SEGMENT}").repartition(partitions, "h").sortWithinPartitions("h", "seg", "k", "start")
+    """Runs removed (kind 1) by comparing the different segments (with bytes) of each anchor; equal ones have been folded before."""
 
     def run(batches):
         with tempfile.TemporaryDirectory() as folder:
             shard = Shard(length, folder, memory)
-            alone, group, last, rep = None, None, None, None  # the group's only segment so far; its anchor, last segment and that one's earliest
+            alone, group, last = None, None, None  # the group's only segment so far; its anchor and last segment
 
             def emit(parts):
                 for p in parts:
                     if len(p[0]):
-                        yield _rows(REMOVED, None, None, *p, None)
-
-            for whole in batches:
-                for batch in slices(whole, "bytes", 4 << 20):
-                    h, seg, k, v, start, n = (np.asarray(batch.column(i), np.int64) for i in range(1, 7))
-                    new_seg = np.concatenate([[(h[0], seg[0]) != (group, last)], (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])])
-                    again = []
-                    for i in range(len(h)):
-                        if not new_seg[i]:
-                            if rep != (k[i], start[i]):
-                                again.append(i)
-                            continue
-                        own = (int(k[i]), int(v[i]), int(start[i]), int(n[i]), batch.column(7)[i].as_py())
-                        if h[i] != group:
-                            if shard.size >= shard_bytes:
-                                yield from emit(shard.removed())
-                                shard = Shard(length, folder, memory)
-                            group, alone = h[i], own
-                        else:
-                            if alone:
-                                shard.add(*alone)
-                                alone = None
-                            shard.add(*own)
-                        last, rep = seg[i], (k[i], start[i])
-                    if again:
-                        yield _rows(REMOVED, None, None, k[again], v[again], start[again], start[again] + n[again] + length - 1, None)
+                        yield _rows(REMOVED, None, None, *_merged(*p))
+
+            for batch in batches:
+                h, seg, k, v, start, n = (np.asarray(batch.column(i), np.int64) for i in range(1, 7))
+                for i in range(len(h)):
+                    if (h[i], seg[i]) == (group, last):
+                        continue
+                    own = (int(k[i]), int(v[i]), int(start[i]), int(n[i]), batch.column(7)[i].as_py())
+                    if h[i] != group:
+                        if shard.size >= shard_bytes:
+                            yield from emit(shard.removed())
+                            shard = Shard(length, folder, memory)
+                        group, alone = h[i], own
+                    else:
+                        if alone:
+                            shard.add(*alone)
+                            alone = None
+                        shard.add(*own)
+                    last = seg[i]
             if shard.rows:
                 yield from emit(shard.removed())
             else:
                 shard.file.close()
 
-    columns = dealt.select("kind", "h", "seg", "k", "v", "start", "n", "bytes")
-    return columns.mapInArrow(run, FOUND)
+    return by_anchor(found).select(*NAMES, "bytes").mapInArrow(run, FOUND)
 
 
 def union_of(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -317,9 +381,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     """doc_id, n_bytes, n_removed, n_spans, spans (removed runs of bytes) and kept (the remaining bytes): one row per document."""
     read = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), order_key(id_column).alias("k"), F.xxhash64(text_of(text_column)).alias("v"))
     repeated = cut(repeated_anchors(read, length), "suffix-anchors")
-    marks = anchor_bitmap(repeated, repeated.count(), max_filter_bits)
-    found = cut(candidate_segments(read, marks, length), "suffix-segments")
-    runs = found.where(f"kind = {REMOVED}").unionByName(sorted_shards(found, length, shard_bytes, memory))
+    marks = bitmap(repeated, repeated.count(), max_filter_bits)
+    found = cut(marked_segments(read, marks, length), "suffix-segments")
+    folded = cut(folded_segments(found, length), "suffix-folded")
+    several = folded.where(f"kind = {DISTINCT}")
+    pair = several.select(F.col("h"), F.col("seg"))
+    marks = bitmap(_both(pair), several.count(), max_filter_bits)
+    compared = marked_segments(read, marks, length, by_anchor=False, with_bytes=True)
+    runs = found.where(f"kind = {REMOVED}").unionByName(folded.where(f"kind = {REMOVED}")).unionByName(sorted_shards(compared, length, shard_bytes, memory))
     spans = runs.groupBy("k", "v").agg(F.collect_set(F.struct("start", F.col("n").alias("end"))).alias("runs"))  # of one text
     kind = docs.schema[id_column].dataType.simpleString()
 
