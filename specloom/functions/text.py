@@ -165,6 +165,16 @@ def short_id(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.concat(F.left(value, F.lit(8)), F.lit("…"), F.right(value, F.lit(4))))
 
 
+def is_pdf(name: Column, media_type: Column) -> Column:
+    """By both its type and its suffix."""
+    return F.coalesce((media_type == "application/pdf") & F.endswith(F.lower(name), F.lit(".pdf")), F.lit(False))
+
+
+def unquoted(value: Column) -> Column:
+    """URL escapes resolved; what is no valid escape stays as it is."""
+    return F.coalesce(F.try_url_decode(value), value)
+
+
 def presented_url(key: Column, prefix: str = "") -> Column:
     """A document block that points at a stored object."""
     return F.struct(F.lit("document").alias("type"), F.struct(F.lit("url").alias("type"), F.concat(F.lit(prefix), key).alias("url")).alias("source"))

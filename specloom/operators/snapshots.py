@@ -41,6 +41,12 @@ def append(old: DataFrame, new: DataFrame, ident: str = "id") -> DataFrame:
     return old.unionByName(numbered.drop("_row", "_part", "_before", "_i", "_top"), allowMissingColumns=True)
 
 
+def stamped(rows: DataFrame, new: bool, now: str | None = None) -> DataFrame:
+    """rows with updated_at, and created_at if they are new, at a given time or now, in whole seconds."""
+    at = F.date_trunc("second", F.lit(now).cast("timestamp") if now else F.current_timestamp())
+    return rows.withColumns({c: at for c in (("created_at", "updated_at") if new else ("updated_at",))})
+
+
 def delete(old: DataFrame, keys: DataFrame) -> DataFrame:
     """old without the rows whose key is in keys (all its columns)."""
     return old.join(keys.distinct(), keys.columns, "left_anti").select(*old.columns)

@@ -56,6 +56,10 @@ def by_division(sections: DataFrame, fields: list[str]) -> DataFrame:
     return sections.groupBy("spec_id", "division").agg(F.array_sort(F.collect_list(F.struct("section_number", *rest))).alias("sections"))
 
 
+def section_totals(sections: DataFrame, keys: list[str]) -> DataFrame:
+    return sections.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sections"))
+
+
 def natural_order(divisions: DataFrame, column: str = "division") -> DataFrame:
     return divisions.orderBy(F.col(column).try_cast("int").asc_nulls_last(), column)
 

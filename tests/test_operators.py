@@ -213,3 +213,16 @@ def test_schemas_and_domains(spark):
 def test_alnum_counts_letters_and_digits(spark):
     text = "Äb1 ²_\n-九"
     assert one(spark, T.alnum_count(F.lit(text))) == sum(c.isalnum() for c in re.sub(r"[ \n]", "", text))
+
+
+def test_small_helpers(spark):
+    assert one(spark, T.unquoted(F.lit("03%2030"))) == "03 30" and one(spark, T.unquoted(F.lit("100%"))) == "100%"
+    assert one(spark, T.is_pdf(F.lit("A.PDF"), F.lit("application/pdf"))) and not one(spark, T.is_pdf(F.lit("a.pdf"), F.lit(None).cast("string")))
+    r = snapshots.stamped(spark.range(1), new=True, now="2024-05-06 07:08:09.9").select(F.col("created_at").cast("string"), F.col("updated_at").cast("string")).first()
+    assert tuple(r) == ("2024-05-06 07:08:09",) * 2
+    assert one(spark, T.elapsed_label(F.lit(-1))) == "—" and one(spark, T.duration_label(F.lit(90.0))) == "1.50 minutes"
+    packs = spark.createDataFrame([(1, 7, 0.9), (2, 7, 0.5), (3, 7, 0.52), (4, 8, 0.1)], "id bigint, section_id bigint, compliance_score double")
+    wanted = spark.createDataFrame([(1, 3), (3, 3), (2, 9)], "id_a bigint, id_b bigint")
+    assert [(r["id_a"], r["id_b"], r["overall_winner"]) for r in compliance.compare_by_score(compliance.pairs_of(packs, wanted)).collect()] == [(1, 3, "A")]
+    assert {(r["id_a"], r["id_b"]) for r in compliance.next_pairs(packs).collect()} == {(1, 2), (2, 3)}
+    assert {(r["section_id"], r["n_sections"]) for r in views.section_totals(packs, ["section_id"]).collect()} == {(7, 3), (8, 1)}
