@@ -31,17 +31,19 @@ from .common import cut, slices
 ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 SPACE_RUN = re.compile(r"[ \t\n\r] ")
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-UNITS_KEPT, UNIT_CHARS = 500_000, 48
+#: Between one of these letters and one of these other characters the split pattern always ends a match.
+WORD_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])")
+UNITS_KEPT, UNIT_CHARS = 1_200_000, 48
 
 
-def units(text: str) -> list[str]:
-    """The text in parts whose ids do not depend on each other: white space belongs to what follows it."""
+def units(text: str) -> tuple[list[str], list[str]]:
+    """The text in parts whose ids do not depend on each other: some as they are, then words that each follow a space."""
     if ODD.search(text):
-        return [text]
+        return [text], []
     if SPACE_RUN.search(text):
-        return UNIT.findall(text)
+        return UNIT.findall(text), []
     first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+    return [first], rest
 
 
 class UnitTokenizer:
@@ -55,19 +57,54 @@ class UnitTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by what follows the space
+
+    def _ask(self, asked: list[str]) -> dict[str, bytes]:
+        return {u: array("I", e.ids).tobytes() for u, e in zip(asked, self.lib.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words, each after a space, that have not been met: a word that ends before marks often has been, without them."""
+        heads, tails = {}, {}
+        for w in words:
+            head, *tail = WORD_END.split(w, 1)
+            heads[w] = head
+            if tail:
+                tails[w] = tail[0]
+        new = self._ask([" " + h for h in set(heads.values()) - self.spaced.keys()])
+        new = {u[1:]: b for u, b in new.items()}
+        ends = set(tails.values())
+        got = {t: self.whole[t] for t in ends if t in self.whole}
+        fresh = self._ask(list(ends - got.keys()))
+        self._keep(self.whole, fresh)
+        got |= fresh
+        ids = {w: new[h] if h in new else self.spaced[h] for w, h in heads.items()}
+        for w, t in tails.items():
+            ids[w] += got[t]
+        self._keep(self.spaced, new)
+        self._keep(self.spaced, ids)
+        return ids
+
+    def _keep(self, where: dict[str, bytes], ids: dict[str, bytes]) -> None:
+        where.update((u, b) for u, b in ids.items() if len(u) <= UNIT_CHARS)
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
+        if len(self.spaced) + len(self.whole) > UNITS_KEPT:
+            self.spaced.clear()
+            self.whole.clear()
         parts = [units(t) for t in texts]
-        new = {u for p in parts for u in p}
-        if len(self.kept) > UNITS_KEPT:
-            self.kept.clear()
-        known, asked = self.kept, list(new - self.kept.keys())
-        found = {u: array("I", e.ids).tobytes() for u, e in zip(asked, self.lib.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
-        known.update((u, b) for u, b in found.items() if len(u) <= UNIT_CHARS)
-        found.update((u, known[u]) for u in new if u not in found)
-        return [b"".join([found[u] for u in p]) for p in parts]
+        spaced, whole = self.spaced, self.whole
+        known = [([whole.get(u) for u in first], [spaced.get(w) for w in rest]) for first, rest in parts]
+        new_whole = self._ask(list({u for (first, _), (got, _) in zip(parts, known, strict=True) for u, g in zip(first, got, strict=True) if g is None}))
+        self._keep(whole, new_whole)
+        new_spaced = self._words({w for (_, rest), (_, got) in zip(parts, known, strict=True) for w, g in zip(rest, got, strict=True) if g is None})
+        out = []
+        for (first, rest), (a, b) in zip(parts, known, strict=True):
+            a = [new_whole[u] if g is None else g for u, g in zip(first, a, strict=True)]
+            b = [new_spaced[w] if g is None else g for w, g in zip(rest, b, strict=True)]
+            out.append(b"".join(a + b))
+        return out
 
 
 @lru_cache(maxsize=2)
