@@ -13,10 +13,12 @@ travel as one segment.
    shard is suffix-sorted by external induced sorting (`induced_sort`), which carries common-prefix
    lengths; neighbours in suffix order that share `length` bytes or more are equal strings, and all
    but the earliest are removed.
+   An anchor with more than `hot_segments` different segments would be too much for a task: its
+   strings travel one by one, under the anchor together with their first and last bytes.
 4. The removed runs of each document meet its text again and are cut out.
 
-A shard's memory is bounded: anchor groups are sorted in runs of about `shard_bytes`, and a single
-larger group spills to files of its task. Beyond the bitmap's capacity more segments travel; the
+A shard's memory is bounded: anchor groups are sorted in runs of about `shard_bytes`, and a larger
+group spills to files of its task. Beyond the bitmap's capacity more segments travel; the
 result stays the same.
 
 Defined cases: a null text has no bytes; texts shorter than `length` keep all; null doc_ids come
@@ -42,7 +44,7 @@ from .induced_sort import induced_sort
 LENGTH = 100
 CHUNK = 1 << 20  # bytes of text whose hashes are computed together
 MIN_FILTER_BITS, MAX_FILTER_BITS, BITMAP_BITS = 2**20, 2**28, 32768
-SHARD_BYTES, SORT_MEMORY = 6 << 20, 4 << 20
+SHARD_BYTES, SORT_MEMORY, HOT_SEGMENTS = 6 << 20, 4 << 20, 50_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -170,23 +172,43 @@ def _merged(k, v, start, end):
     return k[at], v[at], start[at], np.maximum.reduceat(end, at)
 
 
-def marked_segments(docs: DataFrame, marks: np.ndarray, length: int, by_anchor: bool = True, with_bytes: bool = False) -> DataFrame:
-    """Segments (kind 0) whose anchor, or whose anchor and hash together, is marked: the earliest of equal ones within a chunk.
+def single_strings(data: np.ndarray, h: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The strings of segments one by one: which segment, start, a key of anchor, first and last bytes, and a hash of all bytes."""
+    row = np.repeat(np.arange(len(start)), n)
+    at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    key, whole = h[row].copy(), np.zeros(len(row), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(length):
+            whole = (whole + data[at + j]) * np.uint64(BASE)
+            if j < 8 or j >= length - 8:
+                key = (key ^ data[at + j]) * np.uint64(INVERSE)
+        return row, at, _mixed(key), _mixed(whole)
+
 
-    Without bytes, the runs of the later ones come too (kind 1: start, end in n)."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks)  # of fixed size
+def marked_segments(docs: DataFrame, marks: np.ndarray, length: int, hot: np.ndarray | None = None) -> DataFrame:
+    """Segments (kind 0) with a marked anchor: the earliest of equal ones within a chunk, and the runs of the later ones (kind 1: start, end in n).
+
+    With hot, a bitmap of anchors, marks are of anchor and segment together and the segments' bytes come too; those of a hot
+    anchor come as single strings."""
+    with_bytes = hot is not None
+    shared = docs.sparkSession.sparkContext.broadcast((marks, hot))  # of fixed size
 
     def run(batches):
-        marks = shared.value
+        marks, hot = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 ks, vs = (np.asarray(batch.column(i), np.int64) for i in (1, 2))
                 for data, bounds, owner, place in chunks(batch.column(0).to_pylist(), length):
                     h, seg, start, n = segments(data, bounds, length)
-                    on = marked(h if by_anchor else both(h, seg), marks)
-                    if not len(on):
-                        continue
+                    on = marked(both(h, seg) if with_bytes else h, marks)
                     h, seg, start, n = h[on], seg[on], start[on], n[on]
+                    if with_bytes and len(busy := marked(h, hot)):
+                        calm = np.setdiff1d(np.arange(len(h)), busy)
+                        _, at, key, whole_hash = single_strings(data, h[busy], start[busy], n[busy], length)
+                        h, seg = np.append(h[calm], key), np.append(seg[calm], whole_hash)
+                        start, n = np.append(start[calm], at), np.append(n[calm], np.ones(len(at), np.int64))
+                    if not len(h):
+                        continue
                     part = np.searchsorted(bounds, start, side="right")
                     where = start - np.concatenate([[0], bounds[:-1]])[part] + place[part]
                     k, v = ks[owner[part]], vs[owner[part]]
@@ -199,13 +221,16 @@ def marked_segments(docs: DataFrame, marks: np.ndarray, length: int, by_anchor:
                         at = np.concatenate([[0], np.cumsum(size)])
                         pick = np.repeat(start[keep] - at[:-1], size) + np.arange(at[-1])
                         raw = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[pick].tobytes())])
-                        yield pa.RecordBatch.from_arrays([*found.columns, raw], names=[*NAMES, "bytes"])
-                        continue
+                        found = pa.RecordBatch.from_arrays([*found.columns, raw], names=[*NAMES, "bytes"])
                     yield found
                     first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
                     gone = order[again & ((k[order] != k[first]) | (where[order] != where[first]))]
+                    if with_bytes:
+                        gone = gone[n[gone] == 1]  # whole segments have been folded before
                     if len(gone):
-                        yield _rows(REMOVED, None, None, *_merged(k[gone], v[gone], where[gone], where[gone] + n[gone] + length - 1))
+                        runs = _merged(k[gone], v[gone], where[gone], where[gone] + n[gone] + length - 1)
+                        lost = _rows(REMOVED, (runs[0] * 31 + runs[2]) if with_bytes else None, None, *runs)  # under keys that spread
+                        yield pa.RecordBatch.from_arrays([*lost.columns, pa.nulls(lost.num_rows, pa.binary())], names=[*NAMES, "bytes"]) if with_bytes else lost
 
     return docs.select("text", "k", "v").mapInArrow(run, FOUND + ", bytes binary" * with_bytes)
 
@@ -327,17 +352,26 @@ def sorted_shards(found: DataFrame, length: int, shard_bytes: int = SHARD_BYTES,
     def run(batches):
         with tempfile.TemporaryDirectory() as folder:
             shard = Shard(length, folder, memory)
-            alone, group, last = None, None, None  # the group's only segment so far; its anchor and last segment
+            alone, group, last, rep = None, None, None, None  # the group's only segment so far; its anchor, last segment and that one's place
 
             def emit(parts):
                 for p in parts:
                     if len(p[0]):
                         yield _rows(REMOVED, None, None, *_merged(*p))
 
-            for batch in batches:
-                h, seg, k, v, start, n = (np.asarray(batch.column(i), np.int64) for i in range(1, 7))
+            for whole in batches:
+                kind = np.asarray(whole.column(0))
+                through = whole.filter(pa.array(kind == REMOVED))
+                if through.num_rows:
+                    yield pa.RecordBatch.from_arrays(through.columns[:-1], names=NAMES)
+                batch = whole.filter(pa.array(kind == SEGMENT))
+                h, k, v, start, n = (np.asarray(batch.column(i), np.int64) for i in (1, 3, 4, 5, 6))
+                seg = np.asarray(batch.column(2), np.int64)
+                again = []
                 for i in range(len(h)):
                     if (h[i], seg[i]) == (group, last):
+                        if n[i] == 1 and rep != (k[i], start[i]):
+                            again.append(i)  # equal single strings; whole segments have been folded before
                         continue
                     own = (int(k[i]), int(v[i]), int(start[i]), int(n[i]), batch.column(7)[i].as_py())
                     if h[i] != group:
@@ -350,7 +384,9 @@ def sorted_shards(found: DataFrame, length: int, shard_bytes: int = SHARD_BYTES,
                             shard.add(*alone)
                             alone = None
                         shard.add(*own)
-                    last = seg[i]
+                    last, rep = seg[i], (k[i], start[i])
+                if again:
+                    yield _rows(REMOVED, None, None, *_merged(k[again], v[again], start[again], start[again] + length))
             if shard.rows:
                 yield from emit(shard.removed())
             else:
@@ -377,7 +413,7 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", max_filter_bits: int = MAX_FILTER_BITS, shard_bytes: int = SHARD_BYTES, memory: int = SORT_MEMORY) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", max_filter_bits: int = MAX_FILTER_BITS, shard_bytes: int = SHARD_BYTES, memory: int = SORT_MEMORY, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (removed runs of bytes) and kept (the remaining bytes): one row per document."""
     read = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), order_key(id_column).alias("k"), F.xxhash64(text_of(text_column)).alias("v"))
     repeated = cut(repeated_anchors(read, length), "suffix-anchors")
@@ -387,7 +423,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     several = folded.where(f"kind = {DISTINCT}")
     pair = several.select(F.col("h"), F.col("seg"))
     marks = bitmap(_both(pair), several.count(), max_filter_bits)
-    compared = marked_segments(read, marks, length, by_anchor=False, with_bytes=True)
+    hot = several.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {hot_segments}").select("h")
+    compared = marked_segments(read, marks, length, bitmap(hot, hot.count(), max_filter_bits))
     runs = found.where(f"kind = {REMOVED}").unionByName(folded.where(f"kind = {REMOVED}")).unionByName(sorted_shards(compared, length, shard_bytes, memory))
     spans = runs.groupBy("k", "v").agg(F.collect_set(F.struct("start", F.col("n").alias("end"))).alias("runs"))  # of one text
     kind = docs.schema[id_column].dataType.simpleString()

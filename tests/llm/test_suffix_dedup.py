@@ -34,7 +34,7 @@ def test_query_against_brute_force(spark, small):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize(("seed", "options"), [(0, {}), (1, {"shard_bytes": 1, "memory": 50}), (2, {"max_filter_bits": 2**20, "shard_bytes": 500})])
+@pytest.mark.parametrize(("seed", "options"), [(0, {}), (1, {"shard_bytes": 1, "memory": 50}), (2, {"max_filter_bits": 2**20, "shard_bytes": 500}), (3, {"hot_segments": 1}), (4, {"hot_segments": 3, "shard_bytes": 400})])
 def test_random_texts(spark, monkeypatch, seed, options):
     rng = random.Random(seed)
     words = ["ab", "é", "x" * 7, "\n", " ", "lorem ", "日本"]
