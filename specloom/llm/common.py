@@ -51,6 +51,11 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def in_sample(key: str, rows: int, of: int):
+    """True for about rows (a fifth more) of `of` keys, by their hashes alone, so that a bounded sample is drawn from few rows."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) <= min(1 << 30, int(1.2 * rows / max(1, of) * (1 << 30)) + 1)
+
+
 def slices(batch, column: str, most: int = 8 << 20):
     """Cut an Arrow batch so that each slice holds at most `most` bytes of the column, or one row."""
     import numpy as np

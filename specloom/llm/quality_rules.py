@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, in_sample, slices
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -166,7 +166,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray, preci
 def sample(counts: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Features, badness and the held-out third of at most sample_rows labelled documents."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    joined = counts.join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    few = in_sample("doc_id", sample_rows, labels.count())
+    joined = counts.where(few).join(marks.where(few), "doc_id").withColumn("h", F.xxhash64("doc_id"))
     rows = joined.orderBy("h", "doc_id").limit(sample_rows).select("h", "quality", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas()
     return {f: rows[f].to_numpy(np.float64) for f in FEATURES}, rows["quality"].to_numpy(np.float64) < 0.5, rows["h"].to_numpy(np.int64) % 3 == 0
 
