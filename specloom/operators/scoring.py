@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..schemas import EXTRACTION, decode
 
 # Limits of a batch and of a request's context.
 MAX_REQUESTS, SAFE_BYTES, HARD_BYTES = 10_000, 220 * 1024 * 1024, 256 * 1024 * 1024
@@ -66,6 +67,20 @@ def run_requests(runs: DataFrame, template: str) -> DataFrame:
     )
 
 
+def section_requests(runs: DataFrame, pages: DataFrame, template: str) -> DataFrame:
+    """A request for each section's runs (spec_id, section_number, start, end) that carries the texts of its pages, in order, without blank ones."""
+    c = F.col
+    wanted = runs.select("spec_id", "section_number", F.explode(T.page_range(c("start"), c("end"))).alias("page_index")).distinct()
+    texts = wanted.join(pages.where(T.has_text(c("text"))).select("spec_id", "page_index", "text"), ["spec_id", "page_index"])
+    lists = texts.groupBy("spec_id", "section_number").agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("_p"))
+    return lists.select("spec_id", "section_number", F.transform("_p", lambda p: p["page_index"]).alias("pages"), T.prompt(template, section_number=c("section_number"), pages=T.page_blocks(c("_p"))).alias("prompt"))
+
+
+def extractions(answers: DataFrame, response: str = "response") -> DataFrame:
+    """Answers of the extraction step as records; what cannot be read is kept in `raw`."""
+    return decode(answers, response, EXTRACTION)
+
+
 def choose_template(drawings_only, general: str, drawings: str):
     """The prompt for a package that holds shop drawings alone, or the general one."""
     return F.when(drawings_only, drawings).otherwise(general)

@@ -46,6 +46,7 @@ CLASSIFICATION = "section_title string, is_primary boolean, confidence double, r
 SUMMARY = "section_title string, overview string, key_requirements array<string>, materials array<string>, submittals array<string>, testing array<string>, related_sections array<string>"
 COMPLIANCE = "is_compliant boolean, compliance_score double, summary string, requirement_findings array<struct<requirement:string,status:string,evidence:string,spec_reference:string,drawing_reference:string,notes:string,spec_pages:array<int>,submittal_pages:array<int>>>, non_conformances array<struct<description:string,severity:string,spec_reference:string,recommendation:string>>, missing_items array<struct<description:string,spec_reference:string,required:boolean>>, recommendations array<string>, reviewer_notes string"
 COMPARISON = "overall_winner string, score_a double, score_b double, score_delta double, confidence string, executive_summary string, dimension_comparisons array<struct<dimension:string,winner:string,a_status:string,b_status:string,rationale:string>>, a_exclusive_strengths array<string>, b_exclusive_strengths array<string>, shared_deficiencies array<string>, a_critical_failures array<string>, b_critical_failures array<string>, recommendation string"
+EXTRACTION = "section_number string, project_name string, general_requirements array<struct<title:string,requirements:array<string>,document_pages:array<int>>>, products array<struct<product_name:string,manufacturer:string,material_category:string,csi_division:string,spec_section:string,document_type:string,standards:array<string>,properties:array<struct<name:string,value:string,units:string,context:string>>,notes:string,document_pages:array<int>>>, execution_requirements array<struct<title:string,steps:array<string>,document_pages:array<int>>>, notes string"
 BATCH_RESULT = f"custom_id string, type string, error string, attempt int, seq bigint, content struct<{CLASSIFICATION.replace(' string', ':string').replace(' boolean', ':boolean').replace(' double', ':double').replace(' array', ':array')}>"
 
 # Codes, names and domains that stored data carries.

@@ -226,3 +226,13 @@ def test_small_helpers(spark):
     assert [(r["id_a"], r["id_b"], r["overall_winner"]) for r in compliance.compare_by_score(compliance.pairs_of(packs, wanted)).collect()] == [(1, 3, "A")]
     assert {(r["id_a"], r["id_b"]) for r in compliance.next_pairs(packs).collect()} == {(1, 2), (2, 3)}
     assert {(r["section_id"], r["n_sections"]) for r in views.section_totals(packs, ["section_id"]).collect()} == {(7, 3), (8, 1)}
+
+
+def test_extraction_requests_and_records(spark):
+    found = spark.createDataFrame([("s", "030000", 1, 2), ("s", "030000", 4, 4)], "spec_id string, section_number string, start int, end int")
+    pages = spark.createDataFrame([("s", 4, "four"), ("s", 1, "one "), ("s", 2, " "), ("s", 3, "three")], "spec_id string, page_index int, text string")
+    asked = scoring.section_requests(found, pages, "{section_number}\n{pages}")
+    assert asked.first()["prompt"] == "030000\n===== PAGE 1 START =====\none\n===== PAGE 1 END =====\n===== PAGE 4 START =====\nfour\n===== PAGE 4 END =====\n"
+    said = scoring.ask(asked, lambda: scoring.FixedScorer({"section_number": "030000", "products": [{"product_name": "x", "properties": [{"name": "n", "value": "1"}]}]}))
+    r = scoring.extractions(said).first()
+    assert r["raw"] is None and r["response"]["products"][0]["properties"][0]["value"] == "1"
