@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices
+from .common import free_name, in_sample, slices
 
 DIM = 1 << 16
 LABELLED_ROWS, POOL_ROWS = 8_000, 4_000
@@ -151,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     """The model, or None without labels of both classes."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    known = ids.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    unknown = ids.join(marks, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
+    some, others = in_sample("doc_id", labelled_rows, labels.count()), in_sample("doc_id", pool_rows, docs.count())
+    known = ids.where(some).join(marks.where(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
+    unknown = ids.where(others).join(marks.where(others), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
     chosen = known.unionByName(unknown.withColumn("good", F.lit(None).cast("boolean")))
     found = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen), "doc_id")  # at most labelled_rows + pool_rows rows
 
