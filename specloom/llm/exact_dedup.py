@@ -10,6 +10,7 @@ capacity more rows take the exact path; the result stays the same.
 Defined cases: a null text counts as empty; a null doc_id sorts after every other; rows that
 repeat a doc_id with an equal text count as copies, of which one (the first read) stays; an empty
 table gives an empty result; columns beside doc_id and text are carried, whatever their names.
+The documents are read twice by `dedup` and must come in the same order, as a stored table does.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ of that pattern's kind. Base spans stay as they are.
 Only tokens with digits (or an @) enter the graph, as (pattern, value) rows; texts do not shuffle.
 Defined cases: a null text counts as empty; rows that repeat a doc_id are documents of their own, and
 their equal values count once in the graph; an empty table gives an empty result; further columns
-are ignored or carried.
+are ignored or carried. `redact` reads the documents twice; they must come in the same order each time, as
+a stored table's rows do.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ number of fingerprints.
 
 Defined cases: a null text counts as empty and has fingerprint 0; a text of fewer words than a
 shingle is one shingle; null doc_ids sort after all others; rows that repeat a doc_id are documents
-of their own; an empty table gives an empty result; further columns are ignored or carried.
+of their own; an empty table gives an empty result; further columns are ignored or carried. `dedup`
+reads the documents twice; they must come in the same order each time, as a stored table's rows do.
 """
 
 from __future__ import annotations
