@@ -5,8 +5,10 @@ there are of each length, a table of at most `capacity` rows, so the plan is mad
 direct-address table of available lengths is probed for the single length, the pair and the triple
 whose sum is exactly the gap left by the longest waiting piece, and the combination is consumed as
 often as its counts allow; where no combination fills a gap, the best-fitting (longest) piece goes
-in and the rest of the gap is probed again. The plan is a list of rank ranges per length; Spark
-numbers the pieces of each length from per-partition counts and joins them to the ranges.
+in and the rest of the gap is probed again. Filling gaps with many small pieces can leave too few for
+later ones, so plans with up to three, two and one complement are made, and the shortest is taken. A
+plan is a list of rank ranges per length; Spark numbers the pieces of each length from per-partition
+counts and joins them to the ranges.
 
 Defined cases: a null text is an empty document, which is its end id alone; rows that repeat a
 doc_id are documents of their own; an empty table gives an empty result; further columns are ignored.
@@ -143,10 +145,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
 
 
-def _exact(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is the gap, long ones first."""
+def _exact(gap: int, have: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
+    """One, two or three (at most `most`) available lengths whose sum is the gap, long ones first."""
     if have[gap]:
         return (gap,)
+    if most == 1:
+        return None
 
     def pair(total: int, most: int, have: np.ndarray) -> tuple[int, int] | None:
         longer = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
@@ -158,7 +162,7 @@ def _exact(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
 
     if two := pair(gap, gap, have):
         return two
-    for longest in np.flatnonzero(have[:gap])[::-1]:
+    for longest in np.flatnonzero(have[:gap])[::-1] if most > 2 else ():
         if 3 * longest < gap:
             break
         have[longest] -= 1
@@ -170,7 +174,11 @@ def _exact(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, how many such sequences), in the order in which they are made."""
+    """(lengths in one sequence, how many such sequences): of the plans that fill gaps with up to three, two or one piece, the shortest."""
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda made: sum(times for _, times in made))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -180,7 +188,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             took, gap = [longest], capacity - longest
             have[longest] -= 1
             while gap > 0:
-                more = _exact(gap, have)
+                more = _exact(gap, have, most)
                 if not more:
                     fitting = np.flatnonzero(have[: gap + 1])
                     if not len(fitting):
