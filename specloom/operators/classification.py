@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .common import held
 
 
 def with_key(results: DataFrame) -> DataFrame:
@@ -85,13 +86,12 @@ def with_retries(requests: DataFrame, ask, most: int = 3) -> DataFrame:
     """Ask (requests -> results with type), then ask again about what failed, `most` times; the last attempt of each request.
 
     Every round's results are checkpointed if the session has a folder for that, so no round is asked twice."""
-    keep = (lambda df: df.checkpoint()) if requests.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    rounds = [keep(ask(requests).withColumn("attempt", F.lit(0)))]
+    rounds = [held(ask(requests).withColumn("attempt", F.lit(0)))]
     for attempt in range(1, most + 1):
         again = requests.join(failed(rounds[-1]).select("custom_id"), "custom_id", "left_semi")
         if again.isEmpty():
             break
-        rounds.append(keep(ask(again).withColumn("attempt", F.lit(attempt))))
+        rounds.append(held(ask(again).withColumn("attempt", F.lit(attempt))))
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

@@ -12,3 +12,8 @@ SMALL_ROWS = 200_000
 def small_or_plain(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """df with a broadcast hint if a counted look shows it small, else as it is: larger sides join by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df as it is now: checkpointed where the session has a folder for that, else persisted. For rows whose partition must not change between two reads."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

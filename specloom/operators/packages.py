@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SHOP_DRAWING
+from .snapshots import append
 
 
 def with_submittals(packages: DataFrame, submittals: DataFrame, key: str = "id", foreign: str = "package_id", child_id: str = "id", fields: list[str] | None = None) -> DataFrame:
@@ -81,17 +82,15 @@ def with_versions(runs: DataFrame, keys: list[str], time: str = "created_at", ti
     return runs.withColumn("prompt_version", F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie)))
 
 
-def record_runs(runs: DataFrame, new: DataFrame, keys: list[str], next_id: int) -> DataFrame:
-    """Runs after new ones: the latest of the same key takes over the content and its version rises; the rest are added."""
+def record_runs(runs: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs after new ones: the latest of the same key takes over the content and its version rises; the rest are added with new ids."""
     latest = latest_runs(runs, keys)
     content = [c for c in new.columns if c not in (*keys, "id", "prompt_version", "created_at")]
-    mine = new.select(*keys, *(F.col(c).alias(f"_{c}") for c in content), F.lit(True).alias("_new"))
+    mine = new.select(*keys, *(F.col(c).alias(f"_{c}") for c in content))
     changed = latest.join(mine, keys).withColumns({c: F.col(f"_{c}") for c in content}).withColumn("prompt_version", F.coalesce("prompt_version", F.lit(0)) + 1).select(*runs.columns)
-    kept = runs.join(changed.select("id"), "id", "left_anti")
-    added = new.join(latest.select(*keys), keys, "left_anti")
-    number = F.row_number().over(Window.orderBy(*keys)) + F.lit(next_id - 1)
-    added = added.withColumn("id", number.cast("bigint")).withColumn("prompt_version", F.lit(1))
-    return kept.select(*runs.columns).unionByName(changed).unionByName(added, allowMissingColumns=True).select(*runs.columns)
+    kept = runs.join(changed.select("id"), "id", "left_anti").select(*runs.columns)
+    added = new.join(latest.select(*keys), keys, "left_anti").withColumn("prompt_version", F.lit(1))
+    return append(kept.unionByName(changed), added).select(*runs.columns)
 
 
 def only_drawings(submittals: DataFrame, keys: list[str], kind: str = "submittal_type_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS, REFERENCES
+from .common import held
 
 
 def upsert(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def update(old: DataFrame, changes: DataFrame, keys: list[str], blank_keeps: boo
 def append(old: DataFrame, new: DataFrame, ident: str = "id") -> DataFrame:
     """old and new rows; new ones get ids after the largest. Ids come from per-partition counts, so rows do not meet in one task."""
     top = old.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))
-    rows = new.drop(ident).withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    rows = held(new.drop(ident).withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -135,7 +135,7 @@ def test_runs_are_found_and_recorded(spark):
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(packages.find_runs(old, 7, submittal_id=4)) == [1] and ids(packages.find_runs(old, 7, run_type="individual")) == [3, 1] and ids(packages.find_runs(old, 7)) == [3, 2, 1]
     new = spark.createDataFrame([(7, "individual", [6], 0.9), (8, "cumulative", [1], 0.8)], "package_id bigint, run_type string, submittal_ids array<bigint>, compliance_score double")
-    after = {r["id"]: (r["package_id"], r["prompt_version"], r["compliance_score"]) for r in packages.record_runs(old, new, ["package_id", "run_type"], 4).collect()}
+    after = {r["id"]: (r["package_id"], r["prompt_version"], r["compliance_score"]) for r in packages.record_runs(old, new, ["package_id", "run_type"]).collect()}
     assert after == {1: (7, 1, 0.1), 2: (7, 1, 0.2), 3: (7, 3, 0.9), 4: (8, 1, 0.8)}
 
 
