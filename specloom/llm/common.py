@@ -56,7 +56,7 @@ def in_sample(key: str, rows: int, of: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) <= min(1 << 30, int(1.2 * rows / max(1, of) * (1 << 30)) + 1)
 
 
-def slices(batch, column: str, most: int = 8 << 20):
+def slices(batch, column: str, most: int = 2 << 20):
     """Cut an Arrow batch so that each slice holds at most `most` bytes of the column, or one row."""
     import numpy as np
     import pyarrow.compute as pc

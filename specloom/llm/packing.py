@@ -35,7 +35,7 @@ SPACE_RUN = re.compile(r"[ \t\n\r] ")
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Between one of these letters and one of these other characters the split pattern always ends a match.
 WORD_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])")
-UNITS_KEPT, UNIT_CHARS = 1_200_000, 48
+UNITS_KEPT, UNIT_CHARS = 300_000, 48
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     def run(batches):
         lib = unit_tokenizer(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 at, rows = [], []
                 for i, ids in enumerate(lib.id_bytes([t or "" for t in batch.column(1).to_pylist()])):
                     ids += end

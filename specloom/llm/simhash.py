@@ -28,7 +28,7 @@ from .common import MAX_LONG, cut, free_name, order_key, slices
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-RUN = 1 << 18  # shingles whose bits are unpacked together
+RUN = 1 << 16  # shingles whose bits are unpacked together
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 fp = _fingerprints(batch.column(2).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row", "fp"])
 
