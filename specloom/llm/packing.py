@@ -35,7 +35,7 @@ SPACE_RUN = re.compile(r"[ \t\n\r] ")
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Between one of these letters and one of these other characters the split pattern always ends a match.
 WORD_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])")
-UNITS_KEPT, UNIT_CHARS = 300_000, 48
+UNITS_KEPT, UNIT_CHARS = 1_200_000, 48  # some 300 bytes of a worker's memory each
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
@@ -51,7 +51,7 @@ def units(text: str) -> tuple[list[str], list[str]]:
 class UnitTokenizer:
     """Ids by the tokenizers library, which is asked once for each unit while it is kept (a bounded number)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, units_kept: int = UNITS_KEPT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +59,7 @@ class UnitTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.units_kept = units_kept
         self.whole: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by what follows the space
 
@@ -92,7 +93,7 @@ class UnitTokenizer:
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.spaced) + len(self.whole) > UNITS_KEPT:
+        if len(self.spaced) + len(self.whole) > self.units_kept:
             self.spaced.clear()
             self.whole.clear()
         parts = [units(t) for t in texts]
@@ -110,8 +111,8 @@ class UnitTokenizer:
 
 
 @lru_cache(maxsize=2)
-def unit_tokenizer(path: str) -> UnitTokenizer:
-    return UnitTokenizer(path)
+def unit_tokenizer(path: str, units_kept: int) -> UnitTokenizer:
+    return UnitTokenizer(path, units_kept)
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -120,12 +121,12 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, units_kept: int = UNITS_KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        lib = unit_tokenizer(tokenizer_path)
+        lib = unit_tokenizer(tokenizer_path, units_kept)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 at, rows = [], []
