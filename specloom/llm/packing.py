@@ -6,7 +6,8 @@ direct-address table of available lengths is probed for the single length, the p
 whose sum is exactly the gap left by the longest waiting piece, and the combination is consumed as
 often as its counts allow; where no combination fills a gap, the best-fitting (longest) piece goes
 in and the rest of the gap is probed again. Filling gaps with many small pieces can leave too few for
-later ones, so plans with up to three, two and one complement are made, and the shortest is taken. A
+later ones, so plans with up to three and up to two complements are made, each with the longest or the
+most plentiful lengths in a pair, and the shortest is taken: all fill gaps exactly wherever they can. A
 plan is a list of rank ranges per length; Spark numbers the pieces of each length from per-partition
 counts and joins them to the ranges.
 
@@ -146,19 +147,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
 
 
-def _exact(gap: int, have: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
-    """One, two or three (at most `most`) available lengths whose sum is the gap, long ones first."""
+def _exact(gap: int, have: np.ndarray, most: int = 3, plentiful: bool = False) -> tuple[int, ...] | None:
+    """One, two or three (at most `most`) available lengths whose sum is the gap: long ones first, or the pair of which there are most."""
     if have[gap]:
         return (gap,)
-    if most == 1:
-        return None
 
     def pair(total: int, most: int, have: np.ndarray) -> tuple[int, int] | None:
         longer = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
         if not len(longer):
             return None
         fits = (have[longer] > 0) & (have[total - longer] > (longer * 2 == total))
-        k = int(np.argmax(fits))
+        pairs = np.minimum(have[longer], have[total - longer]) // np.where(longer * 2 == total, 2, 1)
+        k = int(np.argmax(np.where(fits, pairs, 0) if plentiful else fits))
         return (int(longer[k]), total - int(longer[k])) if fits[k] else None
 
     if two := pair(gap, gap, have):
@@ -175,11 +175,12 @@ def _exact(gap: int, have: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, how many such sequences): of the plans that fill gaps with up to three, two or one piece, the shortest."""
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda made: sum(times for _, times in made))
+    """(lengths in one sequence, how many such sequences): of the plans that fill gaps exactly with up to three or two pieces, the shortest."""
+    plans = (_plan(counts, capacity, most, plentiful) for plentiful in (False, True) for most in (3, 2))
+    return min(plans, key=lambda made: sum(times for _, times in made))
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(counts: dict[int, int], capacity: int, most: int, plentiful: bool) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -189,7 +190,7 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
             took, gap = [longest], capacity - longest
             have[longest] -= 1
             while gap > 0:
-                more = _exact(gap, have, most)
+                more = _exact(gap, have, most, plentiful)
                 if not more:
                     fitting = np.flatnonzero(have[: gap + 1])
                     if not len(fitting):

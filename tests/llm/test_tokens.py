@@ -112,6 +112,22 @@ def test_pairs_and_triples_fill_gaps_exactly():
     assert packing.plan({5: 3}, 10) == [((5, 5), 1), ((5,), 1)]
 
 
+def test_exact_complements_are_used_even_where_plain_best_fit_is_shorter():
+    counts = {63: 1, 62: 1, 61: 1, 53: 1, 41: 1, 36: 1, 35: 1, 31: 1, 26: 1, 16: 3, 12: 1, 10: 1, 8: 1, 7: 1, 4: 1}
+    have, filled = Counter(counts), 0
+    for took, times in packing.plan(counts, 64):
+        for _ in range(times):
+            gap = 64 - max(took)
+            have.subtract([max(took)])
+            left = +have
+            exact = any(left[a] and (a == gap or left[gap - a] > (2 * a == gap)) for a in left if a <= gap)
+            assert not exact or sum(took) == 64, took
+            filled += exact
+            have.subtract(took)
+            have.update([max(took)])
+    assert filled == 2
+
+
 def plain_statistics(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     windows = defaultdict(list)
