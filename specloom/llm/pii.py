@@ -5,7 +5,8 @@ tokens that look like identifiers. Both carry the lexical patterns around them (
 before; the word before with the word after). Base values are the seeds. Spark then scores the graph
 of patterns and distinct values in turns: a pattern's score for a kind is the score of its values
 divided by their number (smoothed), a value's score is the chance that not all of its patterns are
-wrong. After the last turn, candidates whose best pattern is both supported and confident are spans
+wrong. In each turn the values found so far support further patterns as seeds do, so patterns may be
+as many hops from the seeds as there are turns. After the last turn, candidates whose best pattern is both supported and confident are spans
 of that pattern's kind. Base spans stay as they are.
 
 Only tokens with digits (or an @) enter the graph, as (pattern, value) rows; texts do not shuffle.
@@ -21,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, slices
@@ -150,19 +151,24 @@ def confident_patterns(seen: DataFrame, turns: int = TURNS, support: int = SUPPO
     """(pattern, kind, score) of the patterns that may name new values; seen has mentions."""
     each = seen.select(F.explode("mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.value", "m.kind")
     graph = cut(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-graph")  # partial counts first: hot values fold before they shuffle
-    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    # patterns that no seed supports can never score: they leave the graph before the turns
-    useful = cut(seeds.where(f"seeds >= {support}").join(sizes, "pattern"), "pii-patterns")
-    edges = graph.where("kind is null").select("pattern", "value").join(useful.select("pattern", F.col("kind").alias("k")), "pattern")
-    edges = cut(edges, "pii-edges")
-    scored = useful.select("pattern", "kind", (F.col("seeds") / (F.col("n") + PRIOR)).alias("score"))
+    sizes = cut(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pii-sizes")
+    seeds = cut(graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")), "pii-seeds")
+    edges = graph.where("kind is null").select("pattern", "value")
+
+    def score(known: DataFrame, gained: Column) -> DataFrame:
+        """Scores of the patterns that enough values support; known has pattern, kind, seeds."""
+        value = (F.coalesce("seeds", F.lit(0)) + gained) / (F.col("n") + PRIOR)
+        return cut(known.join(sizes, "pattern").select("pattern", "kind", value.alias("score")), "pii-scores")
+
+    scored = score(seeds.where(f"seeds >= {support}"), F.lit(0.0))
     for _ in range(turns):
         wrong = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
-        values = edges.join(scored.withColumnRenamed("kind", "k"), ["pattern", "k"]).groupBy("value", "k").agg((1 - F.exp(wrong)).alias("value_score"))
-        gained = edges.join(values, ["value", "k"]).groupBy("pattern", F.col("k").alias("kind")).agg(F.sum("value_score").alias("gained"))
-        scored = useful.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + PRIOR)).alias("score"))
-        scored = cut(scored, "pii-scores")
+        values = edges.join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(wrong)).alias("value_score"))
+        # any pattern gains from values found so far, and those that are sure support it as seeds do
+        sure = F.count_if(F.col("value_score") >= confident).alias("sure")
+        gained = edges.join(values, "value").groupBy("pattern", "kind").agg(F.sum("value_score").alias("gained"), sure)
+        known = seeds.join(gained, ["pattern", "kind"], "full").where(f"coalesce(seeds, 0) + coalesce(sure, 0) >= {support}")
+        scored = score(known, F.coalesce("gained", F.lit(0.0)))
     best = scored.where(f"score >= {confident}").groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("pattern", "b.kind", "b.score")
 

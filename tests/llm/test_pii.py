@@ -71,6 +71,18 @@ def test_contexts_find_unseen_identifiers_and_nothing_else(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def test_values_found_in_one_context_lead_to_the_next(spark):
+    seeds = [f"please call me at +1 (555) 010-{1000 + i} tomorrow or so" for i in range(40)]
+    found = [f"please call me at 555.010.77{i} tomorrow or so" for i in range(10, 20)]
+    again = [f"kindly ring desk line 555.010.77{i} during office hours" for i in range(10, 20)]
+    new = ["kindly ring desk line 020-7946-0958 during office hours", "kindly ring part number 020-7946-0959 during office"]
+    texts = [*new, *seeds, *found, *again]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert spans[0] == "phone:22:35" and spans[1] == ""
+    assert all(spans[i] for i in range(2, len(texts)))
+
+
 def test_masks_merge_overlaps():
     assert pii.masked("ab12cd", [(2, 1, 4), (3, 2, 5)]) == "ab<IP>d"
     assert pii.masked("ab", []) == "ab"
