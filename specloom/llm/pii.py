@@ -1,7 +1,7 @@
 """Personal data: exact patterns for seeds, then bootstrapped contextual extraction over the corpus.
 
 Every whole text is read once for its base spans (e-mail, IP, card, phone) and for candidates: other
-tokens that look like identifiers. Both carry the lexical patterns around them (the two words
+tokens that look like identifiers, and runs of neighbouring tokens with 6 to 19 digits in all. Both carry the lexical patterns around them (the two words
 before; the word before with the word after). Base values are the seeds. Spark then scores the graph
 of patterns and distinct values in turns: a pattern's score for a kind is the score of its values
 divided by their number (smoothed), a value's score is the chance that not all of its patterns are
@@ -9,7 +9,7 @@ wrong. In each turn the values found so far support further patterns as seeds do
 as many hops from the seeds as there are turns. After the last turn, candidates whose best pattern is both supported and confident are spans
 of that pattern's kind. Base spans stay as they are.
 
-Only tokens with digits (or an @) enter the graph, as (pattern, value) rows; texts do not shuffle.
+Only tokens with digits (or an @) and runs of them enter the graph, as (pattern, value) rows; texts do not shuffle.
 Defined cases: a null text counts as empty; rows that repeat a doc_id are documents of their own, and
 their equal values count once in the graph; an empty table gives an empty result; further columns
 are ignored or carried. `redact` reads the documents twice; they must come in the same order each time, as
@@ -39,6 +39,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = "\"'.,;:!?()[]{}<>#*$%&|="
 LEAST_DIGITS = 6
+#: A run of tokens ends after one of these, and one of more digits than any card's is a table's numbers.
+STOPS, MOST_DIGITS = ".,;:!?", 19
 
 TURNS, SUPPORT, CONFIDENT, PRIOR = 3, 5, 0.8, 1.0
 
@@ -104,22 +106,37 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that look like identifiers (digits enough, or an @ inside) and touch no base span."""
+    """Tokens that look like identifiers (digits enough, or an @ inside), and runs of neighbouring tokens with digits; none touches a base span."""
     if not DIGIT.search(text) and "@" not in text:
         return []
     taken = sorted((a, b) for a, _, b in base)
-    out, k = [], 0
+    out, run, k = [], [], 0  # run: start, end and digits of each token of the run so far
+
+    def whole_run() -> list[tuple[int, int]]:
+        a, b, digits = run[0][0], run[-1][1], sum(n for _, _, n in run)
+        run_found = len(run) > 1 and LEAST_DIGITS <= digits <= MOST_DIGITS
+        a -= run_found and text[a - 1 : a] == "(" and ")" in text[a:b]
+        return [(a, b)] if run_found else []
+
     for m in TOKEN.finditer(text):
         token = m[0]
-        if len(DIGIT.findall(token)) < LEAST_DIGITS and "@" not in token[1:-1]:
-            continue
-        a = m.start() + len(token) - len(token.lstrip(EDGE))
-        b = m.start() + len(token.rstrip(EDGE))
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if a < b and not any(s < b and a < e for s, e in taken[k : k + 8]):
-            out.append((a, b))
-    return out
+        digits = len(DIGIT.findall(token))
+        if digits or "@" in token[1:-1]:
+            a = m.start() + len(token) - len(token.lstrip(EDGE))
+            b = m.start() + len(token.rstrip(EDGE))
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            free = a < b and not any(s < b and a < e for s, e in taken[k : k + 8])
+            if free and (digits >= LEAST_DIGITS or "@" in token[1:-1]):
+                out.append((a, b))
+            if free and digits:
+                run.append((a, b, digits))
+                if token[-1] not in STOPS:
+                    continue
+        if run:
+            out += whole_run()
+            run.clear()
+    return out + (whole_run() if run else [])
 
 
 SPAN = "struct<start:int,kind:int,end:int>"

@@ -83,6 +83,20 @@ def test_values_found_in_one_context_lead_to_the_next(spark):
     assert all(spans[i] for i in range(2, len(texts)))
 
 
+def test_identifiers_with_blanks_are_candidates():
+    for text, wanted in (
+        ("please call me at 020 7946 0958 tomorrow", "020 7946 0958"),
+        ("please call me at (555) 010-7777 tomorrow", "(555) 010-7777"),
+        ("call me at 020 7946 0958, 12 of us", "020 7946 0958"),
+        ("at 555 010 7777", "555 010 7777"),
+    ):
+        assert wanted in [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))]
+    assert pii.candidates("12 or 34 of 5 pages", []) == []
+    assert pii.candidates("1 2 3 4 5 " * 10, []) == []
+    text = "12 +1 (555) 010-1000 34 56"
+    assert pii.candidates(text, pii.base_spans(text)) == []
+
+
 def test_masks_merge_overlaps():
     assert pii.masked("ab12cd", [(2, 1, 4), (3, 2, 5)]) == "ab<IP>d"
     assert pii.masked("ab", []) == "ab"
