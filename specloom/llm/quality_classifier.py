@@ -3,8 +3,8 @@
 One logistic model sees the text's words, the other the page's metadata: language, source, length
 and layout ratios, in steps. They are fitted on labelled rows, then for some rounds each labels the
 unlabelled documents it is surest about for the other to learn from. Each is calibrated on labelled
-rows that were held out, the calibrated views are combined there, and the threshold is set so that
-hardly any good held-out document falls below it. Fitting reads at most `labelled_rows` labelled
+rows that were held out, the calibrated views are combined there, and the threshold is the highest,
+0.5 at most, at which nine of ten held-out documents that fall are bad. Fitting reads at most `labelled_rows` labelled
 and `pool_rows` unlabelled documents (those with the smallest id hashes); every document is scored.
 
 Defined cases: null texts, languages and sources count as empty; labels that disagree about a
@@ -147,7 +147,17 @@ def co_train(views: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows], r
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, spare: float = 0.002) -> Model | None:
+def cut_point(scores: np.ndarray, good: np.ndarray, precision: float = 0.9) -> float:
+    """The highest cut, 0.5 at most, below which at least that share of the held-out rows is bad; where there is none, nothing is cut."""
+    order = np.argsort(scores, kind="stable")
+    s, right = scores[order], np.cumsum(~good[order]) / np.arange(1, len(scores) + 1)
+    cuts = np.append(np.unique(s[s < 0.5]), 0.5)
+    below = np.searchsorted(s, cuts)  # rows that fall
+    fits = (below > 0) & (right[below - 1] >= precision)
+    return float(cuts[fits][-1]) if fits.any() else 0.0
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, precision: float = 0.9) -> Model | None:
     """The model, or None without labels of both classes."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
@@ -189,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     mix = platt(np.column_stack([text_scale[0] * zt + text_scale[1], meta_scale[0] * zm + meta_scale[1]]), known_y)
     model = Model(text, meta, text_scale, meta_scale, mix, 0.5)
     both = model.score(of(0, held), of(1, held))[2]
-    model.threshold = float(min(0.5, np.quantile(both[y[test]], spare)))
+    model.threshold = cut_point(both, y[test], precision)
     return model
 
 

@@ -1,5 +1,6 @@
 """op9: held-out accuracy, and defined results without labels, texts or rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from specloom.llm import quality_classifier as qc
@@ -31,3 +32,14 @@ def test_edge_cases(spark):
     assert qc.classify(docs, labels).count() == len(rows)
     assert qc.keep_good(docs, labels).columns == docs.columns
     assert qc.classify(docs.limit(0), labels).count() == 0
+
+
+def test_a_few_odd_rows_do_not_open_the_filter():
+    scores = np.concatenate([np.linspace(0.01, 0.4, 200), np.linspace(0.8, 0.99, 800)])
+    good = np.arange(1000) >= 200
+    assert qc.cut_point(scores, good) == 0.5
+    good[[3, 60, 110, 150]] = True
+    assert qc.cut_point(scores, good) == 0.5
+    good[100:200] = True
+    assert 0.2 < qc.cut_point(scores, good) < 0.25
+    assert qc.cut_point(scores, np.ones(1000, bool)) == 0
