@@ -1,18 +1,20 @@
 """Packing token pieces into sequences of fixed capacity by exact-complement hashing.
 
 Documents are tokenized once; only longer ones are cut. What decides the packing is how many pieces
-there are of each length, a table of at most `capacity` rows, so the plan is made from it alone: a
-direct-address table of available lengths is probed for the single length, the pair and the triple
-whose sum is exactly the gap left by the longest waiting piece, and the combination is consumed as
-often as its counts allow; where no combination fills a gap, the best-fitting (longest) piece goes
-in and the rest of the gap is probed again. Filling gaps with many small pieces can leave too few for
-later ones, so plans with up to three and up to two complements are made, each with the longest or the
-most plentiful lengths in a pair, and the shortest is taken: all fill gaps exactly wherever they can. A
-plan is a list of rank ranges per length; Spark numbers the pieces of each length from per-partition
-counts and joins them to the ranges.
+there are of each length, a table of at most `capacity` rows, so the plan is made from it alone. An
+index of length sums is looked up for the gap that the longest waiting piece leaves: the single
+length, else the pair, else the triple that fills it exactly, as long as counts last; the sequence
+is then made as often as its counts allow. Among pairs, those of plentiful and of long pieces come
+first, and pieces below LEAST_SHARE / 32 of the capacity join neither pairs nor triples, as short pieces are what later
+gaps need; where nothing fills a gap, the best-fitting (longest) piece goes in and the rest of the
+gap is looked up again. A plan is a list of rank ranges per length; Spark numbers the pieces of each
+length from per-partition counts and joins them to the ranges.
 
 Defined cases: a null text is an empty document, which is its end id alone; rows that repeat a
-doc_id are documents of their own; an empty table gives an empty result; further columns are ignored.
+doc_id and equal texts are documents of their own; pieces of equal length are dealt in the order in
+which they were read; long texts are tokenized whole, in parts whose ids do not depend on each other;
+an empty table gives an empty result; `pieces` ignores further columns, `pack` carries them and
+names its own with underscores where they clash.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, free_name, slices
 
 #: White space other than [ \t\n\r], and characters that some tables count as such: no cutting near them.
 ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -36,6 +38,8 @@ SPACE_RUN = re.compile(r"[ \t\n\r] ")
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Between one of these letters and one of these other characters the split pattern always ends a match.
 WORD_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])")
+#: Of 32 parts of the capacity: the least length in pairs and triples.
+LEAST_SHARE = 5
 UNITS_KEPT, UNIT_CHARS = 1_200_000, 48  # some 300 bytes of a worker's memory each
 
 
@@ -147,50 +151,66 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
 
 
-def _exact(gap: int, have: np.ndarray, most: int = 3, plentiful: bool = False) -> tuple[int, ...] | None:
-    """One, two or three (at most `most`) available lengths whose sum is the gap: long ones first, or the pair of which there are most."""
-    if have[gap]:
-        return (gap,)
-
-    def pair(total: int, most: int, have: np.ndarray) -> tuple[int, int] | None:
-        longer = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
+class SumIndex:
+    """Which lengths add up to a gap: single lengths by direct address, pairs by their sum, triples as a length and a pair.
+
+    Pairs are indexed once, sorted by sum; counts of what is left decide at each look-up. Pieces shorter than `least`
+    are in no pair or triple: they are kept for the gaps that nothing fills exactly."""
+
+    def __init__(self, have: np.ndarray, least: int):
+        self.have = have
+        lengths = np.flatnonzero(have)
+        lengths = lengths[lengths >= least]
+        i, j = np.tril_indices(len(lengths))
+        longer, shorter = lengths[i], lengths[j]
+        fits = longer + shorter < len(have)
+        longer, shorter = longer[fits], shorter[fits]
+        order = np.lexsort((-shorter, longer + shorter))
+        self.longer, self.shorter = longer[order], shorter[order]
+        self.at = np.searchsorted(self.longer + self.shorter, np.arange(len(have) + 1))
+        self.lengths = lengths[::-1]
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """The available pair (none longer than most) of which there are many and whose shorter piece is long."""
+        own = slice(self.at[total], self.at[total + 1])
+        longer, shorter = self.longer[own], self.shorter[own]
         if not len(longer):
             return None
-        fits = (have[longer] > 0) & (have[total - longer] > (longer * 2 == total))
-        pairs = np.minimum(have[longer], have[total - longer]) // np.where(longer * 2 == total, 2, 1)
-        k = int(np.argmax(np.where(fits, pairs, 0) if plentiful else fits))
-        return (int(longer[k]), total - int(longer[k])) if fits[k] else None
-
-    if two := pair(gap, gap, have):
-        return two
-    for longest in np.flatnonzero(have[:gap])[::-1] if most > 2 else ():
-        if 3 * longest < gap:
-            break
-        have[longest] -= 1
-        two = pair(gap - int(longest), int(longest), have)
-        have[longest] += 1
-        if two:
-            return (int(longest), *two)
-    return None
+        often = np.where(longer == shorter, self.have[longer] // 2, np.minimum(self.have[longer], self.have[shorter])) * (longer <= most)
+        k = int(np.argmax(often * shorter))
+        return (int(longer[k]), int(shorter[k])) if often[k] > 0 else None
+
+    def find(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths, in this order, whose sum is the gap."""
+        if self.have[gap]:
+            return (gap,)
+        if two := self.pair(gap, gap):
+            return two
+        for longest in self.lengths[np.searchsorted(-self.lengths, -gap) :].tolist():
+            if 3 * longest < gap:
+                break
+            if not self.have[longest]:
+                continue
+            self.have[longest] -= 1
+            two = self.pair(gap - longest, longest)
+            self.have[longest] += 1
+            if two:
+                return (longest, *two)
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, how many such sequences): of the plans that fill gaps exactly with up to three or two pieces, the shortest."""
-    plans = (_plan(counts, capacity, most, plentiful) for plentiful in (False, True) for most in (3, 2))
-    return min(plans, key=lambda made: sum(times for _, times in made))
-
-
-def _plan(counts: dict[int, int], capacity: int, most: int, plentiful: bool) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in one sequence, how many such sequences), from the number of pieces of each length."""
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
-    made = []
+    index, made = SumIndex(have, capacity * LEAST_SHARE // 32), []
     for longest in range(capacity, 0, -1):
         while have[longest] > 0:
             took, gap = [longest], capacity - longest
             have[longest] -= 1
             while gap > 0:
-                more = _exact(gap, have, most, plentiful)
+                more = index.find(gap)
                 if not more:
                     fitting = np.flatnonzero(have[: gap + 1])
                     if not len(fitting):
@@ -208,37 +228,51 @@ def _plan(counts: dict[int, int], capacity: int, most: int, plentiful: bool) ->
     return made
 
 
-def ranges(made: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset, pieces of it in one sequence)."""
+def ranges(made: list[tuple[tuple[int, ...], int]], counts: dict[int, int]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Where the pieces of each length go, by rank.
+
+    (length, block size) and (length, block, first rank, end rank, first sequence, offset, pieces of it in one sequence, rank
+    at which the first sequence begins): ranges are cut at the ends of blocks, so a block holds about two of them."""
     used: Counter = Counter()
-    out, sequence = [], 0
+    whole, sequence = [], 0
     for took, times in made:
         offset = 0
         for length, n in Counter(took).items():
-            out.append((length, used[length], used[length] + n * times, sequence, offset, n))
+            whole.append((length, used[length], used[length] + n * times, sequence, offset, n))
             used[length] += n * times
             offset += n * length
         sequence += times
-    return out
+    per_length = Counter(r[0] for r in whole)
+    sizes = {length: -(-counts[length] // n) for length, n in per_length.items()}
+    out = []
+    for length, lo, hi, first, offset, n in whole:
+        size = sizes[length]
+        out += [(length, block, max(lo, block * size), min(hi, (block + 1) * size), first, offset, n, lo) for block in range(lo // size, (hi - 1) // size + 1)]
+    return list(sizes.items()), out
 
 
 def pack(rows: DataFrame, capacity: int = 1024) -> DataFrame:
-    """rows (with `length`, 1 to capacity) plus sequence_id and offset."""
+    """rows (with `length`, 1 to capacity) plus sequence_id and offset (with underscores where rows have such columns)."""
     columns = rows.columns
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
-    full = rows.where(F.col("length") == capacity).select(*columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = {x: free_name(columns, x) for x in ("part", "row", "nth", "before", "size", "block", "lo", "hi", "first", "at", "each", "begin", "sequence_id", "offset")}
+    part, row, nth, before, size, block, lo, hi, first, at, each, begin, sequence_id, offset = names.values()
+    rows = cut(rows.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()), "packing-pieces")
+    full = rows.where(F.col("length") == capacity).select(*columns, (-1 - F.col(row)).alias(sequence_id), F.lit(0).cast("long").alias(offset))
     rest = rows.where(F.col("length") < capacity)
-    by_part = rest.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    by_part = by_part.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row per length and partition
-    histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    table = spark.createDataFrame(ranges(plan(histogram, capacity)), "length bigint, _lo bigint, _hi bigint, _sequence bigint, _offset bigint, _each bigint")
-    nth = F.row_number().over(Window.partitionBy("_part", "length").orderBy("_row")) - 1
-    ranked = rest.withColumn("_nth", nth).join(by_part.drop("n"), ["length", "_part"]).withColumn("_rank", F.col("_nth") + F.col("_before"))
-    # the ranges follow from the histogram: a few for each length
-    placed = ranked.join(F.broadcast(table), "length").where("_rank >= _lo and _rank < _hi")
-    placed = placed.select(*columns, F.expr("_sequence + (_rank - _lo) div _each").alias("sequence_id"), F.expr("_offset + (_rank - _lo) % _each * length").alias("offset"))
+    by_part = rest.groupBy("length", part).agg(F.count(F.lit(1)).alias(nth))
+    earlier = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    by_part = by_part.withColumn(before, F.coalesce(F.sum(nth).over(earlier), F.lit(0)))  # a row per length and partition
+    histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum(nth).alias("n")).collect()}  # at most `capacity` rows
+    sizes, places = ranges(plan(histogram, capacity), histogram)
+    sizes = spark.createDataFrame(sizes, f"length bigint, {size} bigint")
+    places = spark.createDataFrame(places, f"length bigint, {block} bigint, {lo} bigint, {hi} bigint, {first} bigint, {at} bigint, {each} bigint, {begin} bigint")
+    numbered = rest.withColumn(nth, F.row_number().over(Window.partitionBy(part, "length").orderBy(row)) - 1)
+    ranked = numbered.join(by_part.drop(nth), ["length", part]).withColumn(nth, F.col(nth) + F.col(before))
+    # both tables follow from the histogram: a row per length, and a few ranges for each
+    blocked = ranked.join(F.broadcast(sizes), "length").withColumn(block, F.expr(f"{nth} div {size}"))
+    placed = blocked.join(F.broadcast(places), ["length", block]).where(f"{nth} >= {lo} and {nth} < {hi}")
+    placed = placed.select(*columns, F.expr(f"{first} + ({nth} - {begin}) div {each}").alias(sequence_id), F.expr(f"{at} + ({nth} - {begin}) % {each} * length").alias(offset))
     return full.unionByName(placed)
 
 
