@@ -13,9 +13,11 @@ MAX_LONG = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine (tests) gets a folder of its own where that is unset; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         base = "file://" + tempfile.mkdtemp(prefix="specloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -23,16 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/specloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and lost executors lose nothing."""
+def cut(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
+    """Write df to the shared folder (a folder for each value of the columns `by`) and read it back: its lineage ends there, and lost executors lose nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that Spark uses for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Remove all tables that this application's operators have cut: for the caller, once the results are stored."""
+    remove(spark, f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}")
+
+
 def free_name(taken: Iterable[str], wish: str) -> str:
     """wish, or wish with underscores so that it clashes with no column (names compare without case)."""
     low = {c.lower() for c in taken}

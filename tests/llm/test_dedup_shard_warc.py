@@ -59,7 +59,7 @@ def test_exact_dedup_edge_cases(spark):
 def test_a_full_filter_changes_nothing(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want = {tuple(r) for r in exact_dedup.exact_duplicates(docs).drop("row").collect()}
-    monkeypatch.setattr(exact_dedup, "filter_size", lambda rows, most: 64)
+    monkeypatch.setattr(exact_dedup.bloom, "bits_for", lambda keys, most: 64)
     assert {tuple(r) for r in exact_dedup.exact_duplicates(docs).drop("row").collect()} == want
 
 
@@ -69,6 +69,36 @@ def test_few_rows_pass_the_filter(spark, small):
     assert found.rest.count() <= copies + 2
 
 
+def test_capacity_follows_the_rows_by_slices(spark):
+    """Ten times the rows that one filter of 4096 bits holds: slices, the same result, and few unique rows that pass."""
+    docs = spark.range(2560).select("id", F.concat(F.lit("text "), F.expr("if(id % 10 = 0, 1, id)").cast("string")).alias("text")).withColumnRenamed("id", "doc_id")
+    found = exact_dedup.ExactDedup(docs, filter_bits=4096)
+    assert exact_dedup.slice_count(2560, 4096) == 10 and found.hashed.select("slice").distinct().count() == 10
+    rows = found.annotate().collect()
+    assert len(rows) == 2560
+    for r in rows:
+        group = r["doc_id"] % 10 == 0 or r["doc_id"] == 1
+        assert (r["keep_id"], r["group_size"]) == ((0, 257) if group else (r["doc_id"], 1))
+    unique = found.rest.where("doc_id % 10 <> 0 and doc_id <> 1").count()
+    assert unique < 0.05 * 2303
+
+
+def test_pass_one_exchanges_chunks_and_no_rows(spark, small):
+    found = exact_dedup.ExactDedup(spark.read.parquet(f"{small}/documents.parquet"))
+    hot = exact_dedup.cut(exact_dedup.hot_hashes(found.hashed, found.rows), "hot")
+    bitmap = exact_dedup.sparse_bitmap(found.hashed, hot, found.rows)
+    plan = bitmap._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and all("hashpartitioning(chunk" in x for x in dealt) and "partial_collect_list" in plan
+    assert bitmap.count() == 1 and bitmap.select(F.explode("places")).count() <= found.rows
+
+
+def test_identity_of_rows_survives_a_shuffled_input(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").repartition(7)
+    want = {r["keep_id"] for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(docs).collect()} == want
+
+
 def test_shards_are_contiguous_balanced_and_checked(spark, small, tmp_path):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = queries.op5_sharding(spark, small).collect()

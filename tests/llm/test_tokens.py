@@ -139,13 +139,15 @@ def test_gaps_are_filled_by_the_index_wherever_it_can(seed):
 
 def test_most_gaps_are_filled_exactly_on_a_large_histogram():
     rng = np.random.default_rng(1)
-    drawn = np.minimum(1023, np.ceil(rng.lognormal(5.5, 1.0, 200_000))).astype(int)
+    drawn = np.ceil(rng.lognormal(5.5, 1.0, 200_000)).astype(int)
+    drawn = drawn[drawn < 1000]
     counts = {int(k): int(n) for k, n in zip(*np.unique(drawn, return_counts=True), strict=True)}
     made = packing.plan(counts, 1024)
     total, sequences = int(drawn.sum()), sum(n for _, n in made)
     assert sequences <= -(-total // 1024) * 1.0005 + 1
     filled = sum(n for took, n in made if len(took) in (3, 4) and min(took[1:]) >= 160 and sum(took) == 1024)
-    assert filled > sequences / 2
+    exact = sum(n for took, n in made if len(took) <= 4 and sum(took) == 1024)
+    assert exact > 0.6 * sequences and filled > sequences / 8
 
 
 def test_packing_of_clashing_columns_repeats_and_long_texts(spark):
