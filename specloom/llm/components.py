@@ -13,8 +13,10 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(neighbours: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (large star) or other (small star) neighbours to the least of its neighbourhood."""
-    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    """Link each node's larger (large star) or other (small star) neighbours to the least of its neighbourhood.
+
+    The least ones are written out first: the join then shuffles both sides plainly (or broadcasts), so AQE may split a node with very many neighbours."""
+    least = cut(neighbours.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "components-least")
     joined = neighbours.join(least, "u")
     if large:
         linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -27,7 +29,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) of every node of the edges (u, v): root is the least node that it reaches.
 
     Every round is written to the shared folder. Rounds end when the edges stand still, which
-    happens after about the square of the logarithm of the node count at the worst."""
+    happens after about the square of the logarithm of the node count at the worst; beyond
+    `most_rounds` a RuntimeError is raised, never a wrong result given."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
     seen = None
     for _ in range(most_rounds):
@@ -36,7 +39,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             break
         seen = print_of
         large = _star(_both_ways(now), large=True)
-        small = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), large=False)
+        small = _star(cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "components-large"), large=False)
         now = cut(small, "components")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -6,13 +6,15 @@ link. The vectors lie on an integer grid: a vector is joined, by equality on a p
 to the cells within Manhattan distance `distance`, half of them in one direction, since a pair is
 found from one of its ends. The join condition then verifies the Hamming distance exactly, and only
 links come out. Equal fingerprints are one node, so copies are never expanded into pairs. More
-segments make cells rarer and the probes of a fingerprint more; `segments_for` weighs them by the
-number of fingerprints.
+segments make cells rarer and the probes of a fingerprint more; `choose_segments` weighs them by how
+crowded the cells are.
 
 Defined cases: a null text counts as empty and has fingerprint 0; a text of fewer words than a
 shingle is one shingle; null doc_ids sort after all others; rows that repeat a doc_id are documents
-of their own; an empty table gives an empty result; further columns are ignored or carried. `dedup`
-reads the documents twice; they must come in the same order each time, as a stored table's rows do.
+of their own; long texts are read whole, in runs of bounded size; of equally near ones the smallest
+doc_id gives a component's name; an empty table gives an empty result; further columns are ignored
+or, by `near_dedup`, carried, whatever their names. Documents are read once and stored with their
+fingerprints, so rows keep their identity.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import MAX_LONG, cut, free_name, order_key, slices
+from . import bloom
+from .common import MAX_LONG, cut, order_key, slices
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -71,21 +75,41 @@ def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
     return np.packbits(2 * counts > totals[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, row (as read) and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, row (as read) and fp, the fingerprint as a signed long; with carry also doc, all columns as they are."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 fp = _fingerprints(batch.column(2).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row", "fp"])
+                columns = [batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), *batch.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", *batch.schema.names[3:]])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, row bigint, fp bigint")
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"), *whole)
+    schema = StructType([rows.schema["doc_id"], rows.schema["row"], StructField("fp", LongType()), *rows.schema.fields[3:]])
+    return rows.mapInArrow(run, schema)
 
 
-def segments_for(nodes: int) -> int:
-    return 8 if nodes <= 1 << 22 else 16
+def choose_segments(nodes: DataFrame, distance: int = DISTANCE, options: tuple[int, ...] = (8, 16)) -> int:
+    """The number of segments whose grid costs least: the probes that it sends out and the candidates that they meet, by the cells' measured sizes."""
+
+    def cost(segments: int) -> float:
+        sizes = nodes.select(F.expr(_cell(segments, distance)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
+        steps = len(half_steps(segments, distance))
+        return steps * (float(found[0]) + float(found[1]))  # a row's neighbours are about as crowded as its own cell
+
+    return min(options, key=cost)
+
+
+def _cell(segments: int, distance: int) -> str:
+    """The packed cell number of column fp: a digit for each segment's bit count."""
+    width = 64 // segments
+    base = width + 2 * distance + 1  # of the cell number's digits: a bit count, moved by a step either way
+    if base**segments >= 2**63:
+        raise ValueError("the cells do not fit into a long")
+    return " + ".join(f"(bit_count(shiftright(fp, {width * i}) & {(1 << width) - 1}L) + {distance}) * {base**i}L" for i in range(segments))
 
 
 def half_steps(segments: int, distance: int) -> list[tuple[int, ...]]:
@@ -98,14 +122,10 @@ def half_steps(segments: int, distance: int) -> list[tuple[int, ...]]:
 
 def links(nodes: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """(u, v): pairs of different fingerprints (column fp, distinct) at Hamming distance of at most `distance`."""
-    segments = segments or segments_for(nodes.count())
-    width = 64 // segments
-    base = width + 2 * distance + 1  # of the cell number's digits: a bit count, moved by a step either way
-    if base**segments >= 2**63:
-        raise ValueError("the cells do not fit into a long")
-    digit = " + ".join(f"(bit_count(shiftright(fp, {width * i}) & {(1 << width) - 1}L) + {distance}) * {base**i}L" for i in range(segments))
+    segments = segments or choose_segments(nodes, distance)
+    base = 64 // segments + 2 * distance + 1
     packed = [sum(d * base**i for i, d in enumerate(s)) for s in half_steps(segments, distance)]
-    grid = nodes.select("fp", F.expr(digit).alias("cell"))
+    grid = nodes.select("fp", F.expr(_cell(segments, distance)).alias("cell"))
     steps = F.explode(F.array(*(F.lit(p).cast("long") for p in packed)))
     probes = grid.select(F.col("fp").alias("u"), "cell", steps.alias("step")).select("u", F.expr("cell + step").alias("cell"), F.expr("step = 0").alias("same"))
     found = probes.join(grid.withColumnRenamed("fp", "v"), "cell").where(f"bit_count(u ^ v) between 1 and {distance} and (not same or u < v)")
@@ -113,9 +133,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, segments: int | None = Non
 
 
 class NearDuplicates:
-    def __init__(self, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int | None = None, id_column: str = "doc_id", text_column: str = "text"):
-        self.docs = docs
-        self.fps = cut(fingerprints(docs, shingle, id_column, text_column), "simhash-fingerprints")
+    def __init__(self, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int | None = None, id_column: str = "doc_id", text_column: str = "text", carry: bool = False):
+        self.fps = cut(fingerprints(docs, shingle, id_column, text_column, carry), "simhash-fingerprints")
         self.nodes = cut(self.fps.groupBy("fp").agg(F.min(order_key("doc_id")).alias("first")), "simhash-nodes")
         found = connected_components(links(self.nodes, distance, segments))
         rooted = self.nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -133,14 +152,15 @@ class NearDuplicates:
         )
 
     def dedup(self) -> DataFrame:
-        """The documents without all but one of each group: the one with the least doc_id (the first read, where it repeats)."""
-        columns = self.docs.columns
-        row = free_name(columns, "_row")
-        rows = self.fps.join(self.labels, "fp")
+        """The documents (with carry) without all but one of each group: the one with the least doc_id (the first read, where it repeats).
+
+        Only rows that a Bloom filter of the dropped ones does not clear shuffle."""
+        rows = self.fps.select("fp", "row", "doc_id").join(self.labels, "fp")
         stay = rows.groupBy("root").agg(F.min(F.struct(order_key("doc_id").alias("k"), "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         stay = cut(stay.select("root", F.col("first.row").alias("stay")), "simhash-stay")
-        dropped = rows.join(stay, "root").where("row <> stay").select(F.col("row").alias(row))
-        return self.docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").select(*columns)
+        dropped = cut(rows.join(stay, "root").where("row <> stay").select("row"), "simhash-dropped")
+        clear, maybe = bloom.split(self.fps.select("row", "doc"), "row", dropped)
+        return clear.select("doc.*").unionByName(maybe.join(dropped, "row", "left_anti").select("doc.*"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -148,4 +168,4 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    return NearDuplicates(docs, **options).dedup()
+    return NearDuplicates(docs, carry=True, **options).dedup()

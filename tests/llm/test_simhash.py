@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from specloom.llm import components, queries, simhash
 
@@ -101,3 +102,19 @@ def test_popcounts_bound_the_distance_from_below():
         a, b = (int(x) for x in rng.integers(0, 2**63, 2))
         manhattan = sum(abs((a >> 8 * i & 255).bit_count() - (b >> 8 * i & 255).bit_count()) for i in range(8))
         assert manhattan <= (a ^ b).bit_count()
+
+
+def test_a_star_of_a_hundred_thousand_leaves(spark):
+    edges = spark.range(1, 100_001).selectExpr("id as u", "0L as v").unionByName(spark.range(5).selectExpr("200000 + id as u", "200001 + id as v"))
+    found = components.connected_components(edges)
+    assert found.groupBy("root").count().collect().__len__() == 2
+    assert {(r["root"], r["count"]) for r in found.groupBy("root").count().collect()} == {(0, 100_001), (200_000, 6)}
+
+
+def test_segments_follow_how_crowded_the_cells_are(spark):
+    rng = random.Random(2)
+    few = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(500)], "fp bigint")
+    assert simhash.choose_segments(few) == 8
+    crowded = spark.range(20_000).selectExpr("sum(id) over (order by id) as x", "id").select(F.expr("shiftleft(1L, cast(id % 8 as int)) | shiftleft(1L, 8 + cast(id div 8 % 8 as int)) | shiftleft(1L, 16 + cast(id div 64 % 8 as int)) | shiftleft(1L, 24 + cast(id div 512 % 8 as int)) | shiftleft(1L, 32 + cast(id div 4096 % 8 as int))").alias("fp")).distinct()
+    assert simhash.choose_segments(crowded) == 16
+    assert simhash.choose_segments(few.limit(0)) == 8
