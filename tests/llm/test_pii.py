@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -64,7 +65,7 @@ def test_contexts_find_unseen_identifiers_and_nothing_else(spark):
     found = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
     assert found[40] == "phone:18:30" and found[41] == "phone:16:29"
     assert all(found[i] == "" for i in range(42, len(texts)))
-    clean = {r["doc_id"]: r for r in pii.PersonalData(docs).redact().collect()}
+    clean = {r["doc_id"]: r for r in pii.redact(docs).collect()}
     assert clean[0]["text"] == "please call me at <PHONE> tomorrow or so" and clean[0]["n_chars"] == len(clean[0]["text"])
     assert clean[40]["text"] == "please call me at <PHONE> tomorrow or so"
     assert clean[45]["text"] == texts[45] and clean[len(texts) - 2]["text"] is None
@@ -91,6 +92,7 @@ def test_identifiers_with_blanks_are_candidates():
         ("at 555 010 7777", "555 010 7777"),
     ):
         assert wanted in [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))]
+    assert [t[a:b] for t in ["room B417, or #a1"] for a, b in pii.candidates(t, [])] == ["B417"]
     assert pii.candidates("12 or 34 of 5 pages", []) == []
     assert pii.candidates("1 2 3 4 5 " * 10, []) == []
     text = "12 +1 (555) 010-1000 34 56"
@@ -100,3 +102,89 @@ def test_identifiers_with_blanks_are_candidates():
 def test_masks_merge_overlaps():
     assert pii.masked("ab12cd", [(2, 1, 4), (3, 2, 5)]) == "ab<IP>d"
     assert pii.masked("ab", []) == "ab"
+
+
+def plain_bootstrapping(texts):
+    """The same definition, one dictionary at a time: all spans of each text."""
+    seen = [(i, a, b, k, t[a:b].lower(), pii.patterns(t, a, b)) for i, t in enumerate(texts) for own in [pii.base_spans(t)] for a, b, k in [(a, b, k) for a, k, b in own] + [(a, b, None) for a, b in pii.candidates(t, own)]]
+    edges = {(p, v, k) for _, _, _, k, v, ps in seen for p in ps}
+    sizes = {p: len({v for q, v, _ in edges if q == p}) for p in {p for p, _, _ in edges}}
+    seeds = defaultdict(int)
+    for p, _, k in edges:
+        if k is not None:
+            seeds[p, k] += 1
+    free = defaultdict(set)
+    for p, v, k in edges:
+        if k is None:
+            free[p].add(v)
+    scored = {pk: round(n / (sizes[pk[0]] + 1), 9) for pk, n in seeds.items() if n >= 5}
+    for _ in range(pii.MOST_TURNS):
+        miss = defaultdict(lambda: 1.0)
+        for (p, k), s in scored.items():
+            for v in free[p]:
+                miss[v, k] *= max(1e-9, 1 - s)
+        value = {vk: round(1 - m, 9) for vk, m in miss.items()}
+        now = {}
+        for p in sizes:
+            for k in range(4):
+                own = [value[v, k] for v in free[p] if (v, k) in value]
+                if seeds.get((p, k), 0) + sum(x >= pii.CONFIDENT for x in own) >= pii.SUPPORT:
+                    now[p, k] = round((seeds.get((p, k), 0) + sum(own)) / (sizes[p] + 1), 9)
+        if now == scored:
+            break
+        scored = now
+    best = {}
+    for (p, k), s in scored.items():
+        if s >= pii.CONFIDENT:
+            best[p] = max(best.get(p, (0, 0)), (s, k))
+    spans = defaultdict(list)
+    for i, a, b, k, _, ps in seen:
+        named = max((best[p] for p in ps if p in best), default=None)
+        if any(ps) and k is None and named:
+            spans[i].append((a, named[1], b))
+    return [sorted([*pii.base_spans(t), *spans[i]]) for i, t in enumerate(texts)]
+
+
+def chain(hops):
+    """Texts in which each context shares values with the next one only; the last holds one value more."""
+    texts = [f"please call me at +1 (555) 010-{1000 + i} tomorrow or so" for i in range(40)]
+    contexts = ["please call me at {} tomorrow or so", *(f"step{h} ring desk line{h} {{}} then{h} hold on" for h in range(1, hops + 1))]
+    for h in range(hops):
+        for i in range(12):
+            value = f"X{h}{i:02d}-55"
+            texts += [contexts[h].format(value), contexts[h + 1].format(value)]
+    return [*texts, contexts[-1].format("Q7-last"), "the part number is 99887766 as listed", ""]
+
+
+@pytest.mark.parametrize("hops", [1, 2, 4])
+def test_bootstrapping_equals_a_plain_loop(spark, hops):
+    texts = chain(hops)
+    want = plain_bootstrapping(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert got == {i: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in own) for i, own in enumerate(want)}
+    assert got[len(texts) - 3].startswith("phone") and not got[len(texts) - 2]
+
+
+def test_the_query_equals_a_plain_loop(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    want = plain_bootstrapping([r["text"] or "" for r in rows])
+    got = {r["doc_id"]: r["spans"] for r in queries.op6_pii(spark, small).collect()}
+    assert got == {r["doc_id"]: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in own) for r, own in zip(rows, want, strict=True)}
+
+
+def test_words_around_a_span_are_whole():
+    long = "w" * 500
+    text = f"{long} {long}x 123456 {long}y z"
+    first, second = pii.patterns(text, text.index("123456"), text.index("123456") + 6)
+    assert first == f"{pii._plain(long)} {pii._plain(long + 'x')} _" and second == f"{pii._plain(long + 'x')} _ {pii._plain(long + 'y')}"
+    assert pii.patterns("a b 1234", 4, 8) == ["a b _"] and pii.patterns("1234 c", 0, 4) == []
+
+
+def test_repeats_nulls_and_clashing_columns(spark):
+    text = "mail a@b.cd now"
+    docs = spark.createDataFrame([(1, text, 1, 2, 3), (1, text, 1, 2, 3), (None, None, 1, 2, 3), (2, "x" * 300_000 + " 1.2.3.4", 1, 2, 3)], "doc_id bigint, text string, row int, doc int, _spans int")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[-14:]) for r in out.collect()) == [(0, ""), (1, "mail <EMAIL> now"[-14:]), (1, "mail <EMAIL> now"[-14:]), (2, "x" * 9 + " <IP>")]
+    assert sorted(r["n_email"] for r in pii.report(docs).collect()) == [0, 0, 1, 1]
