@@ -1,6 +1,7 @@
 """The suffix sorter against plain sorting, at several memory allowances and depths."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -27,7 +28,7 @@ def test_order_and_lengths(tmp_path, memory, alphabet):
         body = rng.integers(2, 2 + alphabet, n)
         if n > 50:
             body[n // 2 :] = body[: n - n // 2]
-        text = np.append(body, 0).astype(np.int64)
+        text = np.append(body, 0).astype(np.uint32 if n % 2 else np.uint8)
         got = list(s.induced_sort(text, 240 if n <= 240 else 200, memory, str(tmp_path)))
         order, lengths = np.concatenate([p for p, _ in got]).tolist(), np.concatenate([x for _, x in got]).tolist()
         want, want_lengths = plain(text.tolist())
@@ -49,3 +50,46 @@ def test_limited_depth_groups_equal_prefixes(tmp_path, memory):
         assert heads == sorted(heads) and sorted(order.tolist()) == list(range(len(text)))
         for a, b, n in zip(heads, heads[1:], lengths[1:], strict=False):
             assert (n >= depth) == (a == b and len(a) == depth)
+
+
+def a_text(n, seed=3):
+    """Words of a small vocabulary, some passages twice: bytes, closed by 0."""
+    rng = np.random.default_rng(seed)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(2000)]
+    body = b" ".join(words[i] for i in np.minimum(1999, rng.zipf(1.3, n // 4)))[:n]
+    body = body + body[: n // 5]
+    return np.frombuffer(body + b"\0", np.uint8)
+
+
+def test_memory_does_not_grow_with_the_text(tmp_path, monkeypatch):
+    """Texts of 20 and 60 allowances: recursion on disk, the right order, and a peak that the allowance bounds."""
+    depths = []
+    inner = s._induced
+    monkeypatch.setattr(s, "_induced", lambda text, depth, allowance: depths.append(len(text)) or inner(text, depth, allowance))
+    allowance, peaks = 4_000, []
+    for times in (20, 50):
+        plain_text = a_text(allowance * times)
+        np.save(tmp_path / "text.npy", plain_text)
+        text = np.load(tmp_path / "text.npy", mmap_mode="r")
+        size = len(text)
+        assert size > allowance * times
+        got = np.memmap(tmp_path / "order", np.int64, "w+", shape=(size,))
+        depths.clear()
+        tracemalloc.start()
+        at = 0
+        for positions, lengths in s.induced_sort(text, 100, allowance, str(tmp_path)):
+            got[at : at + len(positions)] = positions
+            at += len(positions)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert at == size and len(depths) >= 2 and depths[1] > allowance
+        raw = plain_text.tobytes()
+        order = np.array(got)
+        assert np.array_equal(np.sort(order), np.arange(size))
+        for i in np.random.default_rng(0).integers(1, size, 3000).tolist():
+            a, b = int(order[i - 1]), int(order[i])
+            assert raw[a : a + 100] <= raw[b : b + 100]
+        os.remove(tmp_path / "order")
+        os.remove(tmp_path / "text.npy")
+        assert not os.listdir(tmp_path)
+    assert max(peaks) < allowance * 600 and peaks[1] < 1.5 * peaks[0]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from specloom.llm import queries, suffix_dedup
@@ -34,7 +35,7 @@ def test_query_against_brute_force(spark, small):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize(("seed", "options"), [(0, {}), (1, {"shard_bytes": 1, "memory": 50}), (2, {"max_filter_bits": 2**20, "shard_bytes": 500}), (3, {"hot_segments": 1}), (4, {"hot_segments": 3, "shard_bytes": 400})])
+@pytest.mark.parametrize(("seed", "options"), [(0, {}), (1, {"shard_bytes": 1, "memory": 50}), (2, {"max_filter_bits": 2**20, "shard_bytes": 500}), (3, {"hot_segments": 1}), (4, {"hot_segments": 3, "shard_bytes": 400}), (5, {"hot_segments": 2, "shard_bytes": 1 << 20, "memory": 60})])
 def test_random_texts(spark, monkeypatch, seed, options):
     rng = random.Random(seed)
     words = ["ab", "é", "x" * 7, "\n", " ", "lorem ", "日本"]
@@ -55,3 +56,38 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.substring_dedup(docs, length=20).collect())
     assert rows == [(False, 4, 29), (False, 4, 29), (False, 9, 0), (True, 0, 30)]
     assert suffix_dedup.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_split_segments_hold_each_string_once_under_one_key():
+    rng = np.random.default_rng(0)
+    body = rng.integers(97, 100, 3000).astype(np.uint8)
+    data = np.concatenate([body, body[500:1500], rng.integers(97, 100, 500).astype(np.uint8)])
+    bounds = np.array([3000, 4000, 4500])
+    plain, split = (suffix_dedup.Chunk(data, bounds, 100) for _ in range(2))
+    split.split(np.arange(0, len(split.h), 2))
+    starts = lambda c: np.sort(np.concatenate([np.arange(a, a + n) for a, n in zip(c.start, c.n, strict=True)]))
+    assert np.array_equal(starts(plain), starts(split)) and len(split.h) > len(plain.h)
+    every = suffix_dedup.Chunk(data, bounds, 100)
+    every.split(np.arange(len(every.h)))
+    keys = {}
+    for h, a, n in zip(every.h.tolist(), every.start.tolist(), every.n.tolist(), strict=True):
+        for i in range(a, a + n):
+            assert keys.setdefault(data[i : i + 100].tobytes(), h) == h
+
+
+def test_equal_hashes_alone_do_not_fold():
+    data = np.frombuffer(b"a" * 150 + b"b" * 150, np.uint8)
+    c = suffix_dedup.Chunk(data, np.array([150, 300]), 100)
+    assert c.same(np.array([0, 0]), np.array([1, len(c.h) - 1])).tolist() == [True, False]
+
+
+def test_a_hot_anchor_with_many_different_surroundings(spark):
+    rng = random.Random(1)
+    middle = "".join(rng.choice("abcdefgh") for _ in range(40))
+    texts = ["".join(rng.choice("xyz") for _ in range(40)) + middle + "".join(rng.choice("uvw") for _ in range(rng.choice([3, 40]))) for _ in range(60)]
+    texts += [t[10:] for t in texts[:20]] + [middle * 4] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(9)
+    want = brute(dict(enumerate(texts)), 50)
+    for options in ({}, {"hot_segments": 10, "shard_bytes": 5000}, {"hot_segments": 10, "memory": 100}):
+        for r in suffix_dedup.substring_dedup(docs, length=50, **options).collect():
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
