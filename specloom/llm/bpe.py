@@ -1,31 +1,37 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-A long text is cut before encoding, at places where the split pattern always ends a match: after a
-letter or digit and before a blank or line feed (no alternative of the pattern has white space
-after other characters, and none looks behind). Encoding the parts thus gives the ids of the whole.
-Ids decode to raw bytes, whatever their place in a character.
-
-Defined cases: a null text counts as empty and has no ids; a text without a safe place is encoded
-whole; an empty table gives an empty result; other columns are carried, and a clash with the new
-column's name raises ValueError.
+A long text is cut before encoding, at places where the split pattern always ends a match: between a
+letter, mark or number of any script and a blank or line feed (no alternative of the pattern has white
+space after other characters, and none looks behind); in scripts without blanks, between a letter and
+a closing or clause mark of SAFE_MARKS, which no alternative joins to a letter before it. Encoding the
+parts thus gives the ids of the whole. Ids decode to raw bytes, whatever their place in a character.
+
+Defined cases: a null text counts as empty and has no ids; rows that repeat an id, null ids and equal
+texts are rows of their own; a text without a safe place (one run of letters, say) is encoded whole;
+an empty table gives an empty result; other columns are carried, and the new column gets underscores
+where its name clashes. Batches are cut by bytes of text or ids, so no array outgrows its offsets.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import slices
+from .common import free_name, slices
 
-SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
-LONG = 1 << 16
+#: Marks that end clauses in scripts without blanks; none is an apostrophe, which may begin a suffix of the word before.
+SAFE_MARKS = "。、，．！？；：」』）】》"
+SAFE = regex.compile(rf"(?<=[\p{{L}}\p{{N}}])(?=[ \n])|(?<=\p{{L}})(?=[{SAFE_MARKS}])")
+LONG, IDS = 1 << 16, 1 << 19  # characters of a part; ids that are decoded together
 
 
 @lru_cache(maxsize=4)
@@ -52,10 +58,8 @@ def encode_text(text: str | None, enc) -> np.ndarray:
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """df with an array<int> column of token ids."""
-    if ids_column in df.columns:
-        raise ValueError(f"the table has a column {ids_column} already")
-    at = df.columns.index(text_column)
+    """df with an array<int> column of token ids, the last one."""
+    at, ids_column = df.columns.index(text_column), free_name(df.columns, ids_column)
 
     def run(batches):
         enc = encoding(rank_path, pattern)
@@ -66,26 +70,26 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_column: str = "text
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids_column])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, f"`{ids_column}` array<int>"]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(ids_column, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
-    """df with a binary column: the bytes that the ids stand for (null ids: no bytes)."""
-    if bytes_column in df.columns:
-        raise ValueError(f"the table has a column {bytes_column} already")
-    at = df.columns.index(ids_column)
+    """df with a binary column, the last one: the bytes that the ids stand for (null ids: no bytes)."""
+    at, bytes_column = df.columns.index(ids_column), free_name(df.columns, bytes_column)
 
     def run(batches):
         enc = encoding(rank_path, pattern)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            sizes = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(whole.column(at)), 0)), dtype=np.int64)
+            start = 0
+            while start < whole.num_rows:
+                upto = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + IDS, side="right")))
+                batch = whole.slice(start, upto - start)
                 column = pa.array([enc.decode_bytes(ids or []) for ids in (x.as_py() for x in batch.column(at))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, bytes_column])
+                start = upto
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, f"`{bytes_column}` binary"]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(bytes_column, BinaryType())]))
 
 
 def digests(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
