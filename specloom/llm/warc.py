@@ -1,15 +1,22 @@
 """WARC archives: one gzip member per record, written by Spark tasks and read back sequentially.
 
-The reader inflates a file chunk by chunk, takes one member as one record, frames it by its
-Content-Length and checks block and payload digests. A task writes files named after its attempt;
-Spark's committed manifest tells which attempts count, so lost executors leave no half archive in
-the result. Archives go to a folder that pyarrow.fs can open from every executor.
+The reader inflates a file chunk by chunk (at most CHUNK bytes out of each call), takes one member as
+one record, frames it by its Content-Length and checks the digests it bears. A task writes files named
+after its attempt; Spark's committed manifest tells which attempts count, so lost executors leave no
+half archive in the result. Archives go to a folder that pyarrow.fs can open from every executor.
 
 Of records with equal payloads of at least `least` bytes, that with the largest page_id is the
-response and the others are revisits which refer to it. Defined cases: a null html is an empty
-payload; a null url leaves out the target; a null page_id is never the response of a group that has
-another; rows that repeat a page_id with an equal payload are all response if that id is the
+response and the others are revisits which refer to it. Defined cases when writing: a null html is an
+empty payload; a null url leaves out the target; a null page_id is never the response of a group that
+has another; rows that repeat a page_id with an equal payload are all response if that id is the
 group's largest; an empty table gives no archives and an empty result; further columns are ignored.
+Defined cases when reading other archives: records of any type (warcinfo, request, metadata, ...) come
+out under their type; a digest that is absent or of another algorithm is not checked, and the record's
+digest is then that of its payload (of a revisit: null); header bytes that are no UTF-8 are read as
+Latin-1, and lines that begin with a blank continue the one before; an HTTP head without a (valid)
+Content-Length leaves the payload as long as the block makes it, a revisit's length then being null;
+blocks that are not HTTP messages are payload as a whole; the response of a page is the HTTP body as
+archived. What breaks framing or fails a digest raises BadRecord, which names the file.
 """
 
 from __future__ import annotations
@@ -62,7 +69,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def members(stream) -> Iterator[bytes]:
-    """The inflated gzip members of a stream, one at a time; the compressed file is never held whole."""
+    """The inflated gzip members of a stream, one at a time; the compressed file is never held whole, and no call inflates more than CHUNK bytes."""
     rest, inflate, parts = b"", None, []
     while True:
         data = rest or stream.read(CHUNK)
@@ -72,33 +79,86 @@ def members(stream) -> Iterator[bytes]:
                 raise BadRecord("the last member is cut off")
             return
         inflate = inflate or zlib.decompressobj(31)
-        parts.append(inflate.decompress(data))
+        try:
+            parts.append(inflate.decompress(data, CHUNK))
+        except zlib.error as e:
+            raise BadRecord(f"no gzip member: {e}") from e
         if inflate.eof:
             rest, inflate = inflate.unused_data, None
             yield b"".join(parts)
             parts = []
+        else:
+            rest = inflate.unconsumed_tail
+
+
+def _fields(head: bytes) -> tuple[str, dict[str, str]]:
+    """The first line and the fields (lower-case names; the first of a repeated one counts) of a head."""
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    first, *lines = text.split("\r\n")
+    found: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in " \t" and name:
+            found[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower() if colon and name.strip().lower() not in found else None
+        if name:
+            found[name] = value.strip()
+    return first, found
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value is not None and value.isascii() and value.isdigit() else None
+
+
+def _sha1(value: str | None) -> bytes | None:
+    """The digest that a header states, if it is a SHA-1, in base 32 or hexadecimal."""
+    kind, _, stated = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(stated) if len(stated) == 40 else base64.b32decode(stated.upper())
+    except ValueError as e:
+        raise BadRecord("digest header") from e
+    if len(raw) != 20:
+        raise BadRecord("digest header")
+    return raw
+
+
+def _checked(data: bytes, stated: str | None, what: str) -> None:
+    want = _sha1(stated)
+    if want is not None and hashlib.sha1(data).digest() != want:
+        raise BadRecord(what)
 
 
 def parse(raw: bytes) -> dict:
-    """Headers and block of one record, framed by Content-Length, digests checked."""
+    """Headers of one record with payload, payload_bytes and digest (hex SHA-1 of the full payload, or null), framed by Content-Length, digests checked."""
     head, blank, rest = raw.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, found = _fields(head)
+    length = _number(found.get("content-length"))
     if not blank or not version.startswith("WARC/"):
         raise BadRecord("no WARC head")
-    found = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-    length = int(found["content-length"])
+    if length is None or "warc-type" not in found:
+        raise BadRecord("no content-length or type")
     block = rest[:length]
     if len(block) < length or rest[length:] != b"\r\n\r\n":
         raise BadRecord("content-length does not frame the record")
-    if _digest(block) != found["warc-block-digest"]:
-        raise BadRecord("block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    if found["warc-type"] == "response" and _digest(payload) != found["warc-payload-digest"]:
-        raise BadRecord("payload digest")
-    full = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    if found["warc-type"] == "response" and full != len(payload):
+    _checked(block, found.get("warc-block-digest"), "block digest")
+    kind, stated = found["warc-type"], found.get("warc-payload-digest")
+    is_http = found.get("content-type", "").lower().startswith("application/http") or kind == "revisit"
+    http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    full = _number(_fields(http)[1].get("content-length"))
+    if kind == "revisit":
+        digest = _sha1(stated)
+        return found | {"payload": payload, "payload_bytes": full, "digest": digest and digest.hex()}
+    _checked(payload, stated, "payload digest")
+    if full is not None and full != len(payload):
         raise BadRecord("payload length")
-    return found | {"payload": payload, "payload_bytes": full}
+    return found | {"payload": payload, "payload_bytes": len(payload), "digest": hashlib.sha1(payload).hexdigest()}
 
 
 def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -149,8 +209,6 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
         names = ["record_type", "page_id", "url", "refers_to", "digest", "payload_bytes", "payload"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        number = lambda x: None if x is None else int(x)
-
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
@@ -159,10 +217,12 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 store, inner = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_stream(inner, compression=None) as stream:
-                    for raw in members(stream):
-                        r = parse(raw)
-                        hexed = base64.b32decode(r["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        rows.append((r["warc-type"], number(r.get("x-page-id")), r.get("warc-target-uri"), number(r.get("x-refers-to-page-id")), hexed, r["payload_bytes"], r["payload"] if with_payload else None))
+                    for nth, raw in enumerate(members(stream)):
+                        try:
+                            r = parse(raw)
+                        except BadRecord as e:
+                            raise BadRecord(f"record {nth} of {path}: {e}") from e
+                        rows.append((r["warc-type"], _number(r.get("x-page-id")), r.get("warc-target-uri"), _number(r.get("x-refers-to-page-id")), r["digest"], r["payload_bytes"], r["payload"] if with_payload else None))
                         held += len(r["payload"]) if with_payload else 200
                         if held >= CHUNK * 4:
                             yield batch_of(rows)

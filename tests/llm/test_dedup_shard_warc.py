@@ -154,6 +154,47 @@ def test_broken_archives_are_refused():
         list(warc.members(Stream(record[:-9])))
 
 
+def foreign(kind, fields, block, version="WARC/1.0"):
+    head = b"".join(k + b": " + v + b"\r\n" for k, v in [(b"WARC-Type", kind), *fields])
+    return version.encode() + b"\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers_have_defined_results():
+    http = (b"Content-Type", b"application/http; msgtype=response")
+    info = warc.parse(foreign(b"warcinfo", [(b"Content-Type", b"application/warc-fields")], b"software: x\r\n\r\nmore"))
+    assert (info["warc-type"], info["payload"], info["payload_bytes"]) == ("warcinfo", b"software: x\r\n\r\nmore", 21)
+    bare = warc.parse(foreign(b"response", [http], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: x\r\n\r\nbody"))
+    assert (bare["payload"], bare["payload_bytes"], bare["digest"]) == (b"body", 4, hashlib.sha1(b"body").hexdigest())
+    assert warc.parse(foreign(b"request", [http], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"))["payload_bytes"] == 0
+    odd = warc.parse(foreign(b"metadata", [(b"WARC-Target-URI", b"http://a/\xff"), (b"X-Long", b"a\r\n b")], b""))
+    assert odd["warc-target-uri"] == "http://a/\xff" and odd["x-long"] == "a b"
+    other = warc.parse(foreign(b"resource", [(b"WARC-Block-Digest", b"md5:00")], b"data"))
+    assert other["payload"] == b"data"
+    assert warc.parse(foreign(b"response", [http, (b"WARC-Payload-Digest", b"sha1:" + hashlib.sha1(b"b").hexdigest().encode())], b"HTTP/1.1 200 OK\r\n\r\nb"))["digest"] == hashlib.sha1(b"b").hexdigest()
+    again = warc.parse(foreign(b"revisit", [http], b"HTTP/1.1 200 OK\r\n\r\n"))
+    assert (again["payload_bytes"], again["digest"]) == (None, None)
+    for bad in (foreign(b"response", [http, (b"WARC-Payload-Digest", b"sha1:!!")], b"HTTP/1.1 200 OK\r\n\r\nb"), foreign(b"response", [http], b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nb"), b"WARC/1.0\r\nWARC-Type: x\r\n\r\n", foreign(b"a", [], b"x").replace(b"Length: 1", b"Length: z")):
+        with pytest.raises(warc.BadRecord):
+            warc.parse(bad)
+
+
+def test_a_member_that_inflates_far_beyond_a_chunk(monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    record = warc.make_record(1, "u", b"x" * 300_000, None)
+    assert [warc.parse(raw)["payload_bytes"] for raw in warc.members(io.BytesIO(record * 2))] == [300_000] * 2
+    with pytest.raises(warc.BadRecord):
+        list(warc.members(io.BytesIO(b"no gzip at all")))
+
+
+def test_repeated_page_ids(spark):
+    big = "y" * 1500
+    pages = spark.createDataFrame([(3, "u", big), (3, "u", big), (1, "u", big), (1, None, "s"), (1, None, "s"), (None, None, None)], "page_id bigint, url string, html string")
+    rows = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.round_trip(pages).collect())
+    assert rows == [(0, 0, "response", 0), (1, 1, "response", 0), (1, 1, "response", 0), (1, 1500, "revisit", 3), (3, 1500, "response", 0), (3, 1500, "response", 0)]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
