@@ -1,17 +1,22 @@
 """Quality rules: a decision list learned by sequential covering over per-document statistics.
 
-Statistics of every whole text are computed once. Rules are learned from labelled rows: a rule is
-a conjunction of thresholds, grown by FOIL gain on two thirds of the sample, pruned from its end on
-the other third, and accepted only if it still holds there; covered rows leave and the next rule is
-grown. The list is then an ordered Spark conditional expression applied to all rows. Rules only
-reject, and must be precise, so unusual but clean documents stay.
+Statistics of every whole text are computed once. Rules are learned from labelled rows that the base
+rule lets pass: a rule is a conjunction of thresholds, grown by FOIL gain on two thirds of the sample
+(each condition's thresholds lie between the values of the rows still inside, at quantiles of the bad
+ones), pruned from its end on the other third, and accepted only if it is precise on both parts;
+covered rows leave and the next rule is grown. A rule that is refused leaves too, with the bad rows
+that it was grown for set aside, so that other kinds of bad rows still get rules. The list is then an
+ordered Spark conditional expression applied to all rows. Rules only reject, and must be precise, so
+unusual but clean documents stay.
 
 The learner reads at most `sample_rows` labelled rows (those with the smallest id hashes).
 
-Defined cases: a null text has no words; a document without words fails the base rule; without
-usable labels the list is empty and only the base rules reject; labels that disagree about a
-document count as their mean (0.5 and above is good); an empty table gives an empty result; further
-columns are ignored.
+Defined cases: a null text has no words; a document without words fails the base rule; long texts are
+read whole; rows that repeat a doc_id, or have none, are documents of their own, and all that repeat a
+labelled one bear its label; without usable labels the list is empty and only the base rules reject;
+labels that disagree about a document count as their mean (0.5 and above is good); of rules that both
+hold the first counts, of equal gains the first feature and threshold; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +119,16 @@ def covers(rule: Rule, x: dict[str, np.ndarray], rows: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cut_points: dict[str, np.ndarray], most: int) -> Rule:
+def thresholds(values: np.ndarray, bad: np.ndarray, most: int = 41) -> np.ndarray:
+    """Places between the values that occur, on either side of quantiles of the bad rows' values."""
+    distinct = np.unique(values)
+    between = (distinct[1:] + distinct[:-1]) / 2
+    at = np.searchsorted(between, np.unique(np.quantile(values[bad], np.linspace(0, 1, most))))
+    near = np.unique(np.concatenate([at - 1, at]))
+    return between[near[(near >= 0) & (near < len(between))]]
+
+
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
     rule: Rule = ()
     inside = np.ones(len(bad), bool)
     while len(rule) < most and (inside & ~bad).any():
@@ -122,14 +136,14 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cut_points: dict[str, np.nd
         if not p:
             break
         base, best = np.log2(p / (p + n)), (1e-9, None)
-        for name, points in cut_points.items():
-            for t in points:
-                for above in (True, False):
-                    c = Condition(name, above, float(t))
-                    held = inside & c.holds(x)
-                    p1, n1 = (held & bad).sum(), (held & ~bad).sum()
+        for name, values in x.items():
+            own, wrong = values[inside], bad[inside]
+            for t in thresholds(own, wrong).tolist():
+                over = own > t
+                for above, held in ((True, over), (False, ~over)):
+                    p1, n1 = (held & wrong).sum(), (held & ~wrong).sum()
                     if p1 and (gain := p1 * (np.log2(p1 / (p1 + n1)) - base)) > best[0]:
-                        best = (gain, c)
+                        best = (gain, Condition(name, above, t))
         if best[1] is None:
             break
         rule += (best[1],)
@@ -137,37 +151,48 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cut_points: dict[str, np.nd
     return rule
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray, precision: float = 0.97, least: int = 3, most_rules: int = 12, most_conditions: int = 4) -> list[Rule]:
-    """Sequential covering: each rule is grown on the rows not held out and pruned and judged on those held out."""
-    left, rules = np.ones(len(bad), bool), []
-    steps = {f: np.unique(np.quantile(v, np.linspace(0, 1, 41))) for f, v in x.items()} if len(bad) else {}
-    cut_points = {f: (q[1:] + q[:-1]) / 2 for f, q in steps.items()}  # between the values that occur, not at them
-    while len(rules) < most_rules and (left & bad & ~held_out).any():
-        part = lambda rows: {f: v[rows] for f, v in x.items()}
-        grown = _grow(part(left & ~held_out), bad[left & ~held_out], cut_points, most_conditions)
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray, precision: float = 0.97, least: int = 2, most_rules: int = 12, most_conditions: int = 4, most_tries: int = 40) -> list[Rule]:
+    """Sequential covering: each rule is grown on the rows not held out and pruned on those held out; it must hit `least` held-out bad rows and be precise on both parts."""
+    left, wanted, rules = np.ones(len(bad), bool), bad.copy(), []
+    part = lambda rows: {f: v[rows] for f, v in x.items()}
+    for _ in range(most_tries):
+        if len(rules) == most_rules or not (left & wanted & ~held_out).any():
+            break
+        own = left & ~held_out & (wanted | ~bad)  # bad rows that have been set aside neither help nor hurt
+        grown = _grow(part(own), bad[own], most_conditions)
         if not grown:
             break
         tested, b = part(left & held_out), bad[left & held_out]
 
-        def worth(rule: Rule, tested=tested, b=b) -> float:
+        def judged(rule: Rule, tested=tested, b=b) -> tuple[int, int]:
             c = covers(rule, tested, len(b))
-            return float((c & b).sum() - (c & ~b).sum()) / max(1, int(c.sum()))
+            return int((c & b).sum()), int((c & ~b).sum())
+
+        def worth(rule: Rule, judged=judged) -> float:
+            hits, wrong = judged(rule)
+            return (hits - wrong) / max(1, hits + wrong)
 
         rule = max((grown[:k] for k in range(len(grown), 0, -1)), key=worth)
-        c = covers(rule, tested, len(b))
-        hits, wrong = int((c & b).sum()), int((c & ~b).sum())
-        if hits < least or hits / (hits + wrong) < precision:
-            break
-        rules.append(rule)
-        left &= ~covers(rule, x, len(bad))
+        hits, wrong = judged(rule)
+        covered = covers(rule, x, len(bad))
+        seen = covered & left & ~held_out
+        fine = hits >= least and hits >= precision * (hits + wrong) and (seen & bad).sum() >= precision * seen.sum()
+        if fine:
+            rules.append(rule)
+            left &= ~covered
+        else:
+            aside = covers(grown, x, len(bad)) & ~held_out
+            if not (aside & wanted).any():
+                break
+            wanted &= ~aside
     return rules
 
 
 def sample(counts: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Features, badness and the held-out third of at most sample_rows labelled documents."""
+    """Features, badness and the held-out third of at most sample_rows labelled documents that pass the base rule."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    few = in_sample("doc_id", sample_rows, labels.count())
-    joined = counts.where(few).join(marks.where(few), "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    few = in_sample("doc_id", sample_rows, marks.count())
+    joined = counts.where(few).where(~base_failed()).join(marks.where(few), "doc_id").withColumn("h", F.xxhash64("doc_id"))
     rows = joined.orderBy("h", "doc_id").limit(sample_rows).select("h", "quality", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas()
     return {f: rows[f].to_numpy(np.float64) for f in FEATURES}, rows["quality"].to_numpy(np.float64) < 0.5, rows["h"].to_numpy(np.int64) % 3 == 0
 
