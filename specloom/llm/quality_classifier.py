@@ -1,70 +1,100 @@
 """Quality classifier by co-training two views of a document.
 
-One logistic model sees the text's words, the other the page's metadata: language, source, length
-and layout ratios, in steps. They are fitted on labelled rows, then for some rounds each labels the
-unlabelled documents it is surest about for the other to learn from. Each is calibrated on labelled
-rows that were held out, the calibrated views are combined there, and the threshold is the highest,
-0.5 at most, at which nine of ten held-out documents that fall are bad. Fitting reads at most `labelled_rows` labelled
-and `pool_rows` unlabelled documents (those with the smallest id hashes); every document is scored.
-
-Defined cases: null texts, languages and sources count as empty; labels that disagree about a
-document count as their mean; null labels are left out; without labels of both classes all documents
-score 0.5 and stay; an empty table gives an empty result; scoring carries all columns.
+One logistic model sees the text: its words, their endings and how it is laid out, in steps. The other
+sees the page's metadata alone: language, source and stored length, and their combinations. Both are
+fitted on labelled rows and calibrated on labelled rows that were held out. In each round Spark scores
+all documents with both; what one view is sure of (a calibrated score beyond SURE, and well beyond the
+share of good documents) is a pseudo-label for the other, and the tasks count, for each view, in how
+many documents that the other has labelled either way each feature occurs. From these sums, which are
+of fixed size whatever the corpus, each view takes the log-odds of its features as one more input and
+is fitted and calibrated again. The calibrated views are then combined on the held-out rows, and the
+threshold is the highest, 0.5 at most, at which nine of ten held-out documents that fall are bad.
+
+Fitting reads at most `labelled_rows` labelled documents (those with the smallest id hashes) with at
+most FEATURES_KEPT features in all; rounds and scoring read every document.
+
+Defined cases: null texts, languages and sources count as empty, as do such columns where they are
+missing; labels that disagree about a document count as their mean; null labels are left out; of rows
+that repeat a labelled doc_id one (that with the least text hash) is fitted, and all are scored; long
+texts are read whole; documents with equal views get equal scores, and a score at the threshold stays;
+without labels of both classes all documents score 0.5 and stay; an empty table gives an empty result;
+scoring carries all columns, and names its own with underscores where they clash.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import free_name, in_sample, slices
+from .common import cut, free_name, in_sample, slices
 
 DIM = 1 << 16
-LABELLED_ROWS, POOL_ROWS = 8_000, 4_000
+WORDS = DIM - 1024  # places of layout steps follow those of words
+LABELLED_ROWS, FEATURES_KEPT = 8_000, 8_000_000
+ROUNDS, SURE, LAYOUT = 2, 0.9, 0.8
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>=_{}\\^~", bytes(range(65, 91)), bytes(range(48, 58))
 
 
-def text_features(text: str) -> np.ndarray:
-    """Hashed features present in the text: its words, and their last characters."""
-    words = set(text.lower().encode().split())
-    found = {crc32(w) % DIM for w in words}
-    found.update(crc32(tail, 7) % DIM for tail in {w[-3:] for w in words})
-    return np.fromiter(found, np.int32, len(found))
+def _hashed(steps: dict[str, object], first: int, places: int) -> set[int]:
+    return {first + crc32(f"{k}:{v}".encode("utf-8", "surrogatepass")) % places for k, v in steps.items()}
 
 
-def meta_features(text: str, lang: str | None, source: str | None) -> np.ndarray:
+def text_features(text: str) -> np.ndarray:
+    """Hashed features of the text: the words present, their last characters, and layout ratios in steps."""
     raw = text.encode()
-    words = raw.split()
-    size, n = max(1, len(raw)), max(1, len(words))
+    low = raw.lower()  # A-Z; other letters stay
+    every = low.split()
+    words = set(every)
+    found = {crc32(w) % WORDS for w in words}
+    found.update(crc32(tail, 7) % WORDS for tail in {w[-3:] for w in words})
+    size, n = max(1, len(raw)), max(1, len(every))
     share = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
-    steps = {
-        "length": int(2 * math.log2(1 + len(raw))),
-        "word": min(40, int(2 * (size / n))),
-        "symbols": min(20, int(50 * share(SYMBOLS) + 0.999)),
-        "upper": min(10, int(20 * share(UPPER))),
-        "digits": min(10, int(40 * share(DIGITS))),
-        "marks": min(10, int(50 * share(b"!"))),
-        "distinct": int(10 * len(set(words)) / n),
-        "lines": min(12, int(60 * share(b"\n"))),
-        "lang": lang or "",
-        "source": source or "",
-    }
-    return np.array(sorted({crc32(f"{k}:{v}".encode()) % DIM for k, v in steps.items()}), np.int32)
+    found |= _hashed(
+        {
+            "word": min(40, int(2 * (size / n))),
+            "symbols": min(20, int(50 * share(SYMBOLS) + 0.999)),
+            "upper": min(10, int(20 * share(UPPER))),
+            "digits": min(10, int(40 * share(DIGITS))),
+            "marks": min(10, int(50 * share(b"!"))),
+            "distinct": int(10 * len(words) / n),
+            "lines": min(12, int(60 * share(b"\n"))),
+        },
+        WORDS,
+        DIM - WORDS,
+    )
+    return np.fromiter(found, np.int32, len(found))
+
+
+def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Hashed features of what is stored about the page; nothing of its text."""
+    length = "" if n_chars is None else int(2 * math.log2(1 + max(0, n_chars)))
+    lang, source = lang or "", source or ""
+    return np.array(sorted(_hashed({"lang": lang, "source": source, "length": length, "both": f"{lang} {source}", "size": f"{source} {length}"}, 0, WORDS)), np.int32)
 
 
 @dataclass
 class Rows:
-    """Sparse binary rows, each scaled to length one."""
+    """Sparse binary rows; words and the like are scaled to length one together, so many do not drown the layout steps."""
 
     at: np.ndarray
     index: np.ndarray
 
+    @cached_property
+    def value(self) -> np.ndarray:
+        if not len(self):
+            return np.empty(0)
+        words = self.index < WORDS
+        n = np.add.reduceat(words, self.at[:-1], dtype=np.int64)
+        return np.where(words, np.repeat(1 / np.sqrt(np.maximum(1, n)), np.diff(self.at)), LAYOUT)
+
     @classmethod
     def of(cls, rows: list[np.ndarray]) -> Rows:
         rows = [r if len(r) else np.zeros(1, np.int32) for r in rows]
@@ -79,24 +109,25 @@ class Rows:
     def logits(self, w: np.ndarray) -> np.ndarray:
         if not len(self):
             return np.empty(0)
-        return np.add.reduceat(w[self.index], self.at[:-1]) / np.sqrt(np.diff(self.at)) + w[DIM]
+        return np.add.reduceat(w[self.index] * self.value, self.at[:-1]) + w[DIM]
 
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: Rows, y: np.ndarray, steps: int = 60, rate: float = 0.5, shrink: float = 1e-5) -> np.ndarray:
-    """Logistic regression, classes weighted alike, by adaptive full-batch gradient steps."""
-    w, past = np.zeros(DIM + 1), np.full(DIM + 1, 1e-8)
+def fit(x: Rows, y: np.ndarray, odds: np.ndarray | None = None, steps: int = 60, rate: float = 0.5, shrink: float = 1e-5) -> np.ndarray:
+    """Logistic regression, classes weighted alike, by adaptive full-batch gradient steps; the features' log-odds, summed up, are one more input."""
+    odds = np.zeros(DIM + 1) if odds is None else np.append(odds, 0.0)
+    w, past = np.zeros(DIM + 2), np.full(DIM + 2, 1e-8)
     weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    sizes = np.diff(x.at)
+    sizes, told = np.diff(x.at), x.logits(odds)
     for _ in range(steps):
-        err = (sigmoid(x.logits(w)) - y) * weight
-        grad = np.append(np.bincount(x.index, np.repeat(err / np.sqrt(sizes), sizes), DIM), err.sum()) + shrink * w
+        err = (sigmoid(x.logits(w[:-1]) + w[-1] * told) - y) * weight
+        grad = np.append(np.bincount(x.index, np.repeat(err, sizes) * x.value, DIM), [err.sum(), (err * told).sum()]) + shrink * w
         past += grad * grad
         w -= rate * grad / np.sqrt(past)
-    return w
+    return w[:-1] + w[-1] * odds
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,26 +156,43 @@ class Model:
         return sigmoid(zt), sigmoid(zm), sigmoid(self.mix[0] * zt + self.mix[1] * zm + self.mix[2])
 
 
-def co_train(views: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows], rounds: int = 3, share: float = 0.05, sure: float = 0.9) -> list[np.ndarray]:
-    """Weights of both views after exchanging confident pseudo-labels over the pool."""
-    extra: list[dict[int, bool]] = [{}, {}]  # what each view has been told about the pool
-    weights = []
-    for turn in range(rounds + 1):
-        weights = []
-        for v in (0, 1):
-            told = extra[v]
-            own = pool[v].take(np.array(list(told), np.int64))
-            rows = Rows(np.concatenate([views[v].at, views[v].at[-1] + own.at[1:]]), np.concatenate([views[v].index, own.index]))
-            weights.append(fit(rows, np.concatenate([y, np.array(list(told.values()), bool)])))
-        if turn == rounds or not len(pool[0]):
-            break
-        most = max(1, int(share * len(pool[0])))
-        for v in (0, 1):
-            p = sigmoid(pool[v].logits(weights[v]))
-            for label, order in ((True, np.argsort(-p)), (False, np.argsort(p))):
-                fresh = [int(i) for i in order if int(i) not in extra[1 - v]][:most]
-                extra[1 - v].update((i, label) for i in fresh if (p[i] if label else 1 - p[i]) >= sure)
-    return weights
+def sure_labels(p: np.ndarray, prior: float, sure: float = SURE) -> np.ndarray:
+    """1 for surely good, 0 for surely bad, -1 for neither: beyond `sure`, and with odds that much beyond those of all documents."""
+    lift = np.log(np.clip(p, 1e-9, 1 - 1e-9) / np.clip(1 - p, 1e-9, 1)) - math.log(prior / (1 - prior))
+    least = math.log(sure / (1 - sure))
+    return np.where((p >= sure) & (lift >= least), 1, np.where((p <= 1 - sure) & (lift <= -least), 0, -1))
+
+
+def label_sums(docs: DataFrame, model: Model, prior: float) -> np.ndarray:
+    """[view, label, feature]: in how many of the documents that the other view is sure of the feature occurs; the last feature counts the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weight vectors of fixed size
+
+    def run(batches):
+        model, sums = shared.value, np.zeros((2, 2, DIM + 1), np.int64)
+        for batch in batches:
+            for views in view_rows(batch, 0):
+                p = model.score(*views)
+                for v in (0, 1):
+                    labels = sure_labels(p[1 - v], prior)
+                    for label in (0, 1):
+                        rows = views[v].take(np.flatnonzero(labels == label))
+                        if len(rows):
+                            sums[v, label] += np.append(np.bincount(rows.index, minlength=DIM), len(rows))
+        found = np.flatnonzero(sums.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums.ravel()[found])], names=["at", "n"])
+
+    counted = docs.select("text", "lang", "source", "n_chars").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    out, table = np.zeros((2, 2, DIM + 1), np.int64), counted.toArrow()  # at most 4 (DIM + 1) rows
+    out.ravel()[np.asarray(table.column("at"))] = np.asarray(table.column("n"))
+    return out
+
+
+def log_odds(sums: np.ndarray) -> np.ndarray | None:
+    """Of each feature, between the documents labelled good and bad; None unless there are both."""
+    if not sums[:, -1].all():
+        return None
+    share = (sums[:, :-1] + 1) / (sums[:, -1:] + 2)
+    return np.log(share[1]) - np.log(share[0])
 
 
 def cut_point(scores: np.ndarray, good: np.ndarray, precision: float = 0.9) -> float:
@@ -157,49 +205,73 @@ def cut_point(scores: np.ndarray, good: np.ndarray, precision: float = 0.9) -> f
     return float(cuts[fits][-1]) if fits.any() else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, precision: float = 0.9) -> Model | None:
-    """The model, or None without labels of both classes."""
+def view_rows(batch, first: int):
+    """Of slices of a batch with text, lang, source and n_chars from column `first` on: the rows of both views."""
+    for own in slices(batch, batch.schema.names[first]):
+        texts, *more = (own.column(first + i).to_pylist() for i in range(4))
+        yield Rows.of([text_features(t or "") for t in texts]), Rows.of([meta_features(*x) for x in zip(*more, strict=True)])
+
+
+def viewed(docs: DataFrame) -> DataFrame:
+    """docs with text, lang, source and n_chars as they are stored, null where there is no such column."""
+    has = {c.lower() for c in docs.columns}
+    kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+    own = [(F.col(c) if c in has else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    return docs.select("doc_id", *own)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, labelled_rows: int) -> tuple[list[Rows], np.ndarray]:
+    """Both views' rows and the goodness of a bounded number of labelled documents, in an order that ids alone decide."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    some, others = in_sample("doc_id", labelled_rows, labels.count()), in_sample("doc_id", pool_rows, docs.count())
-    known = ids.where(some).join(marks.where(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    unknown = ids.where(others).join(marks.where(others), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
-    chosen = known.unionByName(unknown.withColumn("good", F.lit(None).cast("boolean")))
-    found = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen), "doc_id")  # at most labelled_rows + pool_rows rows
+    marks = cut(marks, "classifier-marks")
+    few = in_sample("doc_id", labelled_rows, marks.count())
+    ids = docs.select("doc_id").where(few).distinct()
+    known = ids.join(marks.where(few), "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(labelled_rows)
+    own = docs.join(F.broadcast(known), "doc_id")  # at most labelled_rows rows
+    one = own.groupBy("doc_id", "h", "good").agg(F.min_by(F.struct("text", "lang", "source", "n_chars"), F.xxhash64("text", "lang", "source", "n_chars")).alias("d"))
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                _, texts, langs, sources, good = (c.to_pylist() for c in batch.columns)
-                views = [pa.array([f(t or "", *more) for t, *more in rows], pa.list_(pa.int32())) for f, rows in ((text_features, zip(texts)), (meta_features, zip(texts, langs, sources)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good, pa.bool_()), *views], names=["doc_id", "good", "a", "b"])
-
-    rows = found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, a array<int>, b array<int>").toArrow()
-    order = np.argsort([crc32(str(i).encode()) for i in rows.column("doc_id").to_pylist()], kind="stable")
-    good = [rows.column("good")[int(i)].as_py() for i in order]
-    views = []
-    for c in ("a", "b"):
-        flat, own = rows.column(c).combine_chunks(), []
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.chunk(0) if flat.num_chunks else pa.array([], pa.list_(pa.int32()))
-        at, values = np.asarray(flat.offsets), np.asarray(flat.values)
-        own = [values[at[i] : at[i + 1]] for i in order]
-        views.append(own)
-    marked, pooled = [i for i, g in enumerate(good) if g is not None], [i for i, g in enumerate(good) if g is None]
-    y = np.array([good[i] for i in marked], bool)
+        for batch in batches:
+            done = 0
+            for views in view_rows(batch, 3):
+                n = len(views[0])
+                lists = [pa.ListArray.from_arrays(pa.array(v.at.astype(np.int32)), pa.array(v.index)) for v in views]
+                sizes = pa.array(np.diff(views[0].at))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, n) for i in range(3)), sizes, *lists], names=["doc_id", "h", "good", "n", "a", "b"])
+                done += n
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(one.select("doc_id", "h", "good", "d.*").mapInArrow(run, f"doc_id {kind}, h bigint, good boolean, n bigint, a array<int>, b array<int>"), "classifier-labelled")
+    order = rows.select("doc_id", "h", "n").toPandas().sort_values(["h", "doc_id"])
+    kept = order["h"][order["n"].cumsum() <= FEATURES_KEPT]
+    if not len(kept):
+        return [Rows.of([]), Rows.of([])], np.empty(0, bool)
+    table = rows.where(F.col("h") <= int(kept.iloc[-1])).orderBy("h", "doc_id").select("good", "a", "b").toArrow()
+    views = [Rows.of([np.asarray(x.values) for x in table.column(c)]) for c in ("a", "b")]
+    return views, np.array(table.column("good").to_pylist(), bool)
+
+
+def calibrated(weights: list[np.ndarray], held: list[Rows], good: np.ndarray) -> Model:
+    y = good.astype(float)
+    z = [x.logits(w) for x, w in zip(held, weights, strict=True)]
+    scale = [platt(v[:, None], y) for v in z]
+    mix = platt(np.column_stack([s[0] * v + s[1] for s, v in zip(scale, z, strict=True)]), y)
+    return Model(*weights, *scale, mix, 0.5)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, precision: float = 0.9) -> Model | None:
+    """The model, or None without labels of both classes."""
+    docs = viewed(docs)
+    views, y = labelled(docs, labels, labelled_rows)
     test = np.arange(len(y)) % 4 == 0
     if any(not part.any() or part.all() for part in (y[test], y[~test])):
         return None
-    of = lambda v, which: Rows.of([views[v][i] for i in which])
-    fitted = [m for m, t in zip(marked, test, strict=True) if not t]
-    held = [m for m, t in zip(marked, test, strict=True) if t]
-    text, meta = co_train((of(0, fitted), of(1, fitted)), y[~test], (of(0, pooled), of(1, pooled)))
-    zt, zm, known_y = of(0, held).logits(text), of(1, held).logits(meta), y[test].astype(float)
-    text_scale, meta_scale = platt(zt[:, None], known_y), platt(zm[:, None], known_y)
-    mix = platt(np.column_stack([text_scale[0] * zt + text_scale[1], meta_scale[0] * zm + meta_scale[1]]), known_y)
-    model = Model(text, meta, text_scale, meta_scale, mix, 0.5)
-    both = model.score(of(0, held), of(1, held))[2]
-    model.threshold = cut_point(both, y[test], precision)
+    fitted, held = ([v.take(np.flatnonzero(part)) for v in views] for part in (~test, test))
+    model = calibrated([fit(x, y[~test]) for x in fitted], held, y[test])
+    for _ in range(rounds):
+        sums = label_sums(docs, model, float(np.clip(y[~test].mean(), 0.01, 0.99)))
+        model = calibrated([fit(x, y[~test], log_odds(sums[v])) for v, x in enumerate(fitted)], held, y[test])
+    model.threshold = cut_point(model.score(*held)[2], y[test], precision)
     return model
 
 
@@ -209,19 +281,20 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.withColumns({c: F.lit(0.5) for c in names[:3]} | {names[3]: F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors of fixed size
-    at = [docs.columns.index(c) for c in ("text", "lang", "source")]
+    has = {c.lower(): c for c in docs.columns}
+    at = [docs.columns.index(has[c]) if c in has else None for c in ("text", "lang", "source", "n_chars")]
 
     def run(batches):
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, "text"):
-                texts, langs, sources = (batch.column(i).to_pylist() for i in at)
-                texts = [t or "" for t in texts]
-                p = model.score(Rows.of([text_features(t) for t in texts]), Rows.of([meta_features(*x) for x in zip(texts, langs, sources, strict=True)]))
+            for batch in slices(whole, whole.schema.names[at[0]]):
+                own = [pa.nulls(batch.num_rows) if i is None else batch.column(i) for i in at]
+                texts, *more = (c.to_pylist() for c in own)
+                p = model.score(Rows.of([text_features(t or "") for t in texts]), Rows.of([meta_features(*x) for x in zip(*more, strict=True)]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p), pa.array(p[2] >= model.threshold)], names=[*batch.schema.names, *names])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, *(f"`{c}` double" for c in names[:3]), f"`{names[3]}` boolean"]))
+    added = [*(StructField(c, DoubleType()) for c in names[:3]), StructField(names[3], BooleanType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

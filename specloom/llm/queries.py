@@ -50,8 +50,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text", "lang", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text", "lang", "source", "n_chars")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
