@@ -41,15 +41,14 @@ class Engine:
             self.store.change("projects", snapshots.delete, keys)
             return
         names = [t for t in {r[0] for r in snapshots.REFERENCES} | {"projects"} if self.store.version(t)]
-        for name, table in snapshots.cascade({t: self.store.read(t) for t in names}, "projects", keys).items():
-            self.store.write(name, table)
+        read = {t: self.store.version(t) for t in names}
+        self.store.commit(snapshots.cascade({t: self.store.read(t) for t in names}, "projects", keys), read)
 
     # results
     def apply_classification(self, results: DataFrame) -> None:
         keys = ["spec_id", "section_number"]
         ok = classification.succeeded(classification.with_key(results))
-        folded = classification.fold_pages(self.store.read("sections"), classification.page_lists(ok, keys), keys)
-        self.store.write("sections", classification.mark_manual(folded, ok, keys))
+        self.store.change("sections", lambda old: classification.mark_manual(classification.fold_pages(old, classification.page_lists(ok, keys), keys), ok, keys))
 
     def merge_summaries(self, results: DataFrame) -> DataFrame:
         return summaries.merge_summaries(classification.succeeded(classification.with_key(results)), ["spec_id", "section_number"])
@@ -93,16 +92,16 @@ class Engine:
         return {"score": compliance.compare_by_score, "severity": compliance.compare_by_severity}[by](pairs)
 
     def commit_selection(self, choices: DataFrame) -> None:
-        chosen, sections = lifecycle.commit_selection(self.store.read("submittal_packages"), self.store.read("sections"), choices)
-        self.store.write("submittal_packages", chosen)
-        self.store.write("sections", sections)
+        names = ("submittal_packages", "sections")
+        read = {n: self.store.version(n) for n in names}
+        self.store.commit(dict(zip(names, lifecycle.commit_selection(*(self.store.read(n) for n in names), choices), strict=True)), read)
         self.roll_up()
 
     def delete_packages(self, ids: DataFrame) -> None:
         """Scores are rolled up after the sections have changed."""
         names = ("submittal_packages", "compliance_comparisons", "sections")
-        for name, table in zip(names, lifecycle.delete_packages(*(self.store.read(n) for n in names), ids), strict=True):
-            self.store.write(name, table)
+        read = {n: self.store.version(n) for n in names}
+        self.store.commit(dict(zip(names, lifecycle.delete_packages(*(self.store.read(n) for n in names), ids), strict=True)), read)
         self.roll_up()
 
     # amendments

@@ -26,8 +26,8 @@ def failed(results: DataFrame) -> DataFrame:
 
 
 def latest_attempt(results: DataFrame, keys: list[str], attempt: str = "attempt") -> DataFrame:
-    """One row for each request, the last attempt's, so that no result is applied twice."""
-    w = Window.partitionBy(*keys).orderBy(F.col(attempt).desc_nulls_last())
+    """One row for each request, the last attempt's, so that no result is applied twice; of equal attempts the one whose contents hash lowest."""
+    w = Window.partitionBy(*keys).orderBy(F.col(attempt).desc_nulls_last(), F.xxhash64(*results.columns))
     return results.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides with at most so many rows may be broadcast; a section taxonomy has some thousands.
@@ -15,5 +18,24 @@ def small_or_plain(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df as it is now: checkpointed where the session has a folder for that, else persisted. For rows whose partition must not change between two reads."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df as it is now: checkpointed in the session's folder for that, so that lost executors lose nothing. For rows whose partition must not
+    change between two reads. A session on one machine without such a folder persists; a cluster must name one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+    return df.persist()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one run, below the session's shared folder; of this machine only where the session runs on one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+        base = "file://" + tempfile.mkdtemp(prefix="specloom-")
+    return f"{base.rstrip('/')}/specloom/{name}-{uuid.uuid4().hex}"

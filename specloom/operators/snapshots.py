@@ -5,8 +5,10 @@ it, so readers see the old table or the new one."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,40 +70,81 @@ def cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> dict[s
     return out
 
 
+class Conflict(RuntimeError):
+    """Another writer has moved a table that a commit was computed from."""
+
+
 class Snapshots:
-    """Tables under a folder: each write is a new Parquet folder, named by the newest row of the table's log."""
+    """Tables under a folder: each write is a new Parquet folder, and an entry of the store's log says which folders each table is.
+
+    An entry has the number after the newest one and is put in place only if there is none of that number yet, complete, by
+    a rename that never overwrites. So a commit of several tables shows all of them or none, and of two writers one finds
+    that it was overtaken: it goes on if the tables that it read still stand, and fails with Conflict otherwise."""
 
     def __init__(self, spark: SparkSession, root: str, partition_by: dict[str, list[str]] | None = None):
         self.spark, self.root, self.partition_by = spark, root.rstrip("/"), partition_by or {}
 
-    def _log(self, table: str) -> str:
-        return f"{self.root}/{table}/log"
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _state(self) -> tuple[int, dict[str, dict]]:
+        """Number of the newest entry, and of each table its version and folders."""
+        log = self._path(f"{self.root}/log")
+        fs = log.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()]
+        if not numbers:
+            return 0, {}
+        found = self.spark.read.text(f"{self.root}/log/{max(numbers):012d}.json", wholetext=True).first()
+        return max(numbers), json.loads(found["value"])
+
+    def _put(self, number: int, tables: dict[str, dict]) -> bool:
+        """Put an entry in place; False if there is one of that number."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        temp, final = self._path(f"{self.root}/log/.{uuid.uuid4().hex}"), self._path(f"{self.root}/log/{number:012d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf)
+        fs = final.getFileSystem(conf)
+        out = fs.create(temp, False)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        try:
+            context.rename(temp, final, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            fs.delete(temp, False)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def commit(self, tables: dict[str, DataFrame], read: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None) -> None:
+        """Write tables, and add rows to others, all at once. read has the versions of the tables that they were computed from."""
+        folders = {}
+        for table, df in [*tables.items(), *(added or {}).items()]:
+            folders[table] = f"{self.root}/{table}/data-{uuid.uuid4().hex}"
+            df.write.partitionBy(*self.partition_by.get(table, [])).parquet(folders[table])
+        while True:
+            number, now = self._state()
+            for table, version in (read or {}).items():
+                if now.get(table, {"version": 0})["version"] != version:
+                    raise Conflict(f"{table} was version {version} when it was read and is version {now.get(table, {'version': 0})['version']} now")
+            for table, folder in folders.items():
+                old = now.get(table, {"version": 0, "folders": []})
+                now[table] = {"version": old["version"] + 1, "folders": [*old["folders"], folder] if added and table in added else [folder]}
+            if self._put(number + 1, now):
+                return
 
     def write(self, table: str, df: DataFrame, version: int | None = None) -> None:
-        folder = f"{self.root}/{table}/data-{uuid.uuid4().hex}"
-        writer = df.write
-        if table in self.partition_by:
-            writer = writer.partitionBy(*self.partition_by[table])
-        writer.parquet(folder)
-        number = (self.version(table) if version is None else version) + 1
-        self.spark.createDataFrame([(number, folder)], "version bigint, folder string").coalesce(1).write.mode("append").json(self._log(table))
+        """Write a table; with version only if that is the one that stands."""
+        self.commit({table: df}, None if version is None else {table: version})
 
     def version(self, table: str) -> int:
-        try:
-            top = self.spark.read.schema("version bigint, folder string").json(self._log(table)).agg(F.max("version")).first()[0]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0
-        return top or 0
+        return self._state()[1].get(table, {"version": 0})["version"]
 
     def read(self, table: str) -> DataFrame:
-        log = self.spark.read.schema("version bigint, folder string").json(self._log(table))
-        newest = log.orderBy(F.col("version").desc()).first()
-        return self.spark.read.parquet(newest["folder"])
+        return self.spark.read.parquet(*self._state()[1][table]["folders"])
 
     def change(self, table: str, how, *args, **options) -> DataFrame:
-        """Write how(table, ...) as the table's next snapshot."""
+        """Write how(table, ...) as the table's next snapshot; Conflict if another writer has changed the table meanwhile."""
         before = self.version(table)
         self.write(table, how(self.read(table), *args, **options), before)
         return self.read(table)

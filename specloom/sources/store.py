@@ -118,13 +118,18 @@ def converted_objects(pages: DataFrame) -> DataFrame:
 
 
 def upload_metrics(written: DataFrame) -> DataFrame:
-    """One row: attempts, successes, success_rate in percent, keys that failed."""
+    """One row: attempts, successes, success_rate in percent. Which keys failed is a table: failed_uploads()."""
     from ..functions.scores import success_rate
 
-    out = written.agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("error").isNull()).alias("successes"), F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.col("key")))).alias("failed"))
+    out = written.agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("error").isNull()).alias("successes"))
     return out.withColumn("success_rate", success_rate(F.col("successes"), F.col("attempts")))
 
 
+def failed_uploads(written: DataFrame) -> DataFrame:
+    """key and error of what was not written."""
+    return written.where("error is not null").select("key", "error")
+
+
 def submittal_key(spec_id: Column, package_id: Column, unique: Column, name: Column) -> Column:
     return F.concat(spec_id, F.lit("/submittals/package_"), package_id.cast("string"), F.lit("/"), unique, F.lit("/"), name)
 

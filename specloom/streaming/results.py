@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,18 @@ def flat(results: DataFrame) -> DataFrame:
 
 
 def folded_sections(results: DataFrame) -> DataFrame:
-    """A running table of page lists per section, in update mode: lists grow as results arrive, a result that comes again is ignored."""
+    """A running table of page lists per section, in update mode: lists grow as results arrive, a result that comes again is ignored.
+
+    The state of a section holds its page lists and the ids of its results, of which there is one for each run of its pages."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         primary, reference, seen = (list(x) for x in (state.get if state.exists else ([], [], [])))
-        known = set(seen)
-        for rows in batches:
-            for r in rows.sort_values("seq").itertuples():
-                if r.custom_id in known:
-                    continue
-                known.add(r.custom_id)
-                seen.append(r.custom_id)
-                (primary if r.is_primary else reference).extend(range(r.start, r.end + 1))
+        rows = pd.concat(batches).sort_values("seq", kind="stable").drop_duplicates("custom_id")
+        rows = rows[~rows["custom_id"].isin(seen)]
+        for pages, own in ((primary, rows[rows["is_primary"]]), (reference, rows[~rows["is_primary"]])):
+            n = np.maximum(0, own["end"].to_numpy() - own["start"].to_numpy() + 1)
+            pages.extend((np.repeat(own["start"].to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())).tolist())
+        seen.extend(rows["custom_id"])
         state.update((primary, reference, seen))
         yield pd.DataFrame([{"spec_id": key[0], "section_number": key[1], "primary_pages": primary, "reference_pages": reference, "n_results": len(seen)}])
 
@@ -47,30 +48,34 @@ def folded_sections(results: DataFrame) -> DataFrame:
     return rows.groupBy("spec_id", "section_number").applyInPandasWithState(step, FOLDED, STATE, "update", "NoTimeout")
 
 
+def apply_batch(batch: DataFrame, number: int, store: Snapshots) -> DataFrame | None:
+    """Fold one micro-batch into the store's `sections`, exactly once: one commit moves `sections` and adds the batch's requests,
+    with its number, to `applied`. A batch that runs again finds its number there and changes nothing (None); the results that count otherwise."""
+    read = {t: store.version(t) for t in ("sections", "applied")}
+    rows = C.latest_attempt(C.succeeded(flat(batch)), ["custom_id"])
+    if read["applied"]:
+        applied = store.read("applied")
+        if not applied.where(F.col("batch") == number).isEmpty():
+            return None
+        rows = rows.join(applied.select("custom_id"), "custom_id", "left_anti")
+    rows = rows.persist()
+    keys = ["spec_id", "section_number"]
+    sections = C.fold_pages(store.read("sections"), C.page_lists(rows, keys), keys)
+    store.commit({"sections": sections}, read, {"applied": rows.select("custom_id", F.lit(number).cast("bigint").alias("batch"))})
+    return rows
+
+
 def apply_stream(results: DataFrame, store: Snapshots, checkpoint: str, done: Callable[[int, DataFrame], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Fold every micro-batch into the store's `sections`. What has been applied is kept in table `applied`, so a batch that runs again adds nothing."""
+    """apply_batch() on every micro-batch. done is told of each batch that counted; a crash between the two leaves it untold."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = C.latest_attempt(C.succeeded(flat(batch)), ["custom_id"])
-        if store.version("applied"):
-            rows = rows.join(store.read("applied").where(F.col("batch") != number).select("custom_id"), "custom_id", "left_anti")
-        rows = rows.persist()
-        try:
-            sections = store.read("sections")
-            before = store.version("applied")
-            stamped = rows.select("custom_id", F.lit(number).cast("bigint").alias("batch"))
-            if before:
-                again = store.read("applied").where(F.col("batch") == number)
-                if not again.isEmpty():
-                    return
-                stamped = store.read("applied").unionByName(stamped)
-            keys = ["spec_id", "section_number"]
-            store.write("sections", C.fold_pages(sections, C.page_lists(rows, keys), keys))
-            store.write("applied", stamped)
-            if done:
-                done(number, rows)
-        finally:
-            rows.unpersist()
+        rows = apply_batch(batch, number, store)
+        if rows is not None:
+            try:
+                if done:
+                    done(number, rows)
+            finally:
+                rows.unpersist()
 
     writer = results.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -236,3 +236,26 @@ def test_extraction_requests_and_records(spark):
     said = scoring.ask(asked, lambda: scoring.FixedScorer({"section_number": "030000", "products": [{"product_name": "x", "properties": [{"name": "n", "value": "1"}]}]}))
     r = scoring.extractions(said).first()
     assert r["raw"] is None and r["response"]["products"][0]["properties"][0]["value"] == "1"
+
+
+def test_two_writers_conflict_and_commits_are_whole(spark, tmp_path):
+    one, two = (snapshots.Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id bigint")
+    one.commit({"a": rows(1), "b": rows(2)})
+    seen = two.version("a")
+    one.write("a", rows(3), one.version("a"))
+    with pytest.raises(snapshots.Conflict):
+        two.write("a", rows(4), seen)
+    two.write("b", rows(5), two.version("b"))  # the table that it read still stands
+    assert [r["id"] for r in two.read("a").collect()] == [3] and (one.version("a"), one.version("b"), one.version("c")) == (2, 2, 0)
+    assert not one._put(one._state()[0], {}) and one._put(one._state()[0] + 1, one._state()[1])
+    with pytest.raises(snapshots.Conflict):
+        one.commit({"a": rows(6), "c": rows(7)}, {"c": 4})
+    one.commit({}, added={"a": rows(8)})
+    assert sorted(r["id"] for r in one.read("a").collect()) == [3, 8] and one.version("c") == 0
+
+
+def test_equal_attempts_have_one_winner(spark):
+    rows = [("r", 1, x) for x in "abcdef"]
+    found = {classification.latest_attempt(spark.createDataFrame(part, "custom_id string, attempt int, x string").repartition(n), ["custom_id"]).first()["x"] for n, part in ((1, rows), (3, rows[::-1]), (5, rows))}
+    assert len(found) == 1

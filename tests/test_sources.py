@@ -1,6 +1,9 @@
 """Stores, page functions and the result stream."""
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +128,43 @@ def test_engine_end_to_end(spark, tmp_path):
     assert [r["section_number"] for r in engine.sections_with_primary_pages("s").collect()] == ["034000"]
     engine.delete_project("s", cascade=True)
     assert engine.projects().count() == 0 and engine.sections("s").count() == 0
+
+
+def test_a_crash_between_batches_applies_nothing_twice(spark, tmp_path, monkeypatch):
+    kept = Snapshots(spark, f"file://{tmp_path}/store")
+    kept.write("sections", spark.createDataFrame([(UUID, "030000", None, None, 9, "pending")], "spec_id string, section_number string, primary_pages array<int>, reference_pages array<int>, total_pages int, classification_status string"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([line(1, "030000", 4), line(2, "030000", 6)]))
+    batch = spark.read.schema(results.BATCH_RESULT).json(f"file://{tmp_path}/in")
+    put = Snapshots._put
+    monkeypatch.setattr(Snapshots, "_put", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError, match="crash"):
+        results.apply_batch(batch, 7, kept)
+    monkeypatch.setattr(Snapshots, "_put", put)
+    assert kept.version("applied") == 0 and kept.read("sections").first()["primary_pages"] is None
+    results.apply_batch(batch, 7, kept).unpersist()
+    assert results.apply_batch(batch, 7, kept) is None
+    assert kept.read("sections").first()["primary_pages"] == [4, 6] and kept.read("applied").count() == 2
+    later = results.apply_batch(batch, 8, kept)
+    assert later.count() == 0 and kept.read("sections").first()["primary_pages"] == [4, 6]
+
+
+def test_failed_uploads_are_a_table(spark):
+    written = spark.createDataFrame([("a", 1, None), ("b", None, "no"), ("c", None, "no")], "key string, bytes bigint, error string")
+    m = store.upload_metrics(written).first()
+    assert (m["attempts"], m["successes"]) == (3, 1) and {r["key"] for r in store.failed_uploads(written).collect()} == {"b", "c"}
+
+
+def test_the_entry_works_without_the_subpackage(tmp_path):
+    code = (
+        "import sys\n"
+        "class Block:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name == 'public_tokenizers':\n"
+        "            raise ImportError(name)\n"
+        "sys.meta_path.insert(0, Block())\n"
+        "import __spark_entry__ as e\n"
+        "assert 'op1_exact_dedup' not in e.queries() and len(e.queries()) > 60 and set(e.queries()) == set(e.oracle_sql())\n"
+    )
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
