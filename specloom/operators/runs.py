@@ -38,8 +38,9 @@ def pages_per_section(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def section_counts(pairs: DataFrame, keys: list[str], section: str = "section_number") -> DataFrame:
-    """Distinct divisions and sections for each of keys."""
-    return pairs.groupBy(*keys).agg(F.countDistinct(T.division_of(F.col(section))).alias("total_divisions"), F.countDistinct(section).alias("total_sections"))
+    """Distinct divisions and sections for each of keys. Sections are made distinct first: counting both at once would double the rows."""
+    sections = pairs.select(*keys, section).distinct()
+    return sections.groupBy(*keys).agg(F.countDistinct(T.division_of(F.col(section))).alias("total_divisions"), F.count(section).alias("total_sections"))
 
 
 def single_and_multi(runs: DataFrame, keys: list[str]) -> DataFrame:

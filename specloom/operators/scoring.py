@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import EXTRACTION, decode
+from .packages import only_drawings
+from .summaries import pages_to_read
 
 # Limits of a batch and of a request's context.
 MAX_REQUESTS, SAFE_BYTES, HARD_BYTES = 10_000, 220 * 1024 * 1024, 256 * 1024 * 1024
@@ -86,16 +88,17 @@ def choose_template(drawings_only, general: str, drawings: str):
     return F.when(drawings_only, drawings).otherwise(general)
 
 
-def batches(requests: DataFrame, size: str = "size_bytes", order: str = "seq", groups: int = 64, most_requests: int = MAX_REQUESTS, most_bytes: int = SAFE_BYTES) -> DataFrame:
+def batches(requests: DataFrame, size: str = "size_bytes", order: str = "seq", span: int = 100_000, most_requests: int = MAX_REQUESTS, most_bytes: int = SAFE_BYTES) -> DataFrame:
     """requests with batch: no batch has more than most_requests or, unless one request does alone, most_bytes.
 
-    Requests are dealt by order into `groups` ranges; running sums within each cut the batches. A batch is closed
-    by half its allowance crossed, so a request never straddles the limit."""
-    dealt = requests.withColumn("_g", F.pmod(F.xxhash64(F.expr(f"{order} div 1024")), F.lit(groups)))
+    Running sums within each `span` of the order cut the batches, so there are as many tasks as there are spans. A batch
+    is closed by half its allowance crossed, so a request never straddles the limit; one of more than half stands alone."""
+    dealt = requests.withColumn("_g", F.expr(f"{order} div {span}"))
     w = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     numbered = dealt.withColumn("_bytes", F.sum(size).over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
-    cell = F.struct("_g", F.expr(f"(_bytes - {size}) div {most_bytes // 2}").alias("b"), F.expr(f"(_n - 1) div {most_requests}").alias("n"), F.when(F.col(size) > most_bytes // 2, F.col(order)).alias("alone"))
-    return numbered.withColumn("batch", F.xxhash64(cell)).drop("_g", "_bytes", "_n")
+    alone = F.col(size) > most_bytes // 2
+    shared = F.concat_ws("-", "_g", F.expr(f"(_bytes - {size}) div {most_bytes // 2}"), F.expr(f"(_n - 1) div {most_requests}"))
+    return numbered.withColumn("batch", F.when(alone, F.concat(F.lit("alone-"), F.col(order).cast("string"))).otherwise(shared)).drop("_g", "_bytes", "_n")
 
 
 def batch_metrics(batched: DataFrame, size: str = "size_bytes") -> DataFrame:
@@ -114,6 +117,45 @@ def fits_context(tokens):
     return tokens <= int(CONTEXT_TOKENS * CONTEXT_SHARE)
 
 
+def within_context(requests: DataFrame, estimate: str, count_exactly: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """requests with tokens and fits. An estimate below half of the allowance is taken as it is; only the others are counted
+    (count_exactly adds `exact_tokens`, null where it failed, and a request that cannot be counted does not fit)."""
+    small = F.coalesce(F.col(estimate) < CONTEXT_TOKENS * CONTEXT_SHARE * 0.5, F.lit(False))
+    sure = requests.where(small).withColumn("tokens", F.col(estimate).cast("bigint")).withColumn("fits", F.lit(True))
+    counted = count_exactly(requests.where(~small)).withColumn("tokens", F.col("exact_tokens").cast("bigint"))
+    return sure.unionByName(counted.withColumn("fits", F.coalesce(fits_context(F.col("tokens")), F.lit(False))).drop("exact_tokens"))
+
+
+def package_check_requests(packages: DataFrame, sections: DataFrame, submittals: DataFrame, general: str, drawings: str, url_prefix: str = "") -> DataFrame:
+    """A request for each package (id, spec_id, section_number) that has submittals: prompt, whether it holds shop drawings alone, and blocks.
+
+    Blocks are the section's pages (primary ones, else reference ones, in ascending runs), the last of them marked for the
+    cache, then the submittals by id, each part after a line of text. A package whose section does not exist gets `error`."""
+    pages = pages_to_read(F.col("primary_pages"), F.col("reference_pages"))
+    own = sections.select("spec_id", "section_number", F.array_sort(F.array_distinct(pages)).alias("_pages"), F.lit(True).alias("_found"))
+    docs = submittals.groupBy(F.col("package_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "s3_key"))), lambda s: s["s3_key"]).alias("_keys"))
+    rows = packages.join(docs, "id").join(only_drawings(submittals.withColumnRenamed("package_id", "_package"), ["_package"]).withColumnRenamed("_package", "id"), "id").join(own, ["spec_id", "section_number"], "left")
+
+    def block(kind, text=None, url=None, cached=None):
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("type"), (none if text is None else text).alias("text"), (none if url is None else url).alias("url"), (F.lit(False) if cached is None else cached).alias("cached"))
+
+    last = F.element_at("_pages", -1)
+    of_pages = F.transform("_pages", lambda p: block("document", url=F.concat(F.lit(url_prefix), T.page_key(F.col("spec_id"), p)), cached=p == last))
+    of_docs = F.transform("_keys", lambda k: block("document", url=F.concat(F.lit(url_prefix), k)))
+    first = F.concat(F.lit("The following are the specification section "), "section_number", F.lit(" pages:"))
+    blocks = F.concat(F.array(block("text", text=first)), of_pages, F.array(block("text", text=F.lit("The following are the submittal documents to review:"))), of_docs)
+    asked = choose_template(F.col("drawings_only"), general, drawings)
+    found = F.coalesce(F.col("_found"), F.lit(False))
+    return rows.select(
+        *packages.columns,
+        "drawings_only",
+        F.when(found, F.replace(asked, F.lit("{section_number}"), F.col("section_number"))).alias("prompt"),
+        F.when(found, blocks).alias("blocks"),
+        F.when(~found, "section not found").alias("error"),
+    )
+
+
 def total_tokens(usage):
     """Input and output tokens of an answer."""
     return F.coalesce(usage["input_tokens"], F.lit(0)) + F.coalesce(usage["output_tokens"], F.lit(0))

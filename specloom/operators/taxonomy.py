@@ -15,9 +15,8 @@ def known_codes(taxonomy: DataFrame) -> DataFrame:
 
 
 def extract_codes(pages: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each candidate on a page with text: pages' other columns, raw and code (normalised, null if it cannot be)."""
-    kept = pages.where(T.has_text(F.col(text)))
-    return kept.select(*[c for c in pages.columns if c != text], F.explode(T.candidates(F.col(text))).alias("raw")).withColumn("code", T.normalise(F.col("raw")))
+    """A row for each candidate on a page (blank pages have none): pages' other columns, raw and code (normalised, null if it cannot be)."""
+    return pages.select(*[c for c in pages.columns if c != text], F.explode(T.candidates(F.col(text))).alias("raw")).withColumn("code", T.normalise(F.col("raw")))
 
 
 def validate_codes(codes: DataFrame, taxonomy: DataFrame, column: str = "code") -> DataFrame:

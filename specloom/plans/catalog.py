@@ -686,15 +686,19 @@ def section_page_order(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, sum(n) OVER () > 0 AS any_text, CASE WHEN n > 100000 THEN 'alone' ELSE 'shared' END AS kind FROM (SELECT doc_id, strlen(coalesce(text, '')) + 200 AS n FROM documents)
+WITH r AS (SELECT doc_id, (strlen(coalesce(text, '')) + 200)::BIGINT AS size FROM documents),
+     n AS (SELECT *, doc_id // 500 AS g, sum(size) OVER w AS upto, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY doc_id // 500 ORDER BY doc_id)),
+     b AS (SELECT *, CASE WHEN size > 100000 THEN 'alone-' || doc_id ELSE g || '-' || ((upto - size) // 100000)::BIGINT || '-' || (i - 1) // 40 END AS batch FROM n)
+SELECT batch, count(*) AS request_count, sum(size)::BIGINT AS size_bytes, sum(size) <= 200000 OR count(*) = 1 AS within_limit,
+       round(sum(size) / 1048576, 3) AS size_mb, CASE WHEN sum(size) >= 256 * 1048576 THEN 'error' WHEN sum(size) >= 220 * 1048576 THEN 'warning' ELSE 'ok' END AS status,
+       greatest(0, 256 * 1048576 - sum(size))::BIGINT AS headroom_bytes
+FROM b GROUP BY 1
 """)
 def request_batches(spark, sf_dir):
-    """Documents dealt into request batches of 200,000 bytes; the kind says whether a request fills half a batch alone."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 200).cast("bigint").alias("size_bytes"), F.col("doc_id").alias("seq"))
-    dealt = scoring.batches(docs, most_bytes=200_000)
-    sizes = dealt.groupBy("batch").agg(F.sum("size_bytes").alias("total"), F.count(F.lit(1)).alias("n"))
-    checked = dealt.join(sizes, "batch").where("total <= 200000 or n = 1")
-    return checked.select("doc_id", F.lit(True).alias("any_text"), F.expr("if(size_bytes > 100000, 'alone', 'shared')").alias("kind"))
+    """Documents dealt into request batches of 40 requests and 200,000 bytes: each batch with its totals."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 200).cast("bigint").alias("size_bytes"))
+    dealt = scoring.batches(docs, order="doc_id", span=500, most_requests=40, most_bytes=200_000)
+    return scoring.batch_metrics(dealt).withColumn("within_limit", F.expr("size_bytes <= 200000 or request_count = 1"))
 
 
 @query("""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from specloom.plans import catalog
+from specloom.plans import catalog, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
