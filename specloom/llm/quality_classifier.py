@@ -39,7 +39,7 @@ from .common import cut, free_name, in_sample, slices
 DIM = 1 << 16
 WORDS = DIM - 1024  # places of layout steps follow those of words
 LABELLED_ROWS, FEATURES_KEPT = 8_000, 8_000_000
-ROUNDS, SURE, LAYOUT = 2, 0.9, 0.8
+ROUNDS, SURE, LAYOUT = 2, 0.9, 1.5
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>=_{}\\^~", bytes(range(65, 91)), bytes(range(48, 58))
 
 
@@ -263,7 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     """The model, or None without labels of both classes."""
     docs = viewed(docs)
     views, y = labelled(docs, labels, labelled_rows)
-    test = np.arange(len(y)) % 4 == 0
+    test = np.zeros(len(y), bool)
+    for good in (True, False):
+        test[np.flatnonzero(y == good)[::4]] = True  # a fourth of either class is held out
     if any(not part.any() or part.all() for part in (y[test], y[~test])):
         return None
     fitted, held = ([v.take(np.flatnonzero(part)) for v in views] for part in (~test, test))
