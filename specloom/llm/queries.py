@@ -58,7 +58,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash)}
+def sharding_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's result without the checksum, which SQL cannot state."""
+    return op5_sharding(spark, sf_dir).drop("text_crc32")
+
+
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's base columns, which SQL can state."""
+    counts = quality_rules.statistics(table(spark, sf_dir, "documents"))
+    return counts.withColumn("base_failed", quality_rules.base_failed()).drop("n_upper", "n_lines")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash, sharding_layout, rule_statistics)}
 
 SQL = {
     "op3_warc": r"""
@@ -84,5 +95,24 @@ SELECT doc_id,
        doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
        text_sha256
 FROM h
+""",
+    "sharding_layout": r"""
+WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+     p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM s),
+     g AS (SELECT *, ((2 * start + size) * 8 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM g
+""",
+    "rule_statistics": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+     o AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
+     k AS (SELECT doc_id, i, list_slice(words, i, i + 7) AS eight FROM o),
+     r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, eight) > 1),
+     c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(8) t(j) GROUP BY 1),
+     l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+       len(words) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(words) AS base_failed
+FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
 }

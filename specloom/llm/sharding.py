@@ -8,7 +8,9 @@ contiguous in doc_id and no shard is off its target by more than one row. Only (
 checksum) rows shuffle; texts never do.
 
 Defined cases: a null text has no bytes, hence size 1; null doc_ids sort last; rows that repeat a
-doc_id keep the order in which they were read; an empty table gives an empty result.
+doc_id, and so tie, keep the order in which they were read; a text longer than a shard's target fills
+a shard of its own or more than its share, and shards may stay empty beside it; an empty table gives
+an empty result; further columns are ignored or, by `write_shards`, carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,21 +21,21 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, free_name, order_key, text_of
 
 
-def _sized(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _sized(docs: DataFrame, id_column: str, text_column: str, row_column: str | None) -> DataFrame:
     return docs.select(
         F.col(id_column).alias("doc_id"),
         (F.octet_length(text_of(text_column)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text_of(text_column), "UTF-8")).alias("text_crc32"),
         order_key(id_column).alias("k"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row"),
     )
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under this law), row (as read)."""
+def assign_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under this law), row (row_column, or as read)."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _sized(docs, id_column, text_column).repartitionByRange(ranges, "k", "row").withColumn("part", F.spark_partition_id())
+    dealt = _sized(docs, id_column, text_column, row_column).repartitionByRange(ranges, "k", "row").withColumn("part", F.spark_partition_id())
     dealt = cut(dealt, "shard-ranges")  # fixes which range a row is in
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     # one row per range: this window runs over partitions, not over documents
@@ -64,10 +66,11 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", t
 def write_shards(docs: DataFrame, path: str | None = None, shards: int = 8, id_column: str = "doc_id", text_column: str = "text") -> str:
     """Write the documents as Parquet under path, a folder per shard, in slot order within a file; returns the path.
 
-    The documents must not change between the two reads, as a stored table does not."""
+    The documents are read once and stored with a row number, so rows keep their identity."""
     path = path or fresh_path(docs.sparkSession, "shards")
     row, shard, slot = (free_name(docs.columns, x) for x in ("_row", "shard", "slot"))
-    places = assign_shards(docs, shards, id_column, text_column).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
-    tagged = docs.withColumn(row, F.monotonically_increasing_id()).join(places, row).drop(row)
+    stored = cut(docs.withColumn(row, F.monotonically_increasing_id()), "shard-documents")
+    places = assign_shards(stored, shards, id_column, text_column, row).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    tagged = stored.join(places, row).drop(row)
     tagged.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     return path
