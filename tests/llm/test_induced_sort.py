@@ -62,12 +62,12 @@ def a_text(n, seed=3):
 
 
 def test_memory_does_not_grow_with_the_text(tmp_path, monkeypatch):
-    """Texts of 20 and 60 allowances: recursion on disk, the right order, and a peak that the allowance bounds."""
+    """Texts of 20 and 40 allowances: recursion on disk, the right order, and a peak that the allowance bounds."""
     depths = []
     inner = s._induced
     monkeypatch.setattr(s, "_induced", lambda text, depth, allowance: depths.append(len(text)) or inner(text, depth, allowance))
-    allowance, peaks = 4_000, []
-    for times in (20, 50):
+    allowance, peaks = 3_000, []
+    for times in (20, 40):
         plain_text = a_text(allowance * times)
         np.save(tmp_path / "text.npy", plain_text)
         text = np.load(tmp_path / "text.npy", mmap_mode="r")

@@ -118,3 +118,23 @@ def test_segments_follow_how_crowded_the_cells_are(spark):
     crowded = spark.range(20_000).selectExpr("sum(id) over (order by id) as x", "id").select(F.expr("shiftleft(1L, cast(id % 8 as int)) | shiftleft(1L, 8 + cast(id div 8 % 8 as int)) | shiftleft(1L, 16 + cast(id div 64 % 8 as int)) | shiftleft(1L, 24 + cast(id div 512 % 8 as int)) | shiftleft(1L, 32 + cast(id div 4096 % 8 as int))").alias("fp")).distinct()
     assert simhash.choose_segments(crowded) == 16
     assert simhash.choose_segments(few.limit(0)) == 8
+
+
+def test_intermediate_tables_are_shared_and_can_be_removed(spark, monkeypatch):
+    from specloom.llm import common
+
+    table = common.cut(spark.range(3), "kept")
+    root = f"{common.shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}"
+    assert root in table.inputFiles()[0]
+    common.remove(spark, table.inputFiles()[0].rpartition("/")[0])
+    assert not spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]))
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://a:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Cluster)
