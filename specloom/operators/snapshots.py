@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -81,6 +82,8 @@ class Snapshots:
     a rename that never overwrites. So a commit of several tables shows all of them or none, and of two writers one finds
     that it was overtaken: it goes on if the tables that it read still stand, and fails with Conflict otherwise."""
 
+    MOST_FOLDERS = 100
+
     def __init__(self, spark: SparkSession, root: str, partition_by: dict[str, list[str]] | None = None):
         self.spark, self.root, self.partition_by = spark, root.rstrip("/"), partition_by or {}
 
@@ -117,19 +120,25 @@ class Snapshots:
         return True
 
     def commit(self, tables: dict[str, DataFrame], read: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None) -> None:
-        """Write tables, and add rows to others, all at once. read has the versions of the tables that they were computed from."""
-        folders = {}
-        for table, df in [*tables.items(), *(added or {}).items()]:
+        """Write tables, and add rows to others, all at once. read has the versions of the tables that they were computed from.
+
+        Rows are added as one more folder; every MOST_FOLDERS times the table is written anew with them."""
+        tables, added, read, folders = dict(tables), dict(added or {}), dict(read or {}), {}
+        for table, state in self._state()[1].items():
+            if table in added and len(state["folders"]) >= self.MOST_FOLDERS:
+                tables[table] = self.read(table).unionByName(added.pop(table))
+                read.setdefault(table, state["version"])
+        for table, df in [*tables.items(), *added.items()]:
             folders[table] = f"{self.root}/{table}/data-{uuid.uuid4().hex}"
             df.write.partitionBy(*self.partition_by.get(table, [])).parquet(folders[table])
         while True:
             number, now = self._state()
-            for table, version in (read or {}).items():
+            for table, version in read.items():
                 if now.get(table, {"version": 0})["version"] != version:
                     raise Conflict(f"{table} was version {version} when it was read and is version {now.get(table, {'version': 0})['version']} now")
             for table, folder in folders.items():
                 old = now.get(table, {"version": 0, "folders": []})
-                now[table] = {"version": old["version"] + 1, "folders": [*old["folders"], folder] if added and table in added else [folder]}
+                now[table] = {"version": old["version"] + 1, "folders": [*old["folders"], folder] if table in added else [folder]}
             if self._put(number + 1, now):
                 return
 
@@ -141,7 +150,10 @@ class Snapshots:
         return self._state()[1].get(table, {"version": 0})["version"]
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(*self._state()[1][table]["folders"])
+        folders = self._state()[1][table]["folders"]
+        if table not in self.partition_by:
+            return self.spark.read.parquet(*folders)
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f) for f in folders])  # each is the root of its own partitions
 
     def change(self, table: str, how, *args, **options) -> DataFrame:
         """Write how(table, ...) as the table's next snapshot; Conflict if another writer has changed the table meanwhile."""

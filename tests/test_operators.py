@@ -259,3 +259,14 @@ def test_equal_attempts_have_one_winner(spark):
     rows = [("r", 1, x) for x in "abcdef"]
     found = {classification.latest_attempt(spark.createDataFrame(part, "custom_id string, attempt int, x string").repartition(n), ["custom_id"]).first()["x"] for n, part in ((1, rows), (3, rows[::-1]), (5, rows))}
     assert len(found) == 1
+
+
+def test_added_rows_are_gathered_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots.Snapshots, "MOST_FOLDERS", 3)
+    store = snapshots.Snapshots(spark, f"file://{tmp_path}/s", {"p": ["kind"]})
+    for i in range(5):
+        rows = spark.createDataFrame([(i, f"k{i % 2}")], "id int, kind string")
+        store.commit({}, added={"a": rows, "p": rows})
+    for table in ("a", "p"):
+        assert sorted(r["id"] for r in store.read(table).collect()) == [0, 1, 2, 3, 4] and store.version(table) == 5
+        assert len(store._state()[1][table]["folders"]) == 2
