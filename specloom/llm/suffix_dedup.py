@@ -17,7 +17,9 @@ travel as one segment.
 3. Texts are read a third time; only the earliest of each of those segments leave, with their bytes,
    sharded by anchor. Each shard is suffix-sorted by external induced sorting (`induced_sort`), which
    carries common-prefix lengths; neighbours in suffix order that share `length` bytes or more are
-   equal strings, and all but the earliest are removed.
+   equal strings, and all but the earliest are removed. Anchors that have more than `hot_segments`
+   different segments though split (those at the edge of a passage that goes on differently
+   everywhere) send single strings instead, which fold by their digests as in step 2.
 4. The removed runs of each document meet its text again and are cut out; documents without any do
    not shuffle (a Bloom filter lets them pass).
 
@@ -131,6 +133,13 @@ class Chunk:
         self.h, self.anchor = np.append(self.h[calm], key), np.append(self.anchor[calm], lo)
         self.start, self.n = np.append(self.start[calm], first), np.append(self.n[calm], end - first)
 
+    def singles(self) -> None:
+        """Each string as a segment of its own; h becomes a hash of all its bytes."""
+        row = np.repeat(np.arange(len(self.h)), self.n)
+        self.start = self.start[row] + np.arange(len(row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.anchor, self.n = self.anchor[row], np.ones(len(row), np.int64)
+        self.h = self.hashes(self.start, self.start + self.length)
+
     def size(self) -> np.ndarray:
         return self.n + self.length - 1
 
@@ -271,24 +280,37 @@ def marked_segments(docs: DataFrame, marks: np.ndarray, hot: np.ndarray, length:
     return docs.select("text", "k", "v").mapInArrow(run, FOUND)
 
 
-def compared_segments(docs: DataFrame, marks: np.ndarray, hot: np.ndarray, wanted: np.ndarray, length: int) -> DataFrame:
-    """The segments (h, k, v, start, n, bytes) whose anchor and place are wanted: the earliest of each of an anchor's different ones."""
-    shared = docs.sparkSession.sparkContext.broadcast((marks, hot, wanted))  # of fixed size
+def compared_segments(docs: DataFrame, marks: np.ndarray, hot: np.ndarray, wanted: np.ndarray, crowded: np.ndarray, length: int) -> DataFrame:
+    """The segments (kind 0, with bytes) whose anchor and place are wanted: the earliest of each of an anchor's different ones.
+
+    Those of crowded anchors, which have too many different ones even though split, come as single strings (kind 3, with digests)."""
+    shared = docs.sparkSession.sparkContext.broadcast((marks, hot, wanted, crowded))  # of fixed size
 
     def run(batches):
-        marks, hot, wanted = shared.value
+        marks, hot, wanted, crowded = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 ks, vs = (np.asarray(batch.column(i), np.int64) for i in (1, 2))
                 for c, _, k, v, where in _placed(batch.column(0).to_pylist(), ks, vs, length, marks, hot):
                     on = marked(placed_hash(c.h, k, where), wanted)
-                    if len(on):
-                        raw, at = c.bytes_of(on)
-                        raw = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw.tobytes())])
-                        longs = [pa.array(x) for x in (c.h[on].view(np.int64), k[on], v[on], where[on], c.n[on])]
-                        yield pa.RecordBatch.from_arrays([*longs, raw], names=["h", "k", "v", "start", "n", "bytes"])
-
-    return docs.select("text", "k", "v").mapInArrow(run, "h bigint, k bigint, v bigint, start bigint, n bigint, bytes binary")
+                    c.take(on)
+                    k, v, where = k[on], v[on], where[on]
+                    busy = marked(c.h, crowded)
+                    calm = np.setdiff1d(np.arange(len(c.h)), busy)
+                    if len(calm):
+                        raw, at = c.bytes_of(calm)
+                        raw = pa.Array.from_buffers(pa.binary(), len(calm), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw.tobytes())])
+                        rows = _rows(SEGMENT, c.h[calm].view(np.int64), None, None, k[calm], v[calm], where[calm], c.n[calm])
+                        yield pa.RecordBatch.from_arrays([*rows.columns, raw], names=[*NAMES, "bytes"])
+                    if len(busy):
+                        c.take(busy)
+                        row = np.repeat(busy, c.n)
+                        at = where[row] + np.concatenate([np.arange(n) for n in c.n.tolist()])
+                        c.singles()
+                        rows = _rows(HOT, c.h.view(np.int64), *c.digests(np.arange(len(row))), k[row], v[row], at, c.n)
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(len(row), pa.binary())], names=[*NAMES, "bytes"])
+
+    return docs.select("text", "k", "v").mapInArrow(run, f"{FOUND}, bytes binary")
 
 
 def placed_hash(h: np.ndarray, k: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -459,7 +481,7 @@ def sorted_shards(compared: DataFrame, length: int, shard_bytes: int = SHARD_BYT
             else:
                 shard.close()
 
-    return by_anchor(compared, "k", "start").mapInArrow(run, FOUND)
+    return by_anchor(compared.select("h", "k", "v", "start", "n", "bytes"), "k", "start").mapInArrow(run, FOUND)
 
 
 def union_of(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -490,8 +512,12 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     folded = cut(folded_segments(found, length).unionByName(folded_hot(found, length)), "suffix-folded")
     different = folded.where(f"kind = {DISTINCT}")
     wanted = bitmap(_placed_hashes(different), different.count(), max_filter_bits)
-    compared = sorted_shards(compared_segments(read, marks, hot, wanted, length), length, shard_bytes, memory)
-    runs = found.where(f"kind = {REMOVED}").unionByName(folded.where(f"kind = {REMOVED}")).unionByName(compared)
+    crowded = different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {hot_segments}").select("h")
+    crowded = bitmap(crowded, crowded.count(), max_filter_bits)
+    compared = cut(compared_segments(read, marks, hot, wanted, crowded, length), "suffix-compared")
+    runs = sorted_shards(compared.where(f"kind = {SEGMENT}"), length, shard_bytes, memory)
+    for more in (found, folded, folded_hot(compared.drop("bytes"), length)):
+        runs = runs.unionByName(more.where(f"kind = {REMOVED}"))
     key = F.xxhash64("k", "v").alias("key")
     spans = runs.groupBy("k", "v").agg(F.collect_set(F.struct("start", F.col("n").alias("end"))).alias("runs"))  # of one text
     spans = cut(spans.select("k", "v", "runs", key), "suffix-runs")
