@@ -43,7 +43,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and where each lies in its sequence; a document without text is its end id alone. Workers still hold memory of earlier stages, so fewer units are kept."""
-    return packing.pack(packing.pieces(docs, tokenizers.path("byte_bpe_50k.json"), units_kept=300_000))
+    return packing.pack(packing.pieces(docs, tokenizers.path("byte_bpe_50k.json"), units_kept=150_000))
 
 
 STAGES = [
