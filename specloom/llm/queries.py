@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, warc
+from . import bpe, collocations, exact_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def sharding_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5's result without the checksum, which SQL cannot state."""
     return op5_sharding(spark, sf_dir).drop("text_crc32")
@@ -69,7 +73,7 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("base_failed", quality_rules.base_failed()).drop("n_upper", "n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash, sharding_layout, rule_statistics)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash, op12_collocations, sharding_layout, rule_statistics)}
 
 SQL = {
     "op3_warc": r"""
@@ -95,6 +99,37 @@ SELECT doc_id,
        doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
        text_sha256
 FROM h
+""",
+    "op12_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d
+), o AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+), g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT *, unnest([1, 2, 3]) AS k FROM o) WHERE i + k - 1 <= len(w)
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS left_part, array_to_string(list_slice(w, cut + 1, k), ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), s AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.left_part JOIN f y ON y.lang = c.lang AND y.phrase = c.right_part
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+), inner_parts AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3
+), absorbed AS (
+  SELECT DISTINCT i.lang, i.phrase FROM inner_parts i JOIN c USING (lang, phrase) WHERE 100 * i.a >= 50 * c.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM s ANTI JOIN absorbed USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
     "sharding_layout": r"""
 WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents),
