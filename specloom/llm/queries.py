@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, exact_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, warc
+from . import bpe, collocations, exact_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, topk_search, va_clustering, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).drop("evaluated")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_va_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def sharding_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5's result without the checksum, which SQL cannot state."""
     return op5_sharding(spark, sf_dir).drop("text_crc32")
@@ -73,9 +81,45 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("base_failed", quality_rules.base_failed()).drop("n_upper", "n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash, op12_collocations, sharding_layout, rule_statistics)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_sharding, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_simhash, op11_topk_search, op12_collocations, op13_va_clustering, sharding_layout, rule_statistics)}
+
+
+
+def _clustering_sql(rounds: int = 5) -> str:
+    """The rounds of op13, one after the other."""
+    nearest = """
+a{i} AS MATERIALIZED (
+  SELECT k.vec_id, k.v, c.c, (list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS d
+  FROM kept k, c{i} c QUALIFY row_number() OVER (PARTITION BY k.vec_id ORDER BY d, c.c) = 1
+)"""
+    means = """
+m{i} AS (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}),
+n{i} AS (SELECT c, list(x ORDER BY j) AS v FROM (SELECT c, j, floor(sum(x) / count(*)) AS x FROM m{i} GROUP BY c, j) GROUP BY c),
+c{next} AS MATERIALIZED (SELECT c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN n{i} n USING (c))"""
+    steps = [nearest.format(i=i) + "," + means.format(i=i, next=i + 1) for i in range(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 40
+),{",".join(steps)},{nearest.format(i=rounds)}
+SELECT a.vec_id, a.c::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)
+"""
+
 
 SQL = {
+    "op11_topk_search": """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+""",
+    "op13_va_clustering": _clustering_sql(),
     "op3_warc": r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
