@@ -174,7 +174,9 @@ class Trie:
 
     def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
         """Distinct phrases, a row each in sorted order, and their counts."""
-        starts = np.flatnonzero(np.concatenate([[True], phrases[1:, 0] != phrases[:-1, 0]])).tolist() if len(phrases) else []
+        if not len(phrases):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], phrases[1:, 0] != phrases[:-1, 0]])).tolist()
         first, ns = phrases[starts, 0].tolist(), counts.tolist()
         rests = _packed(phrases[:, 1:]).tolist()
         for root, a, b in zip(first, starts, [*starts[1:], len(ns)], strict=True):
