@@ -210,10 +210,10 @@ class Clustering:
         return wanted.select("row", "cells", "cluster", "old").join(self.vectors.select("row", "v"), "row").mapInArrow(run, STATE)
 
     def _move(self, moved: DataFrame) -> None:
-        change = moved.where("moved").select("cluster", "n", F.posexplode("sums").alias("dim", "x"))
-        for r in change.groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect():  # at most k * dims rows
-            self.sums[r["cluster"], r["dim"]] += r["x"]
-            self.n[r["cluster"]] += r["n"] if r["dim"] == 0 else 0
+        sums = [F.sum(F.col("sums")[d]).alias(f"s{d}") for d in range(self.dims)]
+        for r in moved.where("moved").groupBy("cluster").agg(F.sum("n").alias("n"), *sums).collect():  # at most k rows
+            self.sums[r["cluster"]] += np.array(r[2:], np.int64)
+            self.n[r["cluster"]] += r["n"]
         some = self.n > 0
         self.centroids = self.centroids.copy()
         self.centroids[some] = self.sums[some] // self.n[some, None]
