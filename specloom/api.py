@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import classification, compliance, lifecycle, packages, runs, snapshots, summaries, taxonomy, views
+from .operators.keyed import KeyedTables, Layout
 from .operators.snapshots import Snapshots
 from .schemas import AMENDMENT_TYPES, LIFECYCLE, split_by_domain
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
+    """Tables that `layouts` names are kept in buckets by key and change file by file; all others are written as a whole."""
+
+    def __init__(self, spark: SparkSession, root: str, layouts: dict[str, Layout] | None = None):
         self.spark, self.store = spark, Snapshots(spark, root)
+        self.keyed = KeyedTables(self.store, layouts or {})
+
+    def table(self, name: str) -> DataFrame:
+        return self.keyed.read(name) if name in self.keyed.layouts else self.store.read(name)
+
+    def upsert(self, name: str, changes: DataFrame) -> None:
+        if name in self.keyed.layouts:
+            self.keyed.merge(name, changes)
+        else:
+            self.store.upsert(name, changes)
 
     # projects and sections
     def index_pages(self, pages: DataFrame, codes: DataFrame) -> DataFrame:
@@ -21,10 +34,10 @@ class Engine:
         return runs.page_runs(found.withColumnRenamed("code", "section_number"), ["spec_id", "section_number"])
 
     def projects(self) -> DataFrame:
-        return self.store.read("projects")
+        return self.table("projects")
 
     def sections(self, spec_id: str) -> DataFrame:
-        return self.store.read("sections").where(F.col("spec_id") == spec_id).orderBy("section_number")
+        return self.table("sections").where(F.col("spec_id") == spec_id).orderBy("section_number")
 
     def sections_with_primary_pages(self, spec_id: str) -> DataFrame:
         return views.with_primary_pages(self.sections(spec_id))
@@ -58,8 +71,13 @@ class Engine:
         bad = split_by_domain(changes.where("lifecycle_status is not null"), "lifecycle_status", LIFECYCLE)[1]
         if not bad.isEmpty():
             raise ValueError(f"lifecycle_status must be one of {', '.join(LIFECYCLE)}")
-        self.store.change("sections", lifecycle.apply_lifecycle, changes)
-        self.roll_up()
+        if "sections" in self.keyed.layouts:
+            if not self.store.version("section_counts"):
+                lifecycle.keep_counts(self.keyed)
+            lifecycle.change_sections(self.keyed, changes)
+        else:
+            self.store.change("sections", lifecycle.apply_lifecycle, changes)
+            self.roll_up()
 
     def roll_up(self) -> None:
         """Store division and project scores as the sections now stand."""
@@ -70,7 +88,7 @@ class Engine:
             self.store.change("projects", lifecycle.store_scores, lifecycle.project_completion(sections), ["spec_id"], "project_completion_score")
 
     def lifecycle_summary(self, spec_id: str) -> DataFrame:
-        return lifecycle.lifecycle_rollup(self.store.read("sections").where(F.col("spec_id") == spec_id))
+        return lifecycle.lifecycle_rollup(self.table("sections").where(F.col("spec_id") == spec_id))
 
     # packages
     def packages_of(self, section_id: int) -> DataFrame:

@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import completion
+from .common import held
+from .keyed import KeyedTables, Layout
+from .snapshots import update
+
+#: How sections and what is rolled up from them are kept for changes by key. A project's counts lie together.
+LAYOUTS = {
+    "sections": Layout(("id",)),
+    "section_counts": Layout(("spec_id", "division", "status"), by=("spec_id",)),
+    "divisions": Layout(("spec_id", "division"), by=("spec_id",)),
+    "projects": Layout(("spec_id",)),
+}
 
 
 def _counts(status: str):
@@ -29,6 +40,30 @@ def project_completion(sections: DataFrame) -> DataFrame:
     return sections.groupBy("spec_id").agg(*_counts("lifecycle_status")).withColumn("score", completion(F.col("complete"), F.col("total")))
 
 
+def status_counts(sections: DataFrame) -> DataFrame:
+    """spec_id, division, status, n: what completion is computed from. A section without a status is counted as `none`."""
+    return sections.groupBy("spec_id", "division", F.coalesce("lifecycle_status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """spec_id, division, status, n: by how much counts differ between the same sections before and after a change; unchanged ones cancel out."""
+    signed = status_counts(new).unionByName(status_counts(old).withColumn("n", -F.col("n")))
+    return signed.groupBy("spec_id", "division", "status").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def add_counts(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts after signed changes; what falls to nothing goes."""
+    both = old.select(*keys, "n").unionByName(changes.select(*keys, "n"))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def completion_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, complete, total, excluded, score, as division_completion and project_completion compute them from sections."""
+    of = lambda condition: F.coalesce(F.sum(F.when(F.expr(condition), F.col("n"))), F.lit(0))
+    rows = counts.groupBy(*keys).agg(of("status = 'complete'").alias("complete"), of("status not in ('excluded', 'none')").alias("total"), of("status = 'excluded'").alias("excluded"))
+    return rows.withColumn("score", completion(F.col("complete"), F.col("total")))
+
+
 def store_scores(owners: DataFrame, scores: DataFrame, keys: list[str], column: str) -> DataFrame:
     """owners with their new score; where no section counts, the stored score stays."""
     new = scores.where("total > 0").select(*keys, F.col("score").alias("_score"))
@@ -73,3 +108,27 @@ def delete_packages(packages: DataFrame, comparisons: DataFrame, sections: DataF
     remaining = F.array_except(F.coalesce("chosen_packages", F.array().cast("array<bigint>")), "_gone")
     changes = sections.join(hit, sections["id"] == hit["section_id"]).select("id", remaining.alias("chosen_packages"), F.when(F.size(remaining) > 0, "complete").otherwise("pending").alias("lifecycle_status"), F.lit(True).alias("override"))
     return left, pairs.select(*comparisons.columns), apply_lifecycle(sections, changes)
+
+
+def keep_counts(tables: KeyedTables) -> None:
+    """Count all sections once and keep the counts as a table, which change_sections() then moves along."""
+    tables.create("section_counts", status_counts(tables.read("sections")))
+
+
+def change_sections(tables: KeyedTables, changes: DataFrame, how=lambda old, changes, _: apply_lifecycle(old, changes)) -> DataFrame:
+    """Apply changes (by id) to the stored sections and bring counts and scores up to date, in one commit.
+
+    Read are the files that may hold a changed section and those of the counts, divisions and projects that they belong to:
+    counts move by the difference between the sections' old and new rows. Result: the differences."""
+    sections = tables.stage("sections", changes, how)
+    moved = held(count_changes(sections.old, sections.new))
+    changed = sections.new.join(changes.select("id").distinct(), "id", "left_semi")
+    counts = tables.stage("section_counts", moved.unionByName(status_counts(changed).withColumn("n", F.lit(0).cast("bigint"))), add_counts)
+    staged = [sections, counts]
+    own = counts.new.join(changed.select("spec_id").distinct(), "spec_id", "left_semi")  # all counts of these projects lie in the files that were read
+    for table, keys, column in (("divisions", ["spec_id", "division"], "division_completion_score"), ("projects", ["spec_id"], "project_completion_score")):
+        if tables.store.version(table):
+            scores = completion_of_counts(own, keys).where("total > 0").select(*keys, F.col("score").alias(column))
+            staged.append(tables.stage(table, scores, update))
+    tables.commit(*staged)
+    return moved

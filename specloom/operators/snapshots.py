@@ -6,6 +6,7 @@ it, so readers see the old table or the new one."""
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
@@ -163,3 +164,32 @@ class Snapshots:
 
     def upsert(self, table: str, changes: DataFrame) -> DataFrame:
         return self.change(table, upsert, changes, KEYS[table])
+
+    def vacuum(self, keep: int = 10, older_than: float = 86_400.0) -> int:
+        """Remove log entries before the newest `keep`, and folders and files that none of those names and that are older than so many seconds
+        (younger ones may be a writer's that has not committed yet). The number of things removed."""
+        log, before, removed = self._path(f"{self.root}/log"), (time.time() - older_than) * 1000, 0
+        fs = log.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        entries = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(log) if f.getPath().getName().endswith(".json"))
+        named, tables = set(), set()
+        for _, path in entries[-keep:]:
+            for table, state in json.loads(self.spark.read.text(path.toString(), wholetext=True).first()["value"]).items():
+                tables.add(table)
+                named |= {_name(x) for x in state["folders"]}
+                if "manifest" in state and _name(state["manifest"]) not in named:
+                    files = self.spark.read.parquet(state["manifest"]).select("file", "filters").collect()  # names of files
+                    named |= {_name(state["manifest"])} | {_name(x) for r in files for x in r}
+        for table in tables:
+            for folder in fs.listStatus(self._path(f"{self.root}/{table}")):
+                if _name(folder.getPath().toString()) in named or folder.getModificationTime() > before:
+                    continue
+                files = [f for b in fs.listStatus(folder.getPath()) if b.isDirectory() for f in fs.listStatus(b.getPath())]
+                used = {f for f in files if _name(f.getPath().toString()) in named}
+                gone = [f.getPath() for f in files if f not in used and not f.getPath().getName().startswith((".", "_"))] if used else [folder.getPath()]
+                removed += sum(bool(fs.delete(path, True)) for path in gone)
+        return removed + sum(bool(fs.delete(path, False)) for _, path in entries[:-keep])
+
+
+def _name(path: str) -> str:
+    """The last part of a path: names of folders and data files carry a random id of their own."""
+    return path.rstrip("/").rsplit("/", 1)[-1]

@@ -4,16 +4,19 @@ What is read from a store has been written to it from a driver table just before
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classification as C
-from ..operators import packages, scoring, snapshots, summaries, views
+from ..operators import lifecycle, packages, scoring, snapshots, summaries, views
 from ..operators.common import scratch
+from ..operators.keyed import KeyedTables, Layout
 from ..schemas import LIFECYCLE, SHOP_DRAWING, missing_columns, schema, split_by_domain
 from ..sources import store
-from .catalog import query, table
+from .catalog import LIFECYCLE_OF, query, table
 
 # ---- tables and keys -------------------------------------------------------------------------
 
@@ -50,6 +53,65 @@ def lookup_any_of(spark, sf_dir):
     return store.lookup(orders, o_custkey=[1, 7, 30]).unionByName(store.lookup(orders, o_custkey=[]))
 
 
+# ---- tables in buckets by key ----------------------------------------------------------------
+
+
+def _keyed(spark: SparkSession, layouts: dict[str, Layout]) -> KeyedTables:
+    return KeyedTables(snapshots.Snapshots(spark, scratch(spark, "keyed")), layouts)
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'new ' || c_name WHEN c_custkey % 5 <> 0 THEN c_name END AS c_name,
+       CASE WHEN c_custkey % 5 = 0 OR c_custkey % 4 = 1 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal
+FROM customer WHERE c_custkey % 9 <> 0
+""")
+def merged_by_key(spark, sf_dir):
+    """A stored table after a merge of new and changed rows (nulls keep) and a delete."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    tables = _keyed(spark, {"customers": Layout(("c_custkey",), 16)})
+    tables.create("customers", rows.where("c_custkey % 5 <> 0"))
+    changed = rows.where("c_custkey % 5 = 0 or c_custkey % 4 = 1")
+    tables.merge("customers", changed.select("c_custkey", F.expr("if(c_custkey % 4 = 1, concat('new ', c_name), null)").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal")))
+    tables.delete("customers", rows.where("c_custkey % 9 = 0").select("c_custkey"))
+    return tables.read("customers")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT s_suppkey * 3 FROM supplier)")
+def found_by_key(spark, sf_dir):
+    """Orders of many customers at once, through the manifest and filters of a table kept by customer."""
+    tables = _keyed(spark, {"orders": Layout(("o_custkey", "o_orderkey"), 16, ("o_custkey",))})
+    tables.create("orders", table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"))
+    return tables.lookup("orders", table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("o_custkey")))
+
+
+@query(f"""
+WITH s AS (
+  SELECT o_custkey AS spec_id, o_orderpriority AS division,
+         CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'complete' ELSE 'pending' END WHEN o_orderkey % 11 = 3 THEN 'excluded' ELSE {LIFECYCLE_OF} END AS st
+  FROM orders
+)
+SELECT spec_id, division, count(*) FILTER (st = 'complete') AS complete, count(*) FILTER (st <> 'excluded') AS total, count(*) FILTER (st = 'excluded') AS excluded,
+       coalesce(round(count(*) FILTER (st = 'complete') / nullif(count(*) FILTER (st <> 'excluded'), 0), 4), 0.0) AS score,
+       CASE WHEN count(*) FILTER (st <> 'excluded') > 0 THEN round(count(*) FILTER (st = 'complete') / count(*) FILTER (st <> 'excluded'), 4) END AS stored
+FROM s GROUP BY 1, 2
+""")
+def rolled_up_changes(spark, sf_dir):
+    """Counts and stored scores after two changes of stored sections, moved along by the changed rows alone."""
+    orders = table(spark, sf_dir, "orders")
+    sections = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("spec_id"), F.col("o_orderpriority").alias("division"), F.expr(LIFECYCLE_OF).alias("lifecycle_status"))
+    sections = sections.withColumns({"chosen_packages": F.array().cast("array<bigint>"), "lifecycle_status_override": F.lit(False)})
+    tables = _keyed(spark, {t: replace(layout, buckets=8) for t, layout in lifecycle.LAYOUTS.items()})
+    tables.create("sections", sections)
+    lifecycle.keep_counts(tables)
+    before = lifecycle.completion_of_counts(tables.read("section_counts"), ["spec_id", "division"])
+    tables.create("divisions", before.select("spec_id", "division", F.when(F.col("total") > 0, F.col("score")).alias("division_completion_score")))
+    lifecycle.change_sections(tables, orders.where("o_orderkey % 11 = 3").select(F.col("o_orderkey").alias("id"), F.lit("excluded").alias("lifecycle_status")))
+    lifecycle.change_sections(tables, orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"), F.expr("if(o_orderkey % 2 = 0, 'complete', 'pending')").alias("lifecycle_status")))
+    now = lifecycle.completion_of_counts(tables.read("section_counts"), ["spec_id", "division"])
+    stored = tables.read("divisions").withColumnRenamed("division_completion_score", "stored")
+    return now.join(stored, ["spec_id", "division"], "left").withColumn("stored", F.when(F.col("total") > 0, F.col("stored")))
+
+
 # ---- objects ---------------------------------------------------------------------------------
 
 
