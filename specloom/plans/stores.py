@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,7 +16,8 @@ from ..operators.common import scratch
 from ..operators.keyed import KeyedTables, Layout
 from ..schemas import LIFECYCLE, SHOP_DRAWING, missing_columns, schema, split_by_domain
 from ..sources import store
-from .catalog import LIFECYCLE_OF, query, table
+from ..streaming import tracking
+from .catalog import DAY_SQL, LIFECYCLE_OF, _day_pages, query, table
 
 # ---- tables and keys -------------------------------------------------------------------------
 
@@ -112,6 +113,40 @@ def rolled_up_changes(spark, sf_dir):
     return now.join(stored, ["spec_id", "division"], "left").withColumn("stored", F.when(F.col("total") > 0, F.col("stored")))
 
 
+# ---- results as a stream ---------------------------------------------------------------------
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS pr, {DAY_SQL} AS d FROM events)
+SELECT user_id::VARCHAR AS section_number,
+       coalesce(string_agg(d::VARCHAR || ',' || (d + 1)::VARCHAR, ',' ORDER BY event_id) FILTER (pr), '') AS primary_pages,
+       coalesce(string_agg(d::VARCHAR || ',' || (d + 1)::VARCHAR, ',' ORDER BY event_id) FILTER (NOT pr), '') AS reference_pages,
+       0::BIGINT AS n_failed, 1::BIGINT AS n_left
+FROM e GROUP BY 1
+""")
+def tracked_results(spark, sf_dir):
+    """Every event as a run that is asked and answered, as files in no order that a stream reads; between two of its starts come
+    the rest and half of the first files again. Each section leaves once, with its pages in the order of event_id."""
+    root = scratch(spark, "stream")
+    e = _day_pages(spark, sf_dir).where("section is not null")
+    runs = e.select(F.lit("all").alias("spec_id"), F.col("section").cast("string").alias("section_number"), F.col("event_id").cast("string").alias("custom_id"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("is_primary"), F.col("page").alias("start"), (F.col("page") + 1).alias("end"))
+    turn = F.pmod(F.xxhash64("custom_id"), F.lit(4))
+    asked = runs.select("spec_id", "section_number", "custom_id", F.lit("asked").alias("type"))
+    answers = runs.withColumn("type", F.lit("succeeded")).withColumn("attempt", F.lit(0))
+    put = lambda rows: rows.coalesce(1).write.mode("append").json(f"{root}/in")
+    put(asked)
+    put(answers.where(turn < 2))
+    for more in (answers.where(turn == 3).unionByName(answers.where(turn == 1)), answers.where(turn == 2)):
+        stream = tracking.events(spark, f"{root}/in", 2)
+        tracking.start(tracking.tracked(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        put(more)
+    tracking.start(tracking.tracked(tracking.events(spark, f"{root}/in", 2)), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    sections = spark.read.parquet(f"{root}/out").where("kind = 'section'")
+    left = F.count(F.lit(1)).over(Window.partitionBy("spec_id", "section_number")).alias("n_left")
+    return sections.select("section_number", text("primary_pages"), text("reference_pages"), "n_failed", left)
+
+
 # ---- objects ---------------------------------------------------------------------------------
 
 
