@@ -78,3 +78,30 @@ def compare_by_severity(pairs: DataFrame) -> DataFrame:
     """overall_winner: fewer critical, then major issues, then missing required items, then clarifications."""
     order = ("critical", "major", "missing_required", "clarification_needed")
     return pairs.withColumn("overall_winner", S.winner_by_severity([F.col(f"{c}_a") for c in order], [F.col(f"{c}_b") for c in order]))
+
+
+def standings_by_score(packages: DataFrame, key: str = "section_id", score: str = "compliance_score", band: float = S.TIE_BAND) -> DataFrame:
+    """packages with wins, ties and losses against all others of their section, as compare_by_score would count them, without a pair.
+
+    Packages are first counted by section and score in ten-thousandths (10,001 scores at most); what lies below, within and above
+    the band of a score are sums over ranges of those."""
+    rows = packages.withColumn("_t", F.round(F.col(score) * 10_000).cast("bigint"))
+    counts = rows.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    width = round(band * 10_000)
+    w = Window.partitionBy(key).orderBy("_t")
+    over = lambda low, high: F.coalesce(F.sum("_n").over(w.rangeBetween(low, high)), F.lit(0))
+    counts = counts.select(key, "_t", over(Window.unboundedPreceding, -width - 1).alias("wins"), (over(-width, width) - 1).alias("ties"), over(width + 1, Window.unboundedFollowing).alias("losses"))
+    return rows.join(counts, [key, "_t"]).select(*packages.columns, "wins", "ties", "losses")
+
+
+def standings_by_severity(packages: DataFrame, key: str = "section_id") -> DataFrame:
+    """The same for compare_by_severity: ranks among the section's distinct counts, in two steps, so that a section with very many
+    of them is ranked by several tasks."""
+    grave, light = ["critical", "major"], ["missing_required", "clarification_needed"]
+    counts = packages.groupBy(key, *grave, *light).agg(F.count(F.lit(1)).alias("_n"))
+    groups = counts.groupBy(key, *grave).agg(F.sum("_n").alias("_g"))
+    upto = lambda n, by, order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.withColumn("_before", upto("_g", [key], grave)).withColumn("_all", F.sum("_g").over(Window.partitionBy(key)))
+    ranked = counts.join(groups, [key, *grave]).withColumn("losses", F.col("_before") + upto("_n", [key, *grave], light))
+    ranked = ranked.select(key, *grave, *light, (F.col("_all") - F.col("losses") - F.col("_n")).alias("wins"), (F.col("_n") - 1).alias("ties"), "losses")
+    return packages.join(ranked, [key, *grave, *light]).select(*packages.columns, "wins", "ties", "losses")

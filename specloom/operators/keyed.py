@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import held
 from .snapshots import Conflict, Snapshots, delete, update, upsert
@@ -53,7 +54,6 @@ class Staged:
     added: list
     old: DataFrame
     new: DataFrame
-    files_before: int = field(default=0)
 
 
 class KeyedTables:
@@ -64,35 +64,37 @@ class KeyedTables:
 
     def manifest(self, table: str) -> DataFrame:
         """bucket, file, rows, low, high, chunks, filters: a row for each file of the table as it stands."""
-        return self.spark.read.parquet(self._stands(table)["manifest"])
+        return self._manifest(table, self.store._state()[1][table])
 
-    def _stands(self, table: str) -> dict:
-        return self.store._state()[1][table]
+    def _manifest(self, table: str, state: dict) -> DataFrame:
+        return self.spark.read.schema(self._manifest_schema(table, StructType.fromJson(state["schema"]))).parquet(state["manifest"])
+
+    def _manifest_schema(self, table: str, schema: StructType) -> str:
+        kind = schema[self.layouts[table].dealt_by[0]].dataType.simpleString()
+        return f"bucket int, file string, rows bigint, low {kind}, high {kind}, chunks bigint, filters string"
 
     def read(self, table: str) -> DataFrame:
-        return self._files(table, [r["file"] for r in self.manifest(table).select("file").collect()])
+        state = self.store._state()[1][table]
+        return self._files(state, [r["file"] for r in self._manifest(table, state).select("file").collect()])
 
-    def _files(self, table: str, files: Iterable[str]) -> DataFrame:
+    def _files(self, state: dict, files: Iterable[str]) -> DataFrame:
         """The rows of some files of a table; none for none."""
-        files, schema = sorted(files), self._schema(table)
+        files, schema = sorted(files), StructType.fromJson(state["schema"])
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
 
-    def _schema(self, table: str):
-        from pyspark.sql.types import StructType
-
-        return StructType.fromJson(self._stands(table)["schema"])
-
     def files_of(self, table: str, keys: DataFrame) -> list[str]:
         """Files that may hold one of the keys (rows of the columns that deal the table): by bucket, range and Bloom filter."""
+        return self._files_of(table, self.manifest(table), keys)
+
+    def _files_of(self, table: str, manifest: DataFrame, keys: DataFrame) -> list[str]:
         layout = self.layouts[table]
-        manifest = self.manifest(table)
         by = layout.dealt_by
         wanted = keys.select(*by).distinct().withColumn("bucket", layout.bucket()).withColumn("_h1", F.xxhash64(*by, F.lit(1))).withColumn("_h2", F.xxhash64(*by, F.lit(2)))
         near = wanted.join(manifest, "bucket").where(F.col(by[0]).between(F.col("low"), F.col("high")))
         folders = [r["filters"] for r in manifest.select("filters").distinct().collect()]  # a folder for each write
         if not folders:
             return []
-        filters = self.spark.read.parquet(*folders)
+        filters = self.spark.read.schema("file string, chunk bigint, bits binary").parquet(*folders)
         slots = near.select("file", "_h1", F.posexplode(F.array("_h1", "_h2")).alias("_i", "_h"), F.expr(f"chunks * {CHUNK_BITS}L").alias("_bits"))
         slots = slots.select("file", "_h1", F.expr("pmod(_h, _bits)").alias("_slot")).withColumn("chunk", F.expr(f"_slot div {CHUNK_BITS}"))
         byte = f"cast(conv(hex(substring(bits, cast((_slot % {CHUNK_BITS}) div 8 + 1 as int), 1)), 16, 10) as bigint)"
@@ -102,7 +104,8 @@ class KeyedTables:
 
     def lookup(self, table: str, keys: DataFrame) -> DataFrame:
         """The rows of the given keys (all or some of the key columns, those that deal the table among them); other files are not opened."""
-        return self._files(table, self.files_of(table, keys)).join(keys.distinct(), keys.columns, "left_semi")
+        state = self.store._state()[1][table]
+        return self._files(state, self._files_of(table, self._manifest(table, state), keys)).join(keys.distinct(), keys.columns, "left_semi")
 
     # ---- writing -----------------------------------------------------------------------------
 
@@ -117,7 +120,7 @@ class KeyedTables:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not any(s.isDirectory() for s in fs.listStatus(path)):
             return []
-        stored = self.spark.read.parquet(folder).select(*by, F.col("_bucket").alias("bucket"), F.input_file_name().alias("file"))
+        stored = self.spark.read.schema(StructType([*rows.schema.fields, StructField("_bucket", IntegerType())])).parquet(folder).select(*by, F.col("_bucket").alias("bucket"), F.input_file_name().alias("file"))
         chunks = F.ceil(F.count(F.lit(1)) * BITS_A_KEY / CHUNK_BITS).cast("bigint")
         files = stored.groupBy("bucket", "file").agg(F.count(F.lit(1)).alias("rows"), F.min(by[0]).alias("low"), F.max(by[0]).alias("high"), chunks.alias("chunks"))
         files = held(files.withColumn("filters", F.lit(filters)))
@@ -133,9 +136,7 @@ class KeyedTables:
 
     def create(self, table: str, rows: DataFrame) -> None:
         """Write a table as a whole."""
-        by = self.layouts[table].dealt_by[0]
-        kind = rows.schema[by].dataType.simpleString()
-        added = self.spark.createDataFrame(self._write(table, rows), f"bucket int, file string, rows bigint, low {kind}, high {kind}, chunks bigint, filters string")
+        added = self.spark.createDataFrame(self._write(table, rows), self._manifest_schema(table, rows.schema))
         manifest = self._put_manifest(table, added)
         while True:
             number, now = self.store._state()
@@ -147,26 +148,27 @@ class KeyedTables:
         """how(old, changes, keys) over the files that may hold a key of changes, written as new files. how must leave rows of other keys alone."""
         layout = self.layouts[table]
         changes = held(changes)
+        state = self.store._state()[1][table]
         buckets = [r[0] for r in changes.select(layout.bucket()).distinct().collect()]  # at most as many as there are buckets
-        manifest = [(r["bucket"], r["file"]) for r in self.manifest(table).select("bucket", "file").collect()]
+        manifest = [(r["bucket"], r["file"]) for r in self._manifest(table, state).select("bucket", "file").collect()]
         seen = {f for b, f in manifest if b in set(buckets)}
-        touched = set(self.files_of(table, changes))
+        touched = set(self._files_of(table, self._manifest(table, state), changes))
         for bucket in buckets:
             own = {f for b, f in manifest if b == bucket}
             if len(own) >= MOST_FILES:
                 touched |= own
-        old = self._files(table, touched)
-        columns = self._schema(table)
+        old = self._files(state, touched)
+        columns = StructType.fromJson(state["schema"])
         new = how(old, changes, list(layout.keys)).select(*(F.col(c.name).cast(c.dataType) for c in columns))
         added = self._write(table, new)
-        return Staged(table, buckets, seen, sorted(touched), added, old, self._files(table, [r["file"] for r in added]), len(manifest))
+        return Staged(table, buckets, seen, sorted(touched), added, old, self._files(state, [r["file"] for r in added]))
 
     def commit(self, *staged: Staged) -> None:
         """Make changes of different tables seen at once; Conflict if a bucket of one has changed since."""
         while True:
             number, now = self.store._state()
             for s in staged:
-                rows = self.spark.read.parquet(now[s.table]["manifest"])
+                rows = self._manifest(s.table, now[s.table])
                 current = {r["file"] for r in rows.where(F.col("bucket").isin(s.buckets)).select("file").collect()}
                 if current != s.seen:
                     raise Conflict(f"{s.table}: another writer has changed a bucket of these keys")

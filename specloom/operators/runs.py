@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,19 +13,42 @@ def section_index(pairs: DataFrame, keys: list[str], page: str = "page") -> Data
     return pairs.groupBy(*keys).agg(F.sort_array(F.collect_set(page)).alias("pages"))
 
 
+SPAN = 4096  # pages that are looked at together
+
+
 def page_runs(pairs: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
     """keys, start, end, length: maximal runs of consecutive distinct pages (gaps and islands)."""
-    distinct = pairs.select(*keys, page).distinct()
-    key = F.col(page) - F.row_number().over(Window.partitionBy(*keys).orderBy(page))
-    return distinct.withColumn("_island", key).groupBy(*keys, "_island").agg(F.min(page).alias("start"), F.max(page).alias("end"), F.count(F.lit(1)).alias("length")).drop("_island")
+    return _runs(pairs.select(*keys, page, _span(page)).distinct(), keys, page)
 
 
 def runs_with_repeats(pairs: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
     """As page_runs, but over all rows: a repeated page begins a run of its own."""
-    w = Window.partitionBy(*keys).orderBy(page)
-    flagged = pairs.select(*keys, page).withColumn("_new", (F.coalesce(F.lag(page).over(w) + 1 != F.col(page), F.lit(True))).cast("int"))
-    numbered = flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_run").agg(F.min(page).alias("start"), F.max(page).alias("end"), F.count(F.lit(1)).alias("length")).drop("_run")
+    return _runs(pairs.select(*keys, page, _span(page)), keys, page)
+
+
+def _span(page: str) -> Column:
+    """The first page of a page's span."""
+    p = F.col(page).cast("bigint")
+    return (p - F.pmod(p, F.lit(SPAN))).alias("_span")
+
+
+def _runs(rows: DataFrame, keys: list[str], page: str) -> DataFrame:
+    """Runs within spans, which a section of very many pages has in many tasks; those that touch an edge of their span, at most
+    two for each, are then joined to their neighbours."""
+    own = Window.partitionBy(*keys, "_span")
+    new = F.coalesce(F.lag(page).over(own.orderBy(page)) + 1 != F.col(page), F.lit(True)).cast("int")
+    numbered = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(own.orderBy(page).rowsBetween(Window.unboundedPreceding, 0)))
+    local = numbered.groupBy(*keys, "_span", "_run").agg(F.min(page).alias("start"), F.max(page).alias("end"), F.count(F.lit(1)).alias("length"))
+    first = (F.col("_run") == 1) & (F.col("start") == F.col("_span"))
+    last = F.lead("_run").over(own.orderBy("_run")).isNull() & (F.col("end") == F.col("_span") + SPAN - 1)
+    local = local.withColumn("_first", F.coalesce(first, F.lit(False))).withColumn("_last", F.coalesce(last, F.lit(False)))
+    w = Window.partitionBy(*keys).orderBy("_span", "_run")
+    goes_on = F.col("_first") & F.lag("_last").over(w) & (F.lag("_span").over(w) == F.col("_span") - SPAN)
+    edges = local.where("_first or _last").withColumn("_goes_on", F.coalesce(goes_on, F.lit(False)))
+    joined = edges.withColumn("_run", F.sum((~F.col("_goes_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = joined.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").alias("length"))
+    columns = [*keys, "start", "end", "length"]
+    return local.where("not _first and not _last").select(*columns).unionByName(stitched.select(*columns))
 
 
 def contiguity(pairs: DataFrame, keys: list[str], page: str = "page") -> DataFrame:

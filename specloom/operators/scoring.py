@@ -6,12 +6,15 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import EXTRACTION, decode
+from .common import held, numbered
 from .packages import only_drawings
 from .summaries import pages_to_read
 
@@ -101,6 +104,64 @@ def batches(requests: DataFrame, size: str = "size_bytes", order: str = "seq", s
     return numbered.withColumn("batch", F.when(alone, F.concat(F.lit("alone-"), F.col(order).cast("string"))).otherwise(shared)).drop("_g", "_bytes", "_n")
 
 
+def _next_starts(sizes: np.ndarray, most_requests: int, most_bytes: int) -> np.ndarray:
+    """For a batch that begins at each request, where the next one begins."""
+    upto, at = np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(sizes))
+    full = np.searchsorted(upto, upto[:-1] + most_bytes, side="right") - 1
+    return np.maximum(at + 1, np.minimum(at + most_requests, full))
+
+
+def full_batches(requests: DataFrame, size: str = "size_bytes", order: str = "seq", span: int = 1_000_000, most_requests: int = MAX_REQUESTS, most_bytes: int = SAFE_BYTES) -> DataFrame:
+    """requests with batch, the position of its first request: a batch takes requests in order until the next one would
+    exceed most_requests or most_bytes (a larger request stands alone), exactly as one pass over all of them would.
+
+    Spans of requests are looked at in parallel: for each place at which a batch may first begin in a span, where the first one
+    begins in the span after. These maps are composed by doubling the distance, which gives the true beginning in every
+    span; then each span cuts its batches. A task sees a span and the most_requests requests after it."""
+    if span < most_requests:
+        raise ValueError("a span must be able to hold a batch")
+    rows = numbered(requests, [order, size])
+    spans = rows.select(F.expr(f"_pos div {span}").alias("_s"), "_pos", F.col(size).cast("bigint").alias("_size"))
+    after = spans.where(f"_s > 0 and _pos % {span} < {most_requests}").withColumn("_s", F.col("_s") - 1)
+    seen = spans.unionByName(after)
+    count = rows.count()
+    last = (count - 1) // span
+
+    def starts(frame: pd.DataFrame) -> tuple[pd.DataFrame, int, np.ndarray]:
+        frame = frame.sort_values("_pos")
+        own = int((frame["_pos"] // span == frame["_s"].iloc[0]).sum())
+        return frame, own, _next_starts(frame["_size"].to_numpy(), most_requests, most_bytes)
+
+    def leap(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, own, following = starts(frame)
+        out = following.tolist()
+        for i in range(own - 1, -1, -1):
+            if out[i] < own:
+                out[i] = out[out[i]]
+        n = min(own, most_requests)
+        return pd.DataFrame({"_s": frame["_s"].iloc[0], "entry": np.arange(n), "leave": np.array(out[:n], np.int64) - own})
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, own, following = starts(frame)
+        at, batch, positions = int(frame["entry"].iloc[0]), np.full(len(frame), -1), frame["_pos"].to_numpy()
+        while at < own:
+            batch[at : following[at]] = positions[at]
+            at = int(following[at])
+        return pd.DataFrame({"_pos": positions, "batch": batch})[batch >= 0]
+
+    entries = requests.sparkSession.createDataFrame([(0, 0)], "_s bigint, entry bigint")
+    if last > 0:
+        leaps = [held(seen.groupBy("_s").applyInPandas(leap, "_s bigint, entry bigint, leave bigint"))]
+        while 2 ** len(leaps) <= last:
+            far = leaps[-1].select((F.col("_s") - 2 ** (len(leaps) - 1)).alias("_s"), F.col("entry").alias("leave"), F.col("leave").alias("_far"))
+            leaps.append(held(leaps[-1].join(far, ["_s", "leave"]).select("_s", "entry", F.col("_far").alias("leave"))))
+        for k in reversed(range(len(leaps))):
+            further = entries.join(leaps[k], ["_s", "entry"]).select((F.col("_s") + 2**k).alias("_s"), F.col("leave").alias("entry")).where(F.col("_s") <= last)
+            entries = held(entries.unionByName(further))
+    dealt = seen.join(entries, "_s").groupBy("_s").applyInPandas(deal, "_pos bigint, batch bigint")
+    return rows.join(dealt, "_pos").drop("_pos")
+
+
 def batch_metrics(batched: DataFrame, size: str = "size_bytes") -> DataFrame:
     """Per batch: requests, bytes, status (ok, warning, error) and headroom to the hard limit."""
     out = batched.groupBy("batch").agg(F.count(F.lit(1)).alias("request_count"), F.sum(size).alias("size_bytes"))

@@ -99,8 +99,15 @@ class Snapshots:
         numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()]
         if not numbers:
             return 0, {}
-        found = self.spark.read.text(f"{self.root}/log/{max(numbers):012d}.json", wholetext=True).first()
-        return max(numbers), json.loads(found["value"])
+        return max(numbers), self._entry(self._path(f"{self.root}/log/{max(numbers):012d}.json"))
+
+    def _entry(self, path) -> dict[str, dict]:
+        """An entry of the log, read on the driver: no job for a few lines."""
+        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _put(self, number: int, tables: dict[str, dict]) -> bool:
         """Put an entry in place; False if there is one of that number."""
@@ -173,7 +180,7 @@ class Snapshots:
         entries = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(log) if f.getPath().getName().endswith(".json"))
         named, tables = set(), set()
         for _, path in entries[-keep:]:
-            for table, state in json.loads(self.spark.read.text(path.toString(), wholetext=True).first()["value"]).items():
+            for table, state in self._entry(path).items():
                 tables.add(table)
                 named |= {_name(x) for x in state["folders"]}
                 if "manifest" in state and _name(state["manifest"]) not in named:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 
 def project_board(projects: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """runs, complete ones, errors, and whether all are complete (true for none)."""
@@ -64,6 +66,12 @@ def natural_order(divisions: DataFrame, column: str = "division") -> DataFrame:
     return divisions.orderBy(F.col(column).try_cast("int").asc_nulls_last(), column)
 
 
+def natural_ranks(divisions: DataFrame, column: str = "division", rank: str = "rank") -> DataFrame:
+    """divisions with their place in the natural order, from 0; ranges of the order lie in different tasks."""
+    keyed = divisions.withColumn("_number", F.col(column).try_cast("int")).withColumn("_none", F.col("_number").isNull())
+    return numbered(keyed, ["_none", "_number", column], rank).drop("_number", "_none")
+
+
 def comparisons_of(comparisons: DataFrame, ident: int | None = None, section_id: int | None = None, package_id: int | None = None) -> DataFrame:
     """By id, else by section, else those on either side of which a package stands; none of them: nothing."""
     if ident is not None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import classification as C
-from ..operators import compliance, lifecycle, packages, runs, scoring, snapshots, summaries, taxonomy, views
+from ..operators import compliance, folds, lifecycle, packages, runs, scoring, snapshots, summaries, taxonomy, views
 from ..schemas import SHOP_DRAWING, SUBMITTAL_TYPES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,6 +397,30 @@ def page_list_fold(spark, sf_dir):
     return out.select("section_number", text("primary_pages"), text("reference_pages"), "classification_status")
 
 
+@query(f"""
+WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS pr, {DAY_SQL} AS d FROM events WHERE user_id IS NOT NULL),
+     n AS (SELECT *, (row_number() OVER (PARTITION BY user_id, pr ORDER BY event_id) - 1) // 40 AS part FROM e)
+SELECT user_id AS section_number, pr AS is_primary, part, string_agg(d::VARCHAR || ',' || (d + 1)::VARCHAR, ',' ORDER BY event_id) AS pages FROM n GROUP BY 1, 2, 3
+""")
+def page_lists_in_parts(spark, sf_dir):
+    """The lists of page_list_fold in parts of 40 results."""
+    e = _day_pages(spark, sf_dir).select(F.col("section").alias("section_number"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("is_primary"), F.col("page").alias("start"), (F.col("page") + 1).alias("end"))
+    parts = folds.page_list_parts(e, ["section_number"], size=40)
+    return parts.select("section_number", "is_primary", "part", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2),
+     n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS part, arg_min(role, turn) OVER (PARTITION BY conv_id) AS section_title FROM t)
+SELECT conv_id, part, section_title, string_agg(md5(text), ',' ORDER BY turn) AS digests FROM n GROUP BY 1, 2, 3
+""")
+def summaries_in_parts(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("section_title"), F.min("text").alias("text"))
+    rows = turns.select("conv_id", F.col("turn").alias("seq"), "section_title", F.array(F.md5(F.encode("text", "UTF-8"))).alias("digests"))
+    parts = folds.summary_parts(rows, ["conv_id"], ["section_title"], ["digests"], size=3)
+    return parts.select("conv_id", "part", "section_title", F.array_join("digests", ",").alias("digests"))
+
+
 @query("""
 SELECT conv_id, arg_min(role, turn) AS section_title, string_agg(md5(text), ',' ORDER BY turn) AS digests FROM
   (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2) GROUP BY 1
@@ -587,6 +611,30 @@ def package_compare_next(spark, sf_dir):
     return compliance.compare_by_score(compliance.pairs_of(scored, compliance.next_pairs(scored))).select("id_a", "id_b", "score_delta", "overall_winner")
 
 
+@query(GRADED + """
+, d AS (SELECT a.section_id, a.id, b.id AS other, round((a.compliance_score - b.compliance_score) * 10000) AS d FROM g a LEFT JOIN g b ON a.section_id = b.section_id AND a.id <> b.id)
+SELECT section_id, id, count(other) FILTER (d > 500) AS wins, count(other) FILTER (abs(d) <= 500) AS ties, count(other) FILTER (d < -500) AS losses FROM d GROUP BY 1, 2
+""")
+def package_standings(spark, sf_dir):
+    """Each package against all others of its section by score, counted without their pairs."""
+    scored = compliance.score_by_deductions(_counts(spark, sf_dir)).select("section_id", "id", "compliance_score")
+    return compliance.standings_by_score(scored).select("section_id", "id", "wins", "ties", "losses")
+
+
+@query(EVENT_COUNTS + """
+, d AS (
+  SELECT a.section_id, a.id, b.id AS other,
+         (a.critical, a.major, a.missing_required, a.clarification_needed) < (b.critical, b.major, b.missing_required, b.clarification_needed) AS better,
+         (a.critical, a.major, a.missing_required, a.clarification_needed) > (b.critical, b.major, b.missing_required, b.clarification_needed) AS worse
+  FROM c a LEFT JOIN c b ON a.section_id = b.section_id AND a.id <> b.id
+)
+SELECT section_id, id, count(other) FILTER (better) AS wins, count(other) FILTER (NOT better AND NOT worse) AS ties, count(other) FILTER (worse) AS losses FROM d GROUP BY 1, 2
+""")
+def package_standings_severity(spark, sf_dir):
+    counts = _counts(spark, sf_dir).select("section_id", "id", "critical", "major", "missing_required", "clarification_needed")
+    return compliance.standings_by_severity(counts).select("section_id", "id", "wins", "ties", "losses")
+
+
 # ---- state changes ---------------------------------------------------------------------------
 
 
@@ -701,6 +749,20 @@ def request_batches(spark, sf_dir):
     return scoring.batch_metrics(dealt).withColumn("within_limit", F.expr("size_bytes <= 200000 or request_count = 1"))
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, (o_totalprice * 40)::BIGINT AS size FROM orders),
+     p AS (SELECT i, size, sum(size) OVER (ORDER BY i)::BIGINT AS upto, count(*) OVER () AS n FROM r),
+     j AS MATERIALIZED (SELECT a.i, a.n, least(a.i + 10000, a.n, greatest(a.i + 1, coalesce(b.i, a.n))) AS following FROM p a ASOF LEFT JOIN p b ON a.upto - a.size + 230686720 < b.upto),
+     s(start) AS (SELECT 0::BIGINT UNION ALL SELECT following FROM s JOIN j ON j.i = s.start WHERE following < n)
+SELECT start AS batch, count(*) AS request_count, sum(size)::BIGINT AS size_bytes FROM p ASOF JOIN s ON p.i >= s.start GROUP BY 1
+""")
+def full_request_batches(spark, sf_dir):
+    """Orders as requests of some megabytes in batches of at most 10,000 requests and 220 MB, filled in order."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") * 40).cast("decimal(20, 0)").cast("bigint").alias("size_bytes"))
+    dealt = scoring.full_batches(orders, span=10_000)
+    return dealt.groupBy("batch").agg(F.count(F.lit(1)).alias("request_count"), F.sum("size_bytes").alias("size_bytes"))
+
+
 @query("""
 SELECT o_orderkey,
        CASE WHEN s < 60 THEN printf('%.2f seconds', s) WHEN s < 3600 THEN printf('%.2f minutes', s / 60) ELSE printf('%.2f hours', s / 3600) END AS duration,

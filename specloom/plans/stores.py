@@ -323,11 +323,11 @@ def token_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scoring.total_tokens(usage).alias("tokens"))
 
 
-@query("SELECT string_agg(d, ',' ORDER BY try_cast(d AS INT) NULLS LAST, d) AS divisions FROM (SELECT DISTINCT p_size::VARCHAR AS d FROM part UNION SELECT DISTINCT p_brand FROM part)")
+@query("SELECT d AS division, row_number() OVER (ORDER BY try_cast(d AS INT) NULLS LAST, d) - 1 AS rank FROM (SELECT DISTINCT p_size::VARCHAR AS d FROM part UNION SELECT DISTINCT p_brand FROM part)")
 def natural_division_order(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = part.select(F.col("p_size").cast("string").alias("division")).union(part.select("p_brand")).distinct()
-    return views.natural_order(names).coalesce(1).agg(F.array_join(F.collect_list("division"), ",").alias("divisions"))
+    return views.natural_ranks(names)
 
 
 @query("SELECT s_suppkey, 'spec' || s_nationkey || '/original_pages/page_' || lpad(s_suppkey::VARCHAR, greatest(4, length(s_suppkey::VARCHAR))::INT, '0') || '.pdf' AS key FROM supplier")
