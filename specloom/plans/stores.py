@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classification as C
-from ..operators import lifecycle, packages, scoring, snapshots, summaries, views
+from ..operators import lifecycle, packages, scoring, search, snapshots, summaries, views
 from ..operators.common import scratch
 from ..operators.keyed import KeyedTables, Layout
 from ..schemas import LIFECYCLE, SHOP_DRAWING, missing_columns, schema, split_by_domain
@@ -113,6 +113,21 @@ def rolled_up_changes(spark, sf_dir):
     return now.join(stored, ["spec_id", "division"], "left").withColumn("stored", F.when(F.col("total") > 0, F.col("stored")))
 
 
+@query("""
+WITH q AS (SELECT DISTINCT upper(substr(p_name, 2, 7)) AS q FROM part WHERE p_partkey % 40 = 0 UNION SELECT unnest(['1', '12', '', 'no such name'])
+), t AS (SELECT p_partkey, p_name FROM part)
+SELECT q, p_partkey FROM q JOIN t ON contains(lower(p_name), lower(q))
+""")
+def indexed_search(spark, sf_dir):
+    """Substrings of part names, short ones too, looked up in an index of character runs."""
+    part = table(spark, sf_dir, "part")
+    tables = _keyed(spark, search.layouts("names", "p_partkey", 8))
+    index = search.TextIndex(tables, "names", "p_partkey")
+    index.build(part.select("p_partkey", "p_name"), "p_name")
+    asked = part.where("p_partkey % 40 = 0").select(F.upper(F.substring("p_name", 2, 7)).alias("q"))
+    return index.search(asked.unionByName(spark.createDataFrame([("1",), ("12",), ("",), ("no such name",)], "q string")))
+
+
 # ---- results as a stream ---------------------------------------------------------------------
 
 
@@ -198,8 +213,9 @@ def object_listing(spark, sf_dir):
 
 @query(PAGES_SQL + ", o AS (SELECT count(text) + count(image) AS n FROM p) SELECT n AS attempts, n AS successes, 100.0::DOUBLE AS success_rate, 0::BIGINT AS n_failed FROM o")
 def upload_report(spark, sf_dir):
-    _, report = _written(spark, store.converted_objects(_pages(spark, sf_dir)))
-    return store.upload_metrics(report).withColumn("n_failed", F.lit(store.failed_uploads(report).count()).cast("bigint"))
+    root = scratch(spark, "objects")
+    metrics = store.write_observed(store.converted_objects(_pages(spark, sf_dir)), root, f"{root}-report")
+    return spark.createDataFrame([metrics], "attempts bigint, successes bigint, success_rate double, n_failed bigint")
 
 
 @query("""

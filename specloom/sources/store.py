@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import BATCH_RESULT, schema
@@ -125,6 +125,15 @@ def upload_metrics(written: DataFrame) -> DataFrame:
     return out.withColumn("success_rate", success_rate(F.col("successes"), F.col("attempts")))
 
 
+def write_observed(objects: DataFrame, root: str, failures: str) -> tuple[int, int, float, int]:
+    """Write objects once, count while they are written and store what failed as a table at `failures`: attempts, successes, success_rate in percent, failures."""
+    seen = Observation()
+    written = write_objects(objects, root).observe(seen, F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("error").isNull()).alias("successes"))
+    failed_uploads(written).write.parquet(failures)
+    n, good = seen.get["attempts"], seen.get["successes"]
+    return n, good, 100.0 * good / n if n else 0.0, n - good
+
+
 def failed_uploads(written: DataFrame) -> DataFrame:
     """key and error of what was not written."""
     return written.where("error is not null").select("key", "error")
