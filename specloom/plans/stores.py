@@ -15,7 +15,7 @@ from ..operators import lifecycle, packages, scoring, search, snapshots, summari
 from ..operators.common import scratch
 from ..operators.keyed import KeyedTables, Layout
 from ..schemas import LIFECYCLE, SHOP_DRAWING, missing_columns, schema, split_by_domain
-from ..sources import store
+from ..sources import containers, store
 from ..streaming import tracking
 from .catalog import DAY_SQL, LIFECYCLE_OF, _day_pages, query, table
 
@@ -193,6 +193,17 @@ def stored_page_range(spark, sf_dir):
     return store.converted_pages(spark, root, 3, 60).withColumn("image", F.col("image").cast("string"))
 
 
+@query(PAGES_SQL + """
+SELECT spec_id, page_index, text, image FROM p WHERE page_index >= 3 AND page_index < 60 AND spec_id IN ('spec1', 'spec4', 'spec7', 'spec19', 'spec22')
+""")
+def packed_page_range(spark, sf_dir):
+    """Pages of some projects and a range of pages out of containers."""
+    root = scratch(spark, "containers")
+    containers.write_pages(_pages(spark, sf_dir), root, 8)
+    found = containers.read_pages(spark, root, ["spec1", "spec4", "spec7", "spec19", "spec22"], 3, 60)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("text", "image")})
+
+
 @query(PAGES_SQL + "SELECT spec_id, page_index, CASE WHEN text IS NOT NULL AND image IS NOT NULL THEN 'hybrid' WHEN text IS NOT NULL THEN 'text' WHEN image IS NOT NULL THEN 'image' ELSE 'none' END AS kind FROM p")
 def stored_page_kinds(spark, sf_dir):
     pages = _pages(spark, sf_dir)
