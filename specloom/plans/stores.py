@@ -14,7 +14,7 @@ from ..operators import classification as C
 from ..operators import lifecycle, packages, scoring, search, snapshots, summaries, views
 from ..operators.common import scratch
 from ..operators.keyed import KeyedTables, Layout
-from ..schemas import LIFECYCLE, SHOP_DRAWING, missing_columns, schema, split_by_domain
+from ..schemas import LIFECYCLE, SHOP_DRAWING, missing_fields, schema, split_by_domain
 from ..sources import containers, store
 from ..streaming import tracking
 from .catalog import DAY_SQL, LIFECYCLE_OF, _day_pages, query, table
@@ -469,10 +469,13 @@ def summary_requests(spark, sf_dir):
     return asked.select(F.col("section_number").cast("bigint").alias("conv_id"), F.col("prompt").alias("pages"))
 
 
-@query("SELECT * FROM (VALUES ('o_missing'), ('o_other')) t(missing)")
-def required_columns(spark, sf_dir):
-    lost = missing_columns(table(spark, sf_dir, "orders"), ["o_orderkey", "o_other", "o_missing"])
-    return spark.createDataFrame([(x,) for x in lost], "missing string")
+@query("""
+SELECT o_orderkey, concat_ws(',', 'o_missing', CASE WHEN o_orderkey % 4 = 0 THEN 'o_orderpriority' WHEN o_orderkey % 4 = 1 THEN 'o_orderpriority' END, CASE WHEN o_orderkey % 3 = 0 THEN 'o_totalprice' END) AS missing FROM orders
+""")
+def required_fields(spark, sf_dir):
+    """What each request lacks of the required fields: blank, null or not there at all."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("case o_orderkey % 4 when 0 then ' ' when 1 then null else o_orderpriority end").alias("o_orderpriority"), F.expr("if(o_orderkey % 3 = 0, null, o_totalprice)").alias("o_totalprice"))
+    return orders.select("o_orderkey", F.array_join(missing_fields(orders, ["o_totalprice", "o_orderkey", "o_missing", "o_orderpriority"]), ",").alias("missing"))
 
 
 @query("SELECT l_orderkey, count(*) AS n, bool_or(l_linenumber % 2 = 0) AS changed FROM lineitem GROUP BY 1")

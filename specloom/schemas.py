@@ -69,6 +69,13 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def missing_fields(df: DataFrame, required: list[str]) -> Column:
+    """Of each row, the names of required columns that it lacks: absent ones, nulls and blank texts."""
+    kinds = dict(df.dtypes)
+    absent = lambda c: F.lit(True) if c not in kinds else F.col(c).isNull() | (F.trim(F.col(c)) == "") if kinds[c] == "string" else F.col(c).isNull()
+    return F.filter(F.array(*(F.when(absent(c), F.lit(c)) for c in sorted(required))), lambda x: x.isNotNull())
+
+
 def split_by_domain(df: DataFrame, column: str, domain) -> tuple[DataFrame, DataFrame]:
     """(rows whose value is in the domain, all others, nulls included)."""
     fine: Column = F.coalesce(F.col(column).isin(*domain), F.lit(False))

@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
 from ..operators import classification as C
+from ..operators.common import held
+from ..operators.keyed import KeyedTables, Layout
 from ..operators.snapshots import Snapshots
 from ..schemas import BATCH_RESULT
 
@@ -65,11 +67,30 @@ def apply_batch(batch: DataFrame, number: int, store: Snapshots) -> DataFrame |
     return rows
 
 
-def apply_stream(results: DataFrame, store: Snapshots, checkpoint: str, done: Callable[[int, DataFrame], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """apply_batch() on every micro-batch. done is told of each batch that counted; a crash between the two leaves it untold."""
+#: How apply_keyed() keeps the two tables that it moves.
+LAYOUTS = {"sections": Layout(("spec_id", "section_number")), "applied": Layout(("custom_id",))}
+
+
+def apply_keyed(batch: DataFrame, number: int, tables: KeyedTables) -> DataFrame | None:
+    """apply_batch() over tables in buckets by key: reads and rewrites the files of this batch's sections and requests alone.
+
+    Both tables move in one commit, so a batch that runs again finds all its requests applied and changes nothing (None)."""
+    rows = C.latest_attempt(C.succeeded(flat(batch)), ["custom_id"])
+    rows = held(rows.join(tables.lookup("applied", rows.select("custom_id")).select("custom_id"), "custom_id", "left_anti"))
+    if rows.isEmpty():
+        return None
+    tables.commit(
+        tables.stage("sections", C.page_lists(rows, ["spec_id", "section_number"]), C.fold_pages),
+        tables.stage("applied", rows.select("custom_id", F.lit(number).cast("bigint").alias("batch"))),
+    )
+    return rows
+
+
+def apply_stream(results: DataFrame, store: Snapshots | KeyedTables, checkpoint: str, done: Callable[[int, DataFrame], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """apply_batch(), or for tables in buckets apply_keyed(), on every micro-batch. done is told of each batch that counted; a crash between the two leaves it untold."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = apply_batch(batch, number, store)
+        rows = apply_keyed(batch, number, store) if isinstance(store, KeyedTables) else apply_batch(batch, number, store)
         if rows is not None:
             try:
                 if done:

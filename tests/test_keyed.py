@@ -9,6 +9,8 @@ from specloom.api import Engine
 from specloom.operators import keyed, lifecycle
 from specloom.operators.keyed import KeyedTables, Layout
 from specloom.operators.snapshots import Conflict, Snapshots
+from specloom.schemas import BATCH_RESULT
+from specloom.streaming import results
 
 
 @pytest.fixture
@@ -128,3 +130,29 @@ def test_roll_up_by_differences_equals_recomputation(spark, tmp_path):
     assert len(engine.keyed.stage("sections", spark.createDataFrame([(0, "pending")], "id bigint, lifecycle_status string")).removed) == 1
     with pytest.raises(ValueError, match="lifecycle_status"):
         engine.set_lifecycle(spark.createDataFrame([(0, "odd")], "id bigint, lifecycle_status string"))
+
+
+def test_batches_of_results_touch_their_sections_only(spark, tmp_path):
+    layouts = {t: Layout(x.keys, 8) for t, x in results.LAYOUTS.items()}
+    tables = KeyedTables(Snapshots(spark, f"file://{tmp_path}"), layouts)
+    kinds = "spec_id string, section_number string, primary_pages array<int>, reference_pages array<int>, total_pages int, classification_status string"
+    tables.create("sections", spark.createDataFrame([("s", f"{i:06d}", None, [], 3, "pending") for i in range(64)], kinds))
+    tables.create("applied", spark.createDataFrame([], "custom_id string, batch bigint"))
+
+    def batch(*rows):
+        made = [(c, "succeeded", None, 0, n, ("t", primary, 1.0, "", [], []), "s", section, start, end) for n, (c, section, primary, start, end) in enumerate(rows)]
+        return spark.createDataFrame(made, f"{BATCH_RESULT}, spec_id string, section_number string, start int, end int")
+
+    def section(number):
+        r = tables.lookup("sections", spark.createDataFrame([("s", number)], "spec_id string, section_number string")).first()
+        return r["primary_pages"], r["reference_pages"], r["classification_status"]
+
+    before = {r["file"] for r in tables.manifest("sections").collect()}
+    first = batch(("a", "000003", True, 1, 2), ("b", "000003", False, 7, 7), ("x", "999999", True, 1, 1))
+    assert results.apply_keyed(first, 0, tables).count() == 3
+    assert section("000003") == ([1, 2], [7], "complete")
+    assert len(before - {r["file"] for r in tables.manifest("sections").collect()}) == 1
+    assert results.apply_keyed(first, 0, tables) is None  # a replay
+    assert results.apply_keyed(batch(("b", "000003", False, 7, 7), ("c", "000004", True, 5, 5)), 1, tables).count() == 1
+    assert section("000003") == ([1, 2], [7], "complete") and section("000004") == ([5], [], "pending")
+    assert sorted(map(tuple, tables.read("applied").collect())) == [("a", 0), ("b", 0), ("c", 1), ("x", 0)]
