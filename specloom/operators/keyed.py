@@ -29,18 +29,28 @@ MOST_FILES = 8  # of a bucket; one more and they are written as one
 
 @dataclass(frozen=True)
 class Layout:
-    """The key of a table, the key columns that deal its rows (all, unless some are given), and the number of buckets."""
+    """The key of a table, the key columns that deal its rows (all, unless some are given), the number of buckets, and over how
+    many of them the rows of one value of these columns are spread (by their whole key), where a value may be hot."""
 
     keys: tuple[str, ...]
     buckets: int = 64
     by: tuple[str, ...] = ()
+    spread: int = 1
 
     @property
     def dealt_by(self) -> list[str]:
         return list(self.by or self.keys)
 
+    def _at(self, step: Column) -> Column:
+        return F.pmod(F.pmod(F.xxhash64(*self.dealt_by), F.lit(self.buckets)) + step, F.lit(self.buckets)).cast("int")
+
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.dealt_by), F.lit(self.buckets)).cast("int")
+        """The bucket of a row."""
+        return self._at(F.pmod(F.xxhash64(*self.keys), F.lit(self.spread)))
+
+    def buckets_of(self, keys: DataFrame) -> DataFrame:
+        """keys (rows of the columns that deal) with each bucket that may hold them."""
+        return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.spread - 1))).alias("_step")).withColumn("bucket", self._at(F.col("_step"))).drop("_step")
 
 
 @dataclass
@@ -89,7 +99,7 @@ class KeyedTables:
     def _files_of(self, table: str, manifest: DataFrame, keys: DataFrame) -> list[str]:
         layout = self.layouts[table]
         by = layout.dealt_by
-        wanted = keys.select(*by).distinct().withColumn("bucket", layout.bucket()).withColumn("_h1", F.xxhash64(*by, F.lit(1))).withColumn("_h2", F.xxhash64(*by, F.lit(2)))
+        wanted = layout.buckets_of(keys.select(*by).distinct()).withColumn("_h1", F.xxhash64(*by, F.lit(1))).withColumn("_h2", F.xxhash64(*by, F.lit(2)))
         near = wanted.join(manifest, "bucket").where(F.col(by[0]).between(F.col("low"), F.col("high")))
         folders = [r["filters"] for r in manifest.select("filters").distinct().collect()]  # a folder for each write
         if not folders:

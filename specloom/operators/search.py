@@ -18,8 +18,9 @@ LONGEST = 3
 
 
 def layouts(name: str, key: str, buckets: int = 64) -> dict[str, Layout]:
-    """Layouts of an index's three tables: texts by key, postings and counts by run."""
-    return {f"{name}_texts": Layout((key,), buckets), f"{name}_postings": Layout(("gram", key), buckets, ("gram",)), f"{name}_counts": Layout(("gram",), buckets)}
+    """Layouts of an index's three tables: texts by key, postings and counts by run. A run that most texts have is spread over an eighth of the buckets."""
+    postings = Layout(("gram", key), buckets, ("gram",), max(1, buckets // 8))
+    return {f"{name}_texts": Layout((key,), buckets), f"{name}_postings": postings, f"{name}_counts": Layout(("gram",), buckets)}
 
 
 def grams(text: Column, n: int) -> Column:
