@@ -18,7 +18,7 @@ from .test_simhash import plain_components, plain_fingerprint
 
 def rows_of(sql, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = con.execute(sql)
     return {tuple(r) for r in got.fetchall()}, [d[0] for d in got.description]
