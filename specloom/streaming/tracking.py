@@ -39,7 +39,8 @@ class RunTracker(StatefulProcessor):
         answered, out, asked = [], [], False
         for e in chain.from_iterable(batch.itertuples(index=False) for batch in rows):
             run, attempt = (e.custom_id,), 0 if pd.isna(e.attempt) else int(e.attempt)
-            state = tuple(self.runs.getValue(run)) if self.runs.containsKey(run) else None
+            found = self.runs.getValue(run)
+            state = None if found is None else tuple(found)
             if e.type == "asked":
                 if state is None:
                     self.runs.updateValue(run, (0, OPEN))
