@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +69,26 @@ def in_sample(key: str, rows: int, of: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) <= min(1 << 30, int(1.2 * rows / max(1, of) * (1 << 30)) + 1)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, and at the end of each partition what it has freed goes back to the system: Spark reuses its Python
+    workers, and allocators keep what the largest partition of any earlier stage took."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def slices(batch, column: str, most: int = 2 << 20):
     """Cut an Arrow batch so that each slice holds at most `most` bytes of the column, or one row."""
     import numpy as np

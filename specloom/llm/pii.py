@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import bloom
-from .common import cut, free_name, slices
+from .common import cut, free_name, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the contract's patterns that start only where a leftmost match can: no start is tried twice.
@@ -187,7 +187,7 @@ def mentions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
     rows = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"), *whole)
     own = StructType.fromDDL(f"base array<{SPAN}>, mentions array<{MENTION}>")
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], rows.schema["row"], *own.fields, *rows.schema.fields[3:]]))
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["doc_id"], rows.schema["row"], *own.fields, *rows.schema.fields[3:]]))
 
 
 def confident_patterns(seen: DataFrame, most_turns: int = MOST_TURNS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -254,7 +254,7 @@ class PersonalData:
                     out[at] = pa.array(texts, pa.string())
                     yield pa.RecordBatch.from_arrays(out, names=columns)
 
-        out = joined.mapInArrow(run, self.docs.schema)
+        out = joined.mapInArrow(tidy(run), self.docs.schema)
         return out.withColumn("n_chars", F.char_length(F.col(text_column)).cast(self.docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

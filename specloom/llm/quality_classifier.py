@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import cut, free_name, in_sample, slices
+from .common import cut, free_name, in_sample, slices, tidy
 
 DIM = 1 << 16
 WORDS = DIM - 1024  # places of layout steps follow those of words
@@ -181,7 +181,7 @@ def label_sums(docs: DataFrame, model: Model, prior: float) -> np.ndarray:
         found = np.flatnonzero(sums.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums.ravel()[found])], names=["at", "n"])
 
-    counted = docs.select("text", "lang", "source", "n_chars").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", "lang", "source", "n_chars").mapInArrow(tidy(run), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
     out, table = np.zeros((2, 2, DIM + 1), np.int64), counted.toArrow()  # at most 4 (DIM + 1) rows
     out.ravel()[np.asarray(table.column("at"))] = np.asarray(table.column("n"))
     return out
@@ -241,7 +241,7 @@ def labelled(docs: DataFrame, labels: DataFrame, labelled_rows: int) -> tuple[li
                 done += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(one.select("doc_id", "h", "good", "d.*").mapInArrow(run, f"doc_id {kind}, h bigint, good boolean, n bigint, a array<int>, b array<int>"), "classifier-labelled")
+    rows = cut(one.select("doc_id", "h", "good", "d.*").mapInArrow(tidy(run), f"doc_id {kind}, h bigint, good boolean, n bigint, a array<int>, b array<int>"), "classifier-labelled")
     order = rows.select("doc_id", "h", "n").toPandas().sort_values(["h", "doc_id"])
     kept = order["h"][order["n"].cumsum() <= FEATURES_KEPT]
     if not len(kept):
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p), pa.array(p[2] >= model.threshold)], names=[*batch.schema.names, *names])
 
     added = [*(StructField(c, DoubleType()) for c in names[:3]), StructField(names[3], BooleanType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *added]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

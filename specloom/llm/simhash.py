@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bloom
-from .common import MAX_LONG, cut, order_key, slices
+from .common import MAX_LONG, cut, order_key, slices, tidy
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_
     whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
     rows = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"), *whole)
     schema = StructType([rows.schema["doc_id"], rows.schema["row"], StructField("fp", LongType()), *rows.schema.fields[3:]])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def choose_segments(nodes: DataFrame, distance: int = DISTANCE, options: tuple[int, ...] = (8, 16)) -> int:
