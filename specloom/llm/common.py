@@ -46,6 +46,12 @@ def remove_intermediates(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}")
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side that is joined by shuffle: for tables that grow with the input. Below spark.sql.autoBroadcastJoinThreshold Spark would build
+    their hash table on the driver, and numbers that fill 10 MB of files fill some hundred MB there."""
+    return df.hint("merge")
+
+
 def free_name(taken: Iterable[str], wish: str) -> str:
     """wish, or wish with underscores so that it clashes with no column (names compare without case)."""
     low = {c.lower() for c in taken}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_shuffle, cut
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -15,9 +15,9 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(neighbours: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger (large star) or other (small star) neighbours to the least of its neighbourhood.
 
-    The least ones are written out first: the join then shuffles both sides plainly (or broadcasts), so AQE may split a node with very many neighbours."""
+    The least ones are written out first: the join then shuffles both sides plainly, so AQE may split a node with very many neighbours."""
     least = cut(neighbours.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "components-least")
-    joined = neighbours.join(least, "u")
+    joined = neighbours.join(by_shuffle(least), "u")
     if large:
         linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bloom
-from .common import MAX_LONG, cut, order_key, slices, tidy
+from .common import MAX_LONG, by_shuffle, cut, order_key, slices, tidy
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -128,7 +128,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, segments: int | None = Non
     grid = nodes.select("fp", F.expr(_cell(segments, distance)).alias("cell"))
     steps = F.explode(F.array(*(F.lit(p).cast("long") for p in packed)))
     probes = grid.select(F.col("fp").alias("u"), "cell", steps.alias("step")).select("u", F.expr("cell + step").alias("cell"), F.expr("step = 0").alias("same"))
-    found = probes.join(grid.withColumnRenamed("fp", "v"), "cell").where(f"bit_count(u ^ v) between 1 and {distance} and (not same or u < v)")
+    found = probes.join(by_shuffle(grid.withColumnRenamed("fp", "v")), "cell").where(f"bit_count(u ^ v) between 1 and {distance} and (not same or u < v)")
     return found.select("u", "v")
 
 
@@ -137,13 +137,13 @@ class NearDuplicates:
         self.fps = cut(fingerprints(docs, shingle, id_column, text_column, carry), "simhash-fingerprints")
         self.nodes = cut(self.fps.groupBy("fp").agg(F.min(order_key("doc_id")).alias("first")), "simhash-nodes")
         found = connected_components(links(self.nodes, distance, segments))
-        rooted = self.nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = self.nodes.join(by_shuffle(found.select(F.col("node").alias("fp"), "root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         labels = rooted.groupBy("root").agg(F.min("first").alias("component"))
-        self.labels = cut(rooted.join(labels, "root").select("fp", "component", "root"), "simhash-labels")
+        self.labels = cut(rooted.join(by_shuffle(labels), "root").select("fp", "component", "root"), "simhash-labels")
 
     def annotate(self) -> DataFrame:
         """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable), root, row."""
-        return self.fps.join(self.labels, "fp").select(
+        return self.fps.join(by_shuffle(self.labels), "fp").select(
             "doc_id",
             F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
             F.expr(f"if(component = {MAX_LONG}L, null, component)").alias("component_id"),
@@ -155,12 +155,12 @@ class NearDuplicates:
         """The documents (with carry) without all but one of each group: the one with the least doc_id (the first read, where it repeats).
 
         Only rows that a Bloom filter of the dropped ones does not clear shuffle."""
-        rows = self.fps.select("fp", "row", "doc_id").join(self.labels, "fp")
+        rows = self.fps.select("fp", "row", "doc_id").join(by_shuffle(self.labels), "fp")
         stay = rows.groupBy("root").agg(F.min(F.struct(order_key("doc_id").alias("k"), "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         stay = cut(stay.select("root", F.col("first.row").alias("stay")), "simhash-stay")
-        dropped = cut(rows.join(stay, "root").where("row <> stay").select("row"), "simhash-dropped")
+        dropped = cut(rows.join(by_shuffle(stay), "root").where("row <> stay").select("row"), "simhash-dropped")
         clear, maybe = bloom.split(self.fps.select("row", "doc"), "row", dropped)
-        return clear.select("doc.*").unionByName(maybe.join(dropped, "row", "left_anti").select("doc.*"))
+        return clear.select("doc.*").unionByName(maybe.join(by_shuffle(dropped), "row", "left_anti").select("doc.*"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

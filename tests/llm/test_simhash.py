@@ -138,3 +138,13 @@ def test_intermediate_tables_are_shared_and_can_be_removed(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_dir(Cluster)
+
+
+def test_tables_that_grow_are_joined_by_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i % 7} d e") for i in range(40)], "doc_id long, text string")
+    nodes = spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "u long, v long")
+    plans = [simhash.near_duplicates(docs), simhash.links(nodes, segments=8), components._star(components._both_ways(edges), large=True)]
+    for made in plans:  # Spark would build a broadcast table on the driver
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, components.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
