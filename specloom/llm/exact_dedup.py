@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import MAX_LONG, cut, text_of
+from .common import MAX_LONG, by_shuffle, cut, text_of
 
 #: A run of white space other than a single space; replacing these equals replacing every run.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -109,7 +109,7 @@ class ExactDedup:
         return alone.unionByName(grouped)
 
     def _judged(self) -> DataFrame:
-        return self.rest.join(self.groups, "text_sha256", "left")
+        return self.rest.join(by_shuffle(self.groups), "text_sha256", "left")
 
     def dedup(self) -> DataFrame:
         """The documents that stay, with all their columns; rows that the filter clears do not shuffle."""

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import bloom
-from .common import cut, free_name, slices, tidy
+from .common import by_shuffle, cut, free_name, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the contract's patterns that start only where a leftmost match can: no start is tried twice.
@@ -201,7 +201,7 @@ def confident_patterns(seen: DataFrame, most_turns: int = MOST_TURNS, support: i
     def score(known: DataFrame, gained: Column) -> DataFrame:
         """Scores of the patterns that enough values support; known has pattern, kind, seeds. Rounded, so that no order of sums decides."""
         value = F.round((F.coalesce("seeds", F.lit(0)) + gained) / (F.col("n") + PRIOR), 9)
-        return cut(known.join(sizes, "pattern").select("pattern", "kind", value.alias("score")), "pii-scores")
+        return cut(known.join(by_shuffle(sizes), "pattern").select("pattern", "kind", value.alias("score")), "pii-scores")
 
     scored, before = score(seeds.where(f"seeds >= {support}"), F.lit(0.0)), None
     for _ in range(most_turns):
@@ -210,11 +210,11 @@ def confident_patterns(seen: DataFrame, most_turns: int = MOST_TURNS, support: i
             break
         before = now
         wrong = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
-        values = edges.join(scored, "pattern").groupBy("value", "kind").agg(F.round(1 - F.exp(wrong), 9).alias("value_score"))
+        values = edges.join(by_shuffle(scored), "pattern").groupBy("value", "kind").agg(F.round(1 - F.exp(wrong), 9).alias("value_score"))
         # any pattern gains from the values found so far, and those that are sure support it as seeds do
         sure = F.count_if(F.col("value_score") >= confident).alias("sure")
-        gained = edges.join(values, "value").groupBy("pattern", "kind").agg(F.sum("value_score").alias("gained"), sure)
-        known = seeds.join(gained, ["pattern", "kind"], "full").where(f"coalesce(seeds, 0) + coalesce(sure, 0) >= {support}")
+        gained = edges.join(by_shuffle(values), "value").groupBy("pattern", "kind").agg(F.sum("value_score").alias("gained"), sure)
+        known = seeds.join(by_shuffle(gained), ["pattern", "kind"], "full").where(f"coalesce(seeds, 0) + coalesce(sure, 0) >= {support}")
         scored = score(known, F.coalesce("gained", F.lit(0.0)))
     best = scored.where(f"score >= {confident}").groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("pattern", "b.kind", "b.score")
@@ -236,7 +236,7 @@ class PersonalData:
         clear, maybe = bloom.split(rows, "row", self.added)
         none = F.expr(f"cast(array() as array<{SPAN}>)")
         both = F.array_sort(F.concat("base", F.coalesce(F.col("added").cast(f"array<{SPAN}>"), none)))
-        joined = maybe.join(self.added, "row", "left").withColumn("spans", both)
+        joined = maybe.join(by_shuffle(self.added), "row", "left").withColumn("spans", both)
         return clear.withColumn("spans", F.array_sort("base")).unionByName(joined.select(*rows.columns, "spans"))
 
     def redact(self, mask: str = "<{}>") -> DataFrame:

@@ -244,3 +244,9 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
             assert {r["doc_id"] for r in packed.collect()} == set(texts_left)
         else:
             assert counts == [0] * 4 and packed.count() == 0
+
+
+def test_groups_of_copies_are_joined_by_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(20)], "doc_id long, text string")
+    plan = exact_dedup.ExactDedup(docs)._judged()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan  # else their hash table would be built on the driver
