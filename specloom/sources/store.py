@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import scratch
 from ..schemas import BATCH_RESULT, schema
 
 # Where objects of a project lie below the store's root.
@@ -29,21 +31,80 @@ def lookup(df: DataFrame, **keys) -> DataFrame:
     return df
 
 
-def objects(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
-    """path, length, modificationTime and, if asked for, content of the objects below root. Without content no object is opened."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return found if content else found.drop("content")
+LISTED = "path string, is_folder boolean, length bigint, modificationTime timestamp"
+TASK_OBJECTS = 1000  # folders that a task lists, and objects that it reads, about
+BATCH_BYTES = 16 << 20  # of contents in a batch that a task hands on
+
+
+def _listing(root: str):
+    """For mapInArrow over folders (path below root): what lies in each. Names that Spark takes as hidden are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [f for f in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))) if not f.base_name.startswith(".") and (not f.base_name.startswith("_") or "=" in f.base_name)]
+                below = [f.base_name if not folder else f"{folder}/{f.base_name}" for f in found]
+                kinds = [f.type == fs.FileType.Directory for f in found]
+                columns = [pa.array(below, pa.string()), pa.array(kinds, pa.bool_()), pa.array([f.size for f in found], pa.int64()), pa.array([f.mtime for f in found], pa.timestamp("us", "UTC"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "is_folder", "length", "modificationTime"])
+
+    return run
+
+
+def _reading(root: str):
+    """For mapInArrow over objects (path below root first): the same rows with their contents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            at, held, size = 0, [], 0
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                with store.open_input_stream(f"{base}/{name}", compression=None) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(at, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=[*part.schema.names, "content"])
+                    at, held, size = i + 1, [], 0
+
+    return run
+
+
+def _dealt(paths: DataFrame) -> DataFrame:
+    return paths.repartition(max(1, -(-paths.count() // TASK_OBJECTS)), "path")
+
+
+def objects(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, like: str | None = None) -> DataFrame:
+    """path, length, modificationTime and, if asked for, content of the objects below root whose names match pattern and whose paths match the
+    regular expression like. Without content no object is opened.
+
+    Tasks list the folders, level by level, and store what they find: the driver sees numbers of folders, never names of objects. A folder is listed by one task."""
+    level, at = spark.createDataFrame([("",)], "path string"), []
+    while not at or (level := spark.read.schema(LISTED).parquet(at[-1]).where("is_folder").select("path")).head(1):
+        at.append(scratch(spark, "listing"))
+        _dealt(level).mapInArrow(_listing(root), LISTED).write.parquet(at[-1])
+    found = spark.read.schema(LISTED).parquet(*at).where("not is_folder").drop("is_folder").where(F.regexp_extract("path", "[^/]*$", 0).rlike(fnmatch.translate(pattern)))
+    if like:
+        found = found.where(F.concat(F.lit("/"), "path").rlike(like))
+    if content:
+        found = _dealt(found).mapInArrow(_reading(root), "path string, length bigint, modificationTime timestamp, content binary")
+    return found.withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "path"))
 
 
 def original_parts(spark: SparkSession, root: str) -> DataFrame:
     """spec_id, part (a number, so that part 10 follows part 9) and content of uploaded files."""
     p = F.col("path")
-    return objects(spark, root).where(p.rlike(ORIGINAL)).select(F.regexp_extract(p, ORIGINAL, 1).alias("spec_id"), F.regexp_extract(p, ORIGINAL, 2).cast("int").alias("part"), "content")
+    return objects(spark, root, like=ORIGINAL).select(F.regexp_extract(p, ORIGINAL, 1).alias("spec_id"), F.regexp_extract(p, ORIGINAL, 2).cast("int").alias("part"), "content")
 
 
 def page_counts(spark: SparkSession, root: str) -> DataFrame:
     p = F.col("path")
-    pages = objects(spark, root, "page_*.pdf", content=False).where(p.rlike(ORIGINAL_PAGE))
+    pages = objects(spark, root, "page_*.pdf", content=False, like=ORIGINAL_PAGE)
     return pages.groupBy(F.regexp_extract(p, ORIGINAL_PAGE, 1).alias("spec_id")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
@@ -60,7 +121,7 @@ def lenient_text(content: Column) -> Column:
 def converted_pages(spark: SparkSession, root: str, first: int | None = None, end: int | None = None) -> DataFrame:
     """spec_id, page_index, text and image of pages first <= index < end; a missing object leaves null."""
     p = F.col("path")
-    found = objects(spark, root).where(p.rlike(CONVERTED)).select(F.regexp_extract(p, CONVERTED, 1).alias("spec_id"), F.regexp_extract(p, CONVERTED, 2).cast("int").alias("page_index"), F.regexp_extract(p, CONVERTED, 3).alias("kind"), "content")
+    found = objects(spark, root, like=CONVERTED).select(F.regexp_extract(p, CONVERTED, 1).alias("spec_id"), F.regexp_extract(p, CONVERTED, 2).cast("int").alias("page_index"), F.regexp_extract(p, CONVERTED, 3).alias("kind"), "content")
     if first is not None:
         found = found.where(F.col("page_index") >= first)
     if end is not None:

@@ -168,3 +168,19 @@ def test_the_entry_works_without_the_subpackage(tmp_path):
     )
     root = Path(__file__).resolve().parents[1]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_objects_are_listed_and_read_by_tasks(spark, tmp_path):
+    kept = {"a/original/1": b"x", "a/b/c/d.txt": b"", "top.txt": b"yy", "b/page_1.txt": b"z" * 9}
+    for name, content in {**kept, "a/.hidden": b"h", "_gone/x.txt": b"g"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    root = f"file://{tmp_path}"
+    read = lambda **how: {r["path"].removeprefix(root + "/"): r for r in store.objects(spark, root, **how).collect()}
+    assert {k: (r["content"], r["length"]) for k, r in read().items()} == {k: (v, len(v)) for k, v in kept.items()}
+    assert set(read(pattern="*.txt", content=False)) == {"a/b/c/d.txt", "top.txt", "b/page_1.txt"}
+    assert set(read(content=False, like=store.ORIGINAL)) == {"a/original/1"}
+    plan = store.objects(spark, root, content=False)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan  # whose index holds every object on the driver
+    (tmp_path / "none").mkdir()
+    assert store.objects(spark, f"{root}/none").collect() == []
