@@ -24,7 +24,8 @@ from .common import held
 from .snapshots import Conflict, Snapshots, delete, update, upsert
 
 CHUNK_BITS, BITS_A_KEY = 32768, 12  # what one bitmap of bitmap_construct_agg holds
-MOST_FILES = 8  # of a bucket; one more and they are written as one
+MOST_FILES = 8  # of a bucket, beyond those that its rows need; one more and they are written anew
+FILE_ROWS = 1_000_000  # about so many rows go through one task and into one file; a bucket of more rows has several
 
 
 @dataclass(frozen=True)
@@ -119,12 +120,14 @@ class KeyedTables:
 
     # ---- writing -----------------------------------------------------------------------------
 
-    def _write(self, table: str, rows: DataFrame) -> list:
-        """Write rows as new files, a file for each of their buckets, and their filters: the manifest's rows."""
+    def _write(self, table: str, rows: DataFrame, about: int, buckets: int) -> list:
+        """Write rows, about so many in so many buckets, as new files, one for each of their buckets or more where these are large, and their filters: the manifest's rows."""
         layout, by = self.layouts[table], self.layouts[table].dealt_by
         folder, filters = (f"{self.store.root}/{table}/{kind}-{uuid.uuid4().hex}" for kind in ("data", "filters"))
-        tasks = min(layout.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = rows.withColumn("_bucket", layout.bucket()).repartition(tasks, "_bucket").sortWithinPartitions("_bucket", *layout.keys)
+        pieces = -(-about // (max(1, buckets) * FILE_ROWS)) or 1  # of a bucket, so that no task's rows grow with the table
+        tasks = min(layout.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if pieces == 1 else max(1, buckets) * pieces
+        piece = F.pmod(F.xxhash64(*layout.keys, F.lit(3)), F.lit(pieces)).cast("int")
+        dealt = rows.withColumn("_bucket", layout.bucket()).repartition(tasks, "_bucket", *([piece] if pieces > 1 else [])).sortWithinPartitions("_bucket", *layout.keys)
         dealt.write.partitionBy("_bucket").parquet(folder)
         path = self.store._path(folder)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -136,7 +139,7 @@ class KeyedTables:
         files = held(files.withColumn("filters", F.lit(filters)))
         bits = F.explode(F.array(*(F.pmod(F.xxhash64(*by, F.lit(seed)), F.col("chunks") * CHUNK_BITS) for seed in (1, 2)))).alias("_slot")
         slots = stored.join(files.select("file", "chunks"), "file").select("file", bits)
-        slots.groupBy("file", F.expr(f"_slot div {CHUNK_BITS}").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(_slot % {CHUNK_BITS})").alias("bits")).repartition(1).sortWithinPartitions("file").write.parquet(filters)
+        slots.groupBy("file", F.expr(f"_slot div {CHUNK_BITS}").alias("chunk")).agg(F.expr(f"bitmap_construct_agg(_slot % {CHUNK_BITS})").alias("bits")).repartition(pieces, "file").sortWithinPartitions("file").write.parquet(filters)
         return files.collect()  # a row for each new file
 
     def _put_manifest(self, table: str, rows: DataFrame) -> str:
@@ -144,9 +147,9 @@ class KeyedTables:
         rows.coalesce(1).write.parquet(path)
         return path
 
-    def create(self, table: str, rows: DataFrame) -> None:
-        """Write a table as a whole."""
-        added = self.spark.createDataFrame(self._write(table, rows), self._manifest_schema(table, rows.schema))
+    def create(self, table: str, rows: DataFrame, about: int | None = None) -> None:
+        """Write a table as a whole. Rows that are dear to compute twice come with about their number, others are counted."""
+        added = self.spark.createDataFrame(self._write(table, rows, rows.count() if about is None else about, self.layouts[table].buckets), self._manifest_schema(table, rows.schema))
         manifest = self._put_manifest(table, added)
         while True:
             number, now = self.store._state()
@@ -160,17 +163,17 @@ class KeyedTables:
         changes = held(changes)
         state = self.store._state()[1][table]
         buckets = [r[0] for r in changes.select(layout.bucket()).distinct().collect()]  # at most as many as there are buckets
-        manifest = [(r["bucket"], r["file"]) for r in self._manifest(table, state).select("bucket", "file").collect()]
-        seen = {f for b, f in manifest if b in set(buckets)}
+        manifest = [(r["bucket"], r["file"], r["rows"]) for r in self._manifest(table, state).select("bucket", "file", "rows").collect()]
+        seen = {f for b, f, _ in manifest if b in set(buckets)}
         touched = set(self._files_of(table, self._manifest(table, state), changes))
         for bucket in buckets:
-            own = {f for b, f in manifest if b == bucket}
-            if len(own) >= MOST_FILES:
-                touched |= own
+            own = {f: n for b, f, n in manifest if b == bucket}
+            if len(own) >= MOST_FILES + sum(own.values()) // FILE_ROWS:
+                touched |= set(own)
         old = self._files(state, touched)
         columns = StructType.fromJson(state["schema"])
         new = how(old, changes, list(layout.keys)).select(*(F.col(c.name).cast(c.dataType) for c in columns))
-        added = self._write(table, new)
+        added = self._write(table, new, sum(n for _, f, n in manifest if f in touched) + changes.count(), len(buckets))
         return Staged(table, buckets, seen, sorted(touched), added, old, self._files(state, [r["file"] for r in added]))
 
     def commit(self, *staged: Staged) -> None:

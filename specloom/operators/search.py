@@ -38,8 +38,9 @@ class TextIndex:
         """Index rows (one for each key); a null text is found by no query."""
         own = rows.select(self.key, F.lower(text).alias("text")).where("text is not null")
         self.tables.create(self.texts, own)
-        self.tables.create(self.postings, self._listed(own))
-        self.tables.create(self.counts, self.tables.read(self.postings).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+        size = own.agg(F.sum(F.length("text").cast("bigint"))).first()
+        self.tables.create(self.postings, self._listed(own), LONGEST * (size[0] or 0))  # no more runs than characters, of each length
+        self.tables.create(self.counts, held(self.tables.read(self.postings).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))))
 
     def _listed(self, texts: DataFrame) -> DataFrame:
         every = F.concat(*(grams(F.col("text"), n) for n in range(1, LONGEST + 1)))

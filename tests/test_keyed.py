@@ -156,3 +156,12 @@ def test_batches_of_results_touch_their_sections_only(spark, tmp_path):
     assert results.apply_keyed(batch(("b", "000003", False, 7, 7), ("c", "000004", True, 5, 5)), 1, tables).count() == 1
     assert section("000003") == ([1, 2], [7], "complete") and section("000004") == ([5], [], "pending")
     assert sorted(map(tuple, tables.read("applied").collect())) == [("a", 0), ("b", 0), ("c", 1), ("x", 0)]
+
+
+def test_large_buckets_are_written_as_several_files(spark, tables, monkeypatch):
+    monkeypatch.setattr(keyed, "FILE_ROWS", 100)
+    tables.create("t", spark.range(2000).select("id", (F.col("id") * 2).alias("x")))
+    sizes = [r["rows"] for r in tables.manifest("t").collect()]
+    assert sum(sizes) == 2000 and len(sizes) > 16 and max(sizes) < 200
+    tables.merge("t", spark.createDataFrame([(17, -1)], "id bigint, x bigint"))
+    assert sorted(map(tuple, tables.read("t").collect())) == [(i, -1 if i == 17 else 2 * i) for i in range(2000)]
