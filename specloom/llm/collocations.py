@@ -5,11 +5,12 @@ the words that they stand for. Phrases are then counted length by length. A phra
 reach the threshold only if both its parts of k - 1 words do, so positions are first looked up in a
 bitmap of the frequent shorter phrases; false hits cost a count and change none.
 
-A task counts in a trie: the first word leads to a hash container of the rest of the phrase, and a
-container that grows beyond `BURST` entries bursts into a node with a container for each next word.
-At `most_entries` the largest subtrees leave as runs sorted by word, until half of the room is free;
-so memory is bounded whatever the text. Runs are written to the shared folder, dealt by phrase ranges
-(a range is a part of the trie's prefixes, and a hot first word is cut into several) and summed there.
+A task counts in a trie over the digits of a phrase's word numbers, whose leaves are hash containers; one
+that grows beyond `BURST` entries bursts into a node with a container for each next digit. Containers are
+arrays and not Python dicts, whose small ones below second words took several times the room of their entries. At
+`most_entries` the largest subtrees leave as runs, until half of the room is free; so memory is bounded
+whatever the text. Runs go into the shuffle as they leave, dealt by phrase, and are summed there: a phrase
+is in a run once, so that no group has more rows than there were runs.
 
 Defined cases: a null text has no words, a null language is `und`; only A-Z is lowered; long texts are
 encoded in segments cut between words, whose phrases are counted across the cut; ties go by phrase in
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import CHUNK_BITS, bits_for
-from .common import cut
+from .common import cut, tidy
 
 LEAST, LONGEST, OVERLAP, TOP = 10, 3, 50, 2000
 CHUNK_WORDS = 1 << 19  # word numbers of a stored row
 SEGMENT = 2 << 20  # bytes that are split into words at once
 BURST, MOST_ENTRIES, MOST_WORDS = 4096, 1_000_000, 1_000_000
+WORD_BITS, DIGIT = 21, 3  # of a word number, three of which fit into a long, and of a level of the trie
+FREE = np.int64(-1)  # a place of a container without a key
 BREAK = 0  # stands between pieces
 # The characters that end a piece become full stops, which no word can hold then; tabs become spaces. A-Z is lowered.
 PLAIN = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t" + bytes(range(65, 91)), b"." * 9 + b" " + bytes(range(97, 123)))
@@ -109,7 +112,7 @@ def encode(docs: DataFrame, longest: int = LONGEST, lang_column: str = "lang", t
             yield chunk.row(lang, 0)[0]
 
     rows = docs.select(F.coalesce(lang_column, F.lit("und")).alias("lang"), F.coalesce(text_column, F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, ids binary, context int, words array<binary>, counts array<bigint>")
+    return rows.mapInArrow(tidy(run), "lang string, ids binary, context int, words array<binary>, counts array<bigint>")
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -160,77 +163,132 @@ class Bitmap:
         return found
 
 
+class Container:
+    """Counts by key: a hash table of open addressing in two arrays, at most half full."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.n, self.keys, self.counts = 0, np.full(8, FREE, np.int64), np.zeros(8, np.int64)
+        self.add(keys, counts)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and their counts."""
+        used = np.flatnonzero(self.keys != FREE)
+        return self.keys[used], self.counts[used]
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct keys; where several meet at a free place one stays, and the others go on to the next."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            held = self.entries()
+            size = 1 << (2 * (self.n + len(keys))).bit_length()
+            self.n, self.keys, self.counts = 0, np.full(size, FREE, np.int64), np.zeros(size, np.int64)
+            self.add(*held)
+        mask = len(self.keys) - 1
+        at = ((keys.view(np.uint64) * MIX) >> np.uint64(32)).astype(np.int64) & mask
+        while len(keys):
+            free = self.keys[at] == FREE
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys
+            self.counts[at[here]] += counts[here]
+            self.n += int(np.count_nonzero(free & here))
+            left = ~here
+            keys, counts, at = keys[left], counts[left], (at[left] + 1) & mask
+
+
 class Trie:
-    """Counts of phrases of k word numbers: the first leads to a container, a hash of what follows; containers that grow large burst by the next word."""
+    """Counts of phrases of k word numbers below 2^21, by DIGIT bits of these a level. Leaves are hash containers, held in the order
+    of their prefixes; one that grows beyond `burst` entries bursts into leaves for each next digit."""
 
     def __init__(self, k: int, burst: int = BURST):
-        self.k, self.burst = k, burst
-        self.roots: dict[int, dict] = {}
-        self.sizes: dict[int, int] = {}
-        self.burst_roots: set[int] = set()
+        self.k, self.burst, self.bits = k, burst, WORD_BITS * k
+        self.lows, self.depths, self.leaves = [0], [0], [self._leaf()]  # a leaf's least key, and how many bits of it are fixed
 
     def __len__(self) -> int:
-        return sum(self.sizes.values())
+        return sum(map(len, self.leaves))
+
+    @staticmethod
+    def _leaf() -> Container:
+        return Container(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    @property
+    def burst_roots(self) -> set[int]:
+        """First words whose phrases lie in several containers."""
+        return {low >> (self.bits - WORD_BITS) for low, depth in zip(self.lows, self.depths, strict=True) if depth > WORD_BITS}
+
+    def _burst(self, low: int, depth: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, Container]]:
+        """Leaves for sorted keys below one prefix."""
+        if len(keys) <= self.burst or depth == self.bits:
+            yield low, depth, Container(keys, counts)
+            return
+        step = 1 << (self.bits - depth - DIGIT)
+        at = np.searchsorted(keys, [low + i * step for i in range(1, 1 << DIGIT)]).tolist()
+        for i, (a, b) in enumerate(zip([0, *at], [*at, len(keys)], strict=True)):
+            yield from self._burst(low + i * step, depth + DIGIT, keys[a:b], counts[a:b])
 
     def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
-        """Distinct phrases, a row each in sorted order, and their counts."""
+        """Distinct phrases, a row each, and their counts."""
         if not len(phrases):
             return
-        starts = np.flatnonzero(np.concatenate([[True], phrases[1:, 0] != phrases[:-1, 0]])).tolist()
-        first, ns = phrases[starts, 0].tolist(), counts.tolist()
-        rests = _packed(phrases[:, 1:]).tolist()
-        for root, a, b in zip(first, starts, [*starts[1:], len(ns)], strict=True):
-            node = self.roots.setdefault(root, {})
-            if root in self.burst_roots:
-                for rest, n in zip(rests[a:b], ns[a:b], strict=True):
-                    under = node.setdefault(rest >> 32, {})
-                    self.sizes[root] += rest not in under
-                    under[rest] = under.get(rest, 0) + n
-                continue
-            if node:
-                for rest, n in zip(rests[a:b], ns[a:b], strict=True):
-                    node[rest] = node.get(rest, 0) + n
+        keys = _packed(phrases)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        at = np.searchsorted(keys, self.lows).tolist()
+        leaves = []
+        for low, depth, leaf, a, b in zip(self.lows, self.depths, self.leaves, at, [*at[1:], len(keys)], strict=True):
+            leaf.add(keys[a:b], counts[a:b])
+            if len(leaf) > self.burst:
+                own, ns = leaf.entries()
+                by_key = np.argsort(own)
+                leaves += self._burst(low, depth, own[by_key], ns[by_key])
             else:
-                node.update(zip(rests[a:b], ns[a:b], strict=True))
-            self.sizes[root] = len(node)
-            if self.k > 2 and len(node) > self.burst:
-                inner: dict[int, dict] = {}
-                for rest, n in node.items():
-                    inner.setdefault(rest >> 32, {})[rest] = n
-                self.roots[root] = inner
-                self.burst_roots.add(root)
+                leaves.append((low, depth, leaf))
+        self.lows, self.depths, self.leaves = (list(x) for x in zip(*leaves, strict=True))
 
     def spill(self, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, the largest first, until at most `upto` entries are left: (phrases, counts)."""
-        left = len(self)
-        for root in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
-            if left <= upto:
+        """Take out whole subtrees, the largest first, until at most `upto` entries are left: (phrases, counts). A first word's phrases leave together."""
+        inner = (1 << (self.bits - WORD_BITS)) - 1
+        starts = [i for i, low in enumerate(self.lows) if not low & inner]
+        sizes = np.add.reduceat([len(leaf) for leaf in self.leaves], starts)
+        left, gone = int(sizes.sum()), set()
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            if left <= upto or not sizes[i]:
                 break
-            node = self.roots.pop(root)
-            left -= self.sizes.pop(root)
-            for under in node.values() if root in self.burst_roots else (node,):
-                rests = np.fromiter(under, np.int64, len(under))
-                columns = [np.full(len(under), root, np.int64)] + ([rests >> 32, rests & 0xFFFFFFFF] if self.k > 2 else [rests])
-                yield np.stack(columns, axis=1), np.fromiter(under.values(), np.int64, len(under))
-            self.burst_roots.discard(root)
+            left -= int(sizes[i])
+            gone.add(i)
+        kept = []
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(self.lows)], strict=True)):
+            if i not in gone:
+                kept += zip(self.lows[a:b], self.depths[a:b], self.leaves[a:b], strict=True)
+                continue
+            for leaf in self.leaves[a:b]:
+                keys, counts = leaf.entries()
+                yield _unpacked(keys, self.k), counts
+            kept.append((self.lows[a], min(self.depths[a], WORD_BITS), self._leaf()))
+        self.lows, self.depths, self.leaves = (list(x) for x in zip(*kept, strict=True)) if left else ([0], [0], [self._leaf()])
+
+
+def _packed(phrases: np.ndarray) -> np.ndarray:
+    """Two or three word numbers as one long."""
+    keys = phrases[:, 0].astype(np.int64)
+    for i in range(1, phrases.shape[1]):
+        keys = (keys << WORD_BITS) | phrases[:, i]
+    return keys
 
 
-def _packed(rest: np.ndarray) -> np.ndarray:
-    """One or two word numbers as one long."""
-    return rest[:, 0].astype(np.int64) if rest.shape[1] == 1 else (rest[:, 0].astype(np.int64) << 32) | rest[:, 1]
+def _unpacked(keys: np.ndarray, k: int) -> np.ndarray:
+    return np.stack([(keys >> (WORD_BITS * (k - 1 - i))) & ((1 << WORD_BITS) - 1) for i in range(k)], axis=1)
 
 
 def _distinct(ids: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The different phrases that start there, sorted, and their counts. A row's word numbers are below 2^21, so that three fit into a long."""
-    key = ids[starts].astype(np.int64)
-    for i in range(1, k):
-        key = (key << 21) | ids[starts + i]
-    key, counts = np.unique(key, return_counts=True)
-    return np.stack([(key >> (21 * (k - 1 - i))) & 0x1FFFFF for i in range(k)], axis=1), counts
+    keys, counts = np.unique(_packed(np.stack([ids[starts + i] for i in range(k)], axis=1)), return_counts=True)
+    return _unpacked(keys, k), counts
 
 
 def count_phrases(encoded: DataFrame, k: int, shorter: Bitmap, most_entries: int = MOST_ENTRIES, burst: int = BURST) -> DataFrame:
-    """lang, phrase (bytes), n: sorted runs of the counts of k-word phrases, k 2 or 3, whose parts may be frequent. A phrase comes once for each time that its subtree was spilled."""
+    """lang, phrase (bytes), n: runs of the counts of k-word phrases, k 2 or 3, whose parts may be frequent. A phrase comes once for each time that its subtree was spilled."""
     if k not in (2, 3):
         raise ValueError("phrases have two or three words")
     bits = shorter.data
@@ -246,13 +304,10 @@ def count_phrases(encoded: DataFrame, k: int, shorter: Bitmap, most_entries: int
                 return
             phrases, counts = (np.concatenate([t[i] for t in taken]) for i in (0, 1))
             spelt = pa.array(list(known), pa.binary())
-            rank = np.empty(len(spelt), np.int64)
-            rank[pc.sort_indices(spelt).to_numpy()] = np.arange(len(spelt))
-            order = np.lexsort([rank[phrases[:, i]] for i in reversed(range(k))])
-            for at in range(0, len(order), 1 << 16):
-                part = order[at : at + (1 << 16)]
+            for at in range(0, len(counts), 1 << 16):
+                part = slice(at, at + (1 << 16))
                 words = [spelt.take(pa.array(phrases[part, i])) for i in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pc.binary_join_element_wise(*words, b" "), pa.array(counts[part])], names=["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words[0])), pc.binary_join_element_wise(*words, b" "), pa.array(counts[part])], names=["lang", "phrase", "n"])
 
         for batch in batches:
             for lang, buffer, context, words in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -265,10 +320,11 @@ def count_phrases(encoded: DataFrame, k: int, shorter: Bitmap, most_entries: int
                 phrases, counts = _distinct(ids, starts[parts[starts] & parts[starts + 1]], k)
                 trie, known = state.setdefault(lang, (Trie(k, burst), {}))
                 used, where = np.unique(phrases, return_inverse=True)
+                if len(known) + len(used) >= 1 << WORD_BITS:
+                    yield from runs(lang, 0)
+                    trie, known = state[lang] = (Trie(k, burst), {})
                 numbers = np.fromiter((known.setdefault(w, len(known)) for w in spelt.take(pa.array(used - 1)).to_pylist()), np.int64, len(used))
-                phrases = numbers[where].reshape(phrases.shape)
-                order = np.argsort(phrases[:, 0], kind="stable")
-                trie.add(phrases[order], counts[order])
+                trie.add(numbers[where].reshape(phrases.shape), counts)
                 if sum(len(t) for t, _ in state.values()) > most_entries:
                     for other in state:  # each gives back half of what it holds
                         yield from runs(other, len(state[other][0]) // 2)
@@ -278,13 +334,13 @@ def count_phrases(encoded: DataFrame, k: int, shorter: Bitmap, most_entries: int
         for lang in state:
             yield from runs(lang, 0)
 
-    return encoded.select("lang", "ids", "context", "words").mapInArrow(run, "lang string, phrase binary, n bigint")
+    return encoded.select("lang", "ids", "context", "words").mapInArrow(tidy(run), "lang string, phrase binary, n bigint")
 
 
 def merged(runs: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, n of at least `least`: the runs dealt by ranges of phrases and summed there."""
-    ranged = runs.withColumn("phrase", F.col("phrase").cast("string")).repartitionByRange("lang", "phrase")
-    return ranged.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """lang, phrase, n of at least `least`: the runs dealt by phrase and summed there."""
+    dealt = runs.withColumn("phrase", F.col("phrase").cast("string")).repartition("lang", "phrase")
+    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 class Collocations:
@@ -301,9 +357,9 @@ class Collocations:
         self.counts = frequent
         for k in range(2, longest + 1):
             bitmap = Bitmap(frequent)
-            runs = cut(count_phrases(encoded, k, bitmap, most_entries, burst), "collocations-runs")
-            bitmap.data.destroy()
+            runs = count_phrases(encoded, k, bitmap, most_entries, burst)
             frequent = cut(merged(runs, least).withColumn("words", F.lit(k)), "collocations-phrases")
+            bitmap.data.destroy()
             self.counts = self.counts.unionByName(frequent)
 
     def candidates(self) -> DataFrame:

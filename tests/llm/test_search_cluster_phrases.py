@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -188,6 +189,20 @@ def test_trie_bursts_and_spills_whole_subtrees():
     assert taken == truth
 
 
+def test_trie_takes_little_memory_where_second_words_differ():
+    rng = np.random.default_rng(7)
+    phrases = np.unique(rng.integers(0, [20, 20_000, 200_000], (200_000, 3)), axis=0)
+    tracemalloc.start()
+    try:
+        trie = collocations.Trie(3)
+        trie.add(phrases, np.ones(len(phrases), np.int64))
+        kept, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert trie.burst_roots and len(trie) == len(phrases)
+    assert kept < 100 * len(phrases)
+
+
 def test_scores_beyond_64_bits(spark):
     made = collocations.Collocations.__new__(collocations.Collocations)
     a, l, r = 3_000_000_000_001, 5_000_000_000_003, 7_000_000_000_009
