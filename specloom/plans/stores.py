@@ -148,14 +148,15 @@ def tracked_results(spark, sf_dir):
     turn = F.pmod(F.xxhash64("custom_id"), F.lit(4))
     asked = runs.select("spec_id", "section_number", "custom_id", F.lit("asked").alias("type"))
     answers = runs.withColumn("type", F.lit("succeeded")).withColumn("attempt", F.lit(0))
-    put = lambda rows: rows.coalesce(1).write.mode("append").json(f"{root}/in")
+    parts = 8  # of what is put at once, so that no task writes all of it; a micro-batch takes the files of two puts
+    put = lambda rows: rows.repartition(parts).write.mode("append").json(f"{root}/in")
     put(asked)
     put(answers.where(turn < 2))
     for more in (answers.where(turn == 3).unionByName(answers.where(turn == 1)), answers.where(turn == 2)):
-        stream = tracking.events(spark, f"{root}/in", 2)
+        stream = tracking.events(spark, f"{root}/in", 2 * parts)
         tracking.start(tracking.tracked(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
         put(more)
-    tracking.start(tracking.tracked(tracking.events(spark, f"{root}/in", 2)), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    tracking.start(tracking.tracked(tracking.events(spark, f"{root}/in", 2 * parts)), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     sections = spark.read.parquet(f"{root}/out").where("kind = 'section'")
     left = F.count(F.lit(1)).over(Window.partitionBy("spec_id", "section_number")).alias("n_left")

@@ -62,3 +62,37 @@ def test_silence_is_asked_again_by_timers(spark, tmp_path):
         query.stop()
     assert [(r["custom_id"], r["attempt"]) for r in out if r["kind"] == "retry"] == [("a", 1)]
     assert [(r["primary_pages"], r["n_failed"]) for r in out if r["kind"] == "section"] == [([1], 1)]
+
+
+class Buckets(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+
+def test_many_answers_share_state_calls():
+    state, n, buckets, truth = Buckets(), 0, 1, {}
+    for part in range(4):
+        runs = tracking.Runs(state, n, buckets)
+        for i in range(part * 500, part * 500 + 1000):  # half of them again
+            assert runs.get(f"r{i}") == truth.get(f"r{i}")
+            runs.put(f"r{i}", part, tracking.OPEN)
+            truth[f"r{i}"] = (part, tracking.OPEN)
+        runs.save()
+        n, buckets = runs.n, runs.buckets
+    assert n == len(truth) == 2500 and state.calls < 400  # 8,000 one by one
+    assert tracking.Runs(state, n, buckets).all() == truth
+    one = tracking.Runs(state, n, buckets)
+    before = state.calls
+    one.put("r7", 9, tracking.DONE)
+    one.save()
+    assert state.calls == before + 2  # a look-up and a change, whatever came before
+
