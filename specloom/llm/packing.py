@@ -27,30 +27,46 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, slices, tidy
 
-#: White space other than [ \t\n\r], and characters that some tables count as such: no cutting near them.
-ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-SPACE_RUN = re.compile(r"[ \t\n\r] ")
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Between one of these letters and one of these other characters the split pattern always ends a match.
-WORD_END = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])")
+#: White space other than [ \t\n\r], and characters that some tables count as such: no cutting in a text with any of them.
+ODD = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: One match of the split pattern; between one of these letters and one of these other characters a match always ends.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SPACE, LINE, LETTER, MARK, TAIL = 1, 2, 4, 8, 16
+KIND = np.zeros(256, np.uint8)  # of a byte; À to ÿ are C3 and a TAIL
+KIND[0x80:0xC0] = TAIL
+KIND[[0x97, 0xB7]] = 0
+for c in range(0x21, 0x7F):
+    KIND[c] = LETTER if chr(c).isalpha() else MARK
+KIND[[0x20, 0x09, 0x0A, 0x0D]] = SPACE, *[SPACE | LINE] * 3
+#: How byte-level vocabularies write bytes.
+WRITTEN = str.maketrans({chr(c): chr(256 + i) for i, c in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])})
 #: Of 32 parts of the capacity: the least length in pairs and triples.
 LEAST_SHARE = 5
-UNITS_KEPT, UNIT_CHARS = 1_200_000, 48  # some 300 bytes of a worker's memory each
+UNITS_KEPT, UNIT_CHARS = 1_200_000, 48  # some 200 bytes of a worker's memory each
+SLICE = 4 << 20  # bytes of text whose units are looked up together
 
 
-def units(text: str) -> tuple[list[str], list[str]]:
-    """The text in parts whose ids do not depend on each other: some as they are, then words that each follow a space."""
-    if ODD.search(text):
-        return [text], []
-    if SPACE_RUN.search(text):
-        return UNIT.findall(text), []
-    first, *rest = text.split(" ")
-    return [first], rest
+def unit_bounds(data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Where units begin in texts that lie one after the other as UTF-8 bytes, and the end: the ids of a unit depend on it alone.
+
+    A unit is white space, if any, and what follows it up to the next or to the end of a word; a single line end is one, too; odd texts are cut nowhere."""
+    kind = KIND[data]
+    letter = (kind & LETTER) > 0
+    letter[1:] |= (data[:-1] == 0xC3) & ((kind[1:] & TAIL) > 0)
+    space = (kind & SPACE) > 0
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = space[1:] & ~space[:-1] | letter[:-1] & ((kind[1:] & MARK) > 0)
+    begins[2:-1] |= ~space[:-2] & ((kind[1:-1] & LINE) > 0) & ~space[2:]
+    for i in np.flatnonzero(odd).tolist():
+        begins[offsets[i] : offsets[i + 1]] = False
+    begins[offsets] = True
+    return np.flatnonzero(begins)
 
 
 class UnitTokenizer:
@@ -64,55 +80,39 @@ class UnitTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.merge = self.lib.model.tokenize  # of one match, as the vocabulary writes it
         self.units_kept = units_kept
-        self.whole: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # by what follows the space
+        self.kept: dict[str, bytes] = {}
 
     def _ask(self, asked: list[str]) -> dict[str, bytes]:
-        return {u: array("I", e.ids).tobytes() for u, e in zip(asked, self.lib.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
-
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words, each after a space, that have not been met: a word that ends before marks often has been, without them."""
-        heads, tails = {}, {}
-        for w in words:
-            head, *tail = WORD_END.split(w, 1)
-            heads[w] = head
-            if tail:
-                tails[w] = tail[0]
-        new = self._ask([" " + h for h in set(heads.values()) - self.spaced.keys()])
-        new = {u[1:]: b for u, b in new.items()}
-        ends = set(tails.values())
-        got = {t: self.whole[t] for t in ends if t in self.whole}
-        fresh = self._ask(list(ends - got.keys()))
-        self._keep(self.whole, fresh)
-        got |= fresh
-        ids = {w: new[h] if h in new else self.spaced[h] for w, h in heads.items()}
-        for w, t in tails.items():
-            ids[w] += got[t]
-        self._keep(self.spaced, new)
-        self._keep(self.spaced, ids)
-        return ids
-
-    def _keep(self, where: dict[str, bytes], ids: dict[str, bytes]) -> None:
-        where.update((u, b) for u, b in ids.items() if len(u) <= UNIT_CHARS)
-
-    def id_bytes(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.spaced) + len(self.whole) > self.units_kept:
-            self.spaced.clear()
-            self.whole.clear()
-        parts = [units(t) for t in texts]
-        spaced, whole = self.spaced, self.whole
-        known = [([whole.get(u) for u in first], [spaced.get(w) for w in rest]) for first, rest in parts]
-        new_whole = self._ask(list({u for (first, _), (got, _) in zip(parts, known, strict=True) for u, g in zip(first, got, strict=True) if g is None}))
-        self._keep(whole, new_whole)
-        new_spaced = self._words({w for (_, rest), (_, got) in zip(parts, known, strict=True) for w, g in zip(rest, got, strict=True) if g is None})
-        out = []
-        for (first, rest), (a, b) in zip(parts, known, strict=True):
-            a = [new_whole[u] if g is None else g for u, g in zip(first, a, strict=True)]
-            b = [new_spaced[w] if g is None else g for w, g in zip(rest, b, strict=True)]
-            out.append(b"".join(a + b))
-        return out
+        words = [u for u in asked if WORD.fullmatch(u)]
+        out = {u: array("I", [t.id for t in self.merge(u.encode().decode("latin-1").translate(WRITTEN))]).tobytes() for u in words}
+        rest = [u for u in asked if u not in out]
+        return out | {u: array("I", e.ids).tobytes() for u, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts, one after the other; where each text's ids end)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[0] == offsets[-1]:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        bounds = unit_bounds(data, offsets, np.asarray(pc.match_substring_regex(texts, ODD)))
+        units = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        if len(self.kept) > self.units_kept:
+            self.kept.clear()
+        words = units.dictionary.to_pylist()
+        found = [self.kept.get(u) for u in words]
+        new = self._ask([u for u, b in zip(words, found, strict=True) if b is None])
+        self.kept.update((u, b) for u, b in new.items() if len(u) <= UNIT_CHARS)
+        found = [new[u] if b is None else b for u, b in zip(words, found, strict=True)]
+        pool, end = np.frombuffer(b"".join(found), np.uint32), np.cumsum([len(b) // 4 for b in found])
+        which = np.asarray(units.indices)
+        size = np.diff(end, prepend=0)[which]
+        upto = np.cumsum(size)
+        ids = pool[np.repeat(end[which] - upto, size) + np.arange(upto[-1])]
+        return ids, np.append(0, upto)[np.searchsorted(bounds, offsets[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -128,19 +128,20 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, units_kept: int = UNITS_KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
-    end = array("I", [end_id]).tobytes()
 
     def run(batches):
         lib = unit_tokenizer(tokenizer_path, units_kept)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                at, rows = [], []
-                for i, ids in enumerate(lib.id_bytes([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
-                    for n, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + length)]
+            for batch in slices(whole, "text", SLICE):
+                ids, ends = lib.ids(batch.column(1))
+                ids, ends = np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+                at, rows, begin = [], [], 0
+                for i, end in enumerate(ends.tolist()):
+                    for n, (start, length) in enumerate(cuts(end - begin, capacity)):
+                        own = ids[begin + start : begin + start + length]
                         at.append(i)
-                        rows.append((n, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32) if with_ids else None))
+                        rows.append((n, start, length, zlib.crc32(own), own.astype(np.int32) if with_ids else None))
+                    begin = end
                 n, start, length, crc, own = zip(*rows, strict=True)
                 out = [batch.column(0).take(pa.array(at)), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(own, pa.list_(pa.int32()))] if with_ids else [])], names=names)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -121,6 +122,34 @@ def check_packing(rows, texts, lib, spare=0):
     assert len(by_sequence) <= max(math.ceil(total / 1024 * 1.005), math.ceil(total / 1024) + spare)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_units_do_not_change_ids(seed):
+    rng = random.Random(seed)
+    lib = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    signs = ["a", "The", "Zoë", "ÿ", "×", "9", " ", " ", " ", "\n", "\t", "\r\n", "  ", "'s", "'", "é", ".", "#", "漢", "e\u0301", "<|endoftext|>"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) + rng.choice(["", "", "\x1c", "\u00a0\n b", "\u2028"]) for _ in range(400)]
+    own = packing.UnitTokenizer(tokenizers.path("byte_bpe_50k.json"), units_kept=200)
+    for at in range(0, len(texts), 40):
+        part = pa.array([None, "", *texts[at : at + 40], ""])
+        ids, ends = own.ids(part.slice(1))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [lib.encode(t, add_special_tokens=False).ids for t in part.to_pylist()[1:]]  # noqa: B905
+
+
+def test_a_unit_is_looked_up_once_for_all_its_places():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *a):
+            Counted.looked += 1
+            return super().get(*a)
+
+    own = packing.UnitTokenizer(tokenizers.path("byte_bpe_50k.json"))
+    own.kept = Counted()
+    ids, ends = own.ids(pa.array(["the same words, again and again. " * 1000, "Words again,\nagain and again."]))
+    assert len(ids) == ends[1] > 7000 and Counted.looked < 20
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_within_capacity(seed):
     rng = np.random.default_rng(seed)
