@@ -164,7 +164,8 @@ class BlockQueue:
 
 def _runs_of(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each symbol with the places where it stands, in order."""
-    order = np.argsort(symbols, kind="stable")
+    few = len(symbols) and symbols.min() >= 0 and symbols.max() < 1 << 16  # numpy sorts small numbers by their digits
+    order = np.argsort(symbols.astype(np.uint16) if few else symbols, kind="stable")
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(symbols[order])) + 1, [len(order)]])
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         yield int(symbols[order[a]]), order[a:b]
@@ -199,7 +200,13 @@ def lms_starts(rising: np.ndarray, allowance: Memory) -> np.ndarray:
 
 def _split(rank: np.ndarray, members: np.ndarray, keys: np.ndarray) -> None:
     """Refine ranks (a group's rank is its first place): the members, whole groups, are ordered within them by keys."""
-    order = np.lexsort((keys, rank[members]))
+    own = rank[members]
+    low, most = int(keys.min()), int(keys.max())
+    bits = (most - low).bit_length()
+    if bits + int(own.max()).bit_length() < 64:  # one key for both; equals may come in any order
+        order = np.argsort((own << bits) | (keys - low))
+    else:
+        order = np.lexsort((keys, own))
     m, k = members[order], keys[order]
     group = rank[m]
     new_group = np.concatenate([[True], group[1:] != group[:-1]])
@@ -311,6 +318,18 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
     out = np.zeros(len(a), np.int64)
     act = np.arange(len(a))
     last = len(text) - 1
+    if text.dtype == np.uint8 and len(text) >= 8:  # eight bytes at once, as long as neither suffix comes near the end
+        words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+        inner = np.maximum(a, b) <= last - 7 - depth
+        own, act = act[inner], act[~inner]
+        for r in range(0, depth, 8):
+            if not len(own):
+                break
+            differ = words[a[own] + r] ^ words[b[own] + r]
+            lowest = differ & (~differ + np.uint64(1))  # its lowest bit; none: 0
+            out[own] += np.where(differ == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
+            own = own[differ == 0]
+        np.minimum(out, depth, out=out)
     for r in range(depth):
         if not len(act):
             break
@@ -324,16 +343,15 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least of values[lo..hi], both included, for each pair."""
-    table = [values]
-    while 2 << len(table) - 1 <= len(values):
-        half, prev = 1 << len(table) - 1, table[-1]
-        table.append(np.minimum(prev[: len(prev) - half], prev[half:]))
-    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-    out = np.empty(len(lo), values.dtype)
-    for k in np.unique(level):
-        on = level == k
-        out[on] = np.minimum(table[k][lo[on]], table[k][hi[on] - (1 << int(k)) + 1])
-    return out
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1].astype(np.int64) - 1
+    n = len(values)
+    table = np.empty((1 + int(level.max(initial=0)), n), values.dtype)  # a row for each power of two
+    table[0] = values
+    for k in range(1, len(table)):
+        half, upto = 1 << k - 1, n - (1 << k) + 1
+        np.minimum(table[k - 1, :upto], table[k - 1, half : half + upto], out=table[k, :upto])
+    row = level * n
+    return np.minimum(table.ravel()[row + lo], table.ravel()[row + hi - (1 << level) + 1])
 
 
 class _Scan:
@@ -354,9 +372,9 @@ class _Scan:
         left = positions - 1
         on = np.flatnonzero((left >= 0) & (self.rising[left] == self.want))
         if len(on):
-            symbols = self.text[left[on]].astype(np.int64)
+            symbols = self.text[left[on]]
             order = np.argsort(symbols, kind="stable")
-            on, symbols = on[order], symbols[order]
+            on, symbols = on[order], symbols[order].astype(np.int64)
             first = np.concatenate([[True], symbols[1:] != symbols[:-1]])
             own = symbols[first]
             low = np.empty(len(on), np.int64)

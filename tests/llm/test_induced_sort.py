@@ -93,3 +93,29 @@ def test_memory_does_not_grow_with_the_text(tmp_path, monkeypatch):
         os.remove(tmp_path / "text.npy")
         assert not os.listdir(tmp_path)
     assert max(peaks) < allowance * 600 and peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_common_prefixes_and_range_minima_against_plain_loops(seed):
+    rng = np.random.default_rng(seed)
+    for dtype, n in ((np.uint8, 5), (np.uint8, 400), (np.uint32, 400)):
+        text = np.append(np.tile(rng.integers(1, 3, 1 + n // 5), 5)[: n - 1], 0).astype(dtype)
+        a, b = rng.integers(0, n, (2, 300))
+        for depth in (1, 7, 100):
+            want = [next((i for i in range(depth) if max(x, y) + i >= n or text[x + i] != text[y + i]), depth) for x, y in zip(a, b, strict=True)]
+            assert s.common_prefix(text, a, b, depth).tolist() == want
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        assert s._range_min(text, lo, hi).tolist() == [text[x : y + 1].min() for x, y in zip(lo, hi, strict=True)]
+
+
+def test_a_long_common_prefix_takes_a_step_for_eight_bytes():
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            Counted.read += 1
+            return super().__getitem__(at)
+
+    text = np.append(np.ones(1000, np.uint8), np.uint8(0)).view(Counted)
+    assert s.common_prefix(text, np.array([0, 5]), np.array([100, 300]), 100).tolist() == [100, 100]
+    assert Counted.read < 30

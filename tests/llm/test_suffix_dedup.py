@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -75,6 +76,36 @@ def test_split_segments_hold_each_string_once_under_one_key():
             assert keys.setdefault(data[i : i + 100].tobytes(), h) == h
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_segments_do_not_depend_on_blocks(monkeypatch, block):
+    rng = np.random.default_rng(block)
+    data = rng.integers(97, 99, 700).astype(np.uint8)
+    bounds = np.array([30, 30, 31, 200, 650, 700])
+    length, (k, w) = 20, suffix_dedup.piece_sizes(20)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    c = suffix_dedup.Chunk(data, bounds, length)
+    pieces = c.hashes(np.arange(len(data) - k + 1), np.arange(k, len(data) + 1)) >> np.uint64(24)
+    want = []
+    for p in range(len(data) - length + 1):
+        if any(p < b < p + length for b in bounds):
+            continue
+        anchor = p + max(range(w), key=lambda i: (-int(pieces[p + i]), i))
+        if want and want[-1][1] == anchor and want[-1][2] + want[-1][3] == p and p not in bounds:
+            want[-1][3] += 1
+        else:
+            want.append([int(c.hashes(np.array([anchor]), np.array([anchor + k]))[0]), anchor, p, 1])
+    assert [list(x) for x in zip(c.h.tolist(), c.anchor.tolist(), c.start.tolist(), c.n.tolist(), strict=True)] == want
+
+
+def test_a_chunk_holds_few_arrays_as_long_as_itself():
+    data = np.random.default_rng(0).integers(97, 123, 1 << 20).astype(np.uint8)
+    suffix_dedup.Chunk(data, np.array([1 << 20]))
+    tracemalloc.start()
+    suffix_dedup.Chunk(data, np.array([1 << 20]))
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
 def test_equal_hashes_alone_do_not_fold():
     data = np.frombuffer(b"a" * 150 + b"b" * 150, np.uint8)
     c = suffix_dedup.Chunk(data, np.array([150, 300]), 100)
